@@ -113,13 +113,13 @@ def index_lags(df: DataFrame, cols: Sequence[str], date: str = "date", lags=(1,
 def fill_ordered(df: DataFrame, cols: Sequence[str], date: str = "date", group: Sequence[str] = (),
                  causal: bool = False) -> DataFrame:
     """Backward then forward fill; ``causal`` only carries earlier values forward."""
-    w = Window.partitionBy(*group).orderBy(date)
-    back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fwd = Window.partitionBy(*group).orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # running frame over the reversed order: linear, unlike a frame that ends at the last row
+    back = Window.partitionBy(*group).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {}
     for c in cols:
         last = F.last(c, ignorenulls=True).over(fwd)
-        out[c] = last if causal else F.coalesce(F.first(c, ignorenulls=True).over(back), last)
+        out[c] = last if causal else F.coalesce(F.last(c, ignorenulls=True).over(back), last)
     return df.withColumns(out)
 
 

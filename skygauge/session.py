@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """New folder for a hand-over table: below ``spark.checkpoint.dir`` (shared), else a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
