@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.operators.ordering import global_quantiles
+from skygauge.operators.ordering import attach_row, global_quantiles
 
 QUANTILES = {"q90": 0.90, "q95": 0.95, "q99": 0.99, "q995": 0.995, "q999": 0.999, "max": 1.0}
 
@@ -22,14 +22,14 @@ def global_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = None
     for c in cols:
         m = global_quantiles(df, c, [0.5], [f"{c}_all"])
-        out = m if out is None else out.join(m)  # one row each
+        out = m if out is None else attach_row(out, m)
     return out
 
 
 def impute_medians(df: DataFrame, cols: Sequence[str], local: DataFrame, overall: DataFrame,
                    group: str = "location") -> DataFrame:
     """Missing values from the group's median, then from the global one."""
-    j = df.join(local, group, "left").join(F.broadcast(overall))  # overall has one row
+    j = attach_row(df.join(local, group, "left"), overall)
     filled = {c: F.coalesce(F.col(c), F.col(f"{c}_loc"), F.col(f"{c}_all")) for c in cols}
     return j.withColumns(filled).select(*df.columns)
 
@@ -41,14 +41,14 @@ def fit_target_encoding(df: DataFrame, target: str, keys: Sequence[str] = ("loca
     n = F.count(target)
     cells = df.groupBy(*keys).agg(F.sum(target).alias("_s"), n.alias("_n"))
     enc = (F.coalesce("_s", F.lit(0.0)) + F.col("global_mean") * alpha) / (F.col("_n") + alpha)
-    cells = cells.join(F.broadcast(overall)).select(*keys, enc.alias(out))  # one row
+    cells = attach_row(cells, overall).select(*keys, enc.alias(out))
     return cells, overall
 
 
 def apply_target_encoding(df: DataFrame, cells: DataFrame, overall: DataFrame,
                           keys: Sequence[str] = ("location", "month"), out: str = "te_location_month") -> DataFrame:
     """Cell value, or the global mean for an unseen cell."""
-    j = df.join(cells, list(keys), "left").join(F.broadcast(overall))  # one row
+    j = attach_row(df.join(cells, list(keys), "left"), overall)
     return j.withColumn(out, F.coalesce(out, "global_mean")).drop("global_mean")
 
 

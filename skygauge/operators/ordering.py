@@ -48,6 +48,12 @@ def prefix_sums(df: DataFrame, order: Sequence[str | Column], cols: dict[str, st
     return j.drop("_part", "_pos", *[f"_o_{out}" for out in cols])
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery (it fails on a second row)."""
+    row = one.select(F.struct(*one.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
+
+
 def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linear quantiles of a whole column as one row.
 
@@ -56,7 +62,7 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Seq
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(counts, ["_v"], {"_hi": "_n"})
     total = counts.agg(F.sum("_n").alias("_total"))
-    ranked = cum.join(F.broadcast(total))  # one row
+    ranked = attach_row(cum, total)
     aggs = []
     for p, name in zip(probs, names):
         pos = (F.col("_total") - 1) * F.lit(float(p))
