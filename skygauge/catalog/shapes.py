@@ -76,3 +76,20 @@ ticks AS (SELECT plot_id, CAST(floor(100 + dayofyear(d) * 27 / 10)
 labels AS (SELECT plot_id, CAST(k * 20 AS DOUBLE) AS value, 60.0::DOUBLE AS x, 600.0::DOUBLE - 80 * k AS y
            FROM (SELECT plot_id, unnest(range(0, greatest(CAST(ceil(max(extracted_mm) / 20) AS BIGINT), 2) + 1)) AS k
                  FROM plot_days GROUP BY plot_id) AS steps)"""
+
+CHARTS = PLOTS + """,
+grid AS (
+  SELECT plot_id, 'x' AS axis, CAST(floor(100 + dayofyear(make_date(year, m, 1)) * 27 / 10) AS INTEGER) AS pos
+  FROM plots, (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m) AS months
+  UNION ALL SELECT plot_id, 'x', unnest([100, data_end, data_end + 6]) FROM plots
+  UNION ALL SELECT plot_id, 'y', CAST(y + CAST(value / 20 AS INTEGER) % 2 AS INTEGER) FROM labels),
+tokens AS (
+  SELECT plot_id, CAST(CAST(value AS INTEGER) AS VARCHAR) AS text, 50.0::DOUBLE AS x, y - 5 AS y, 20.0::DOUBLE AS w, 10.0::DOUBLE AS h FROM labels
+  UNION ALL SELECT plot_id, s.text, s.x, s.y, 20, 10 FROM (SELECT plot_id, unnest(CASE WHEN n_dots % 2 = 0
+      THEN [{'text': '33', 'x': 50.0::DOUBLE, 'y': 295.0::DOUBLE}, {'text': 'mm', 'x': 50.0::DOUBLE, 'y': 100.0::DOUBLE}, {'text': '50', 'x': 400.0::DOUBLE, 'y': 300.0::DOUBLE}]
+      ELSE [{'text': '7', 'x': 50.0::DOUBLE, 'y': 400.0::DOUBLE}, {'text': '1999-13', 'x': 50.0::DOUBLE, 'y': 650.0::DOUBLE}] END) AS s FROM plots) AS stray
+  UNION ALL SELECT plot_id, label || ',', x - 15, 640, 30, 10 FROM ticks)"""
+
+PIXELS = PLOTS + """,
+centres AS (SELECT plot_id, 6 * doy - CASE WHEN doy % 5 = 0 THEN 3 ELSE 0 END AS cx, CAST(600 - 4 * extracted_mm AS INTEGER) AS cy FROM plot_days),
+pixels AS (SELECT DISTINCT plot_id, cx + dx AS x, cy + dy AS y FROM centres, (SELECT unnest(range(-2, 3)) AS dx) AS a, (SELECT unnest(range(-2, 3)) AS dy) AS b)"""

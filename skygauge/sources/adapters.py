@@ -166,3 +166,45 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("plot_id", k.alias("k")).select(
         "plot_id", (F.col("k") * 20).cast("double").alias("value"), F.lit(60.0).alias("x"),
         (600.0 - 80 * F.col("k")).alias("y"))
+
+
+def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected grid lines of every chart: borders, month starts, year end; label heights one pixel off on odd ones."""
+    p = plots(spark, sf_dir)
+    month = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    starts = p.select("plot_id", "year", month.alias("m")).select(
+        "plot_id", F.floor(100 + F.dayofyear(F.make_date("year", "m", F.lit(1))) * 27 / 10).cast("int").alias("pos"))
+    edges = p.select("plot_id", F.explode(F.array(F.lit(100), F.col("data_end"), F.col("data_end") + 6)).alias("pos"))
+    vertical = starts.unionByName(edges).select("plot_id", F.lit("x").alias("axis"), "pos")
+    level = labels(spark, sf_dir).select(
+        "plot_id", F.lit("y").alias("axis"), (F.col("y") + F.col("value") / 20 % 2).cast("int").alias("pos"))
+    return vertical.unionByName(level)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised text of every chart: value labels, stray numbers and words, and month texts."""
+    lab = labels(spark, sf_dir).select(
+        "plot_id", F.col("value").cast("int").cast("string").alias("text"), F.lit(50.0).alias("x"),
+        (F.col("y") - 5).alias("y"), F.lit(20.0).alias("w"), F.lit(10.0).alias("h"))
+    p = plots(spark, sf_dir)
+    t = lambda s, x, y: F.struct(F.lit(s).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    stray = p.select("plot_id", F.explode(F.when(
+        F.col("n_dots") % 2 == 0, F.array(t("33", 50, 295), t("mm", 50, 100), t("50", 400, 300)))
+        .otherwise(F.array(t("7", 50, 400), t("1999-13", 50, 650)))).alias("t"))
+    stray = stray.select("plot_id", "t.text", "t.x", "t.y", F.lit(20.0).alias("w"), F.lit(10.0).alias("h"))
+    days = ticks(spark, sf_dir).select(
+        "plot_id", F.concat("label", F.lit(",")).alias("text"), (F.col("x") - 15).alias("x"), F.lit(640.0).alias("y"),
+        F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))
+    return lab.unionByName(stray).unionByName(days)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blue 5 x 5 squares around every point, 6 px per day, every fifth day 3 px closer to its predecessor."""
+    p = plot_days(spark, sf_dir)
+    cx = 6 * F.col("doy") - F.when(F.col("doy") % 5 == 0, 3).otherwise(0)
+    cy = (600 - 4 * F.col("extracted_mm")).cast("int")
+    c = p.select("plot_id", cx.alias("cx"), cy.alias("cy"))
+    span = F.sequence(F.lit(-2), F.lit(2))
+    c = c.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
+    return c.select("plot_id", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y")) \
+        .distinct().select("plot_id", "x", "y", F.lit(31).alias("r"), (F.lit(119) + F.col("x") % 3).alias("g"), F.lit(180).alias("b"))
