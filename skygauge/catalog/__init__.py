@@ -6,7 +6,7 @@ import importlib
 
 from skygauge.catalog.registry import REGISTRY, Entry
 
-MODULES = ("metric_queries", "source_queries", "series_queries", "feature_queries", "chart_queries")
+MODULES = ("metric_queries", "source_queries", "series_queries", "feature_queries", "chart_queries", "model_queries")
 
 
 def load() -> dict[str, Entry]:

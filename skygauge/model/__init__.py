@@ -1 +1 @@
-
+"""Rain models on Spark ML."""
