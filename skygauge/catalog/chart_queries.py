@@ -62,7 +62,7 @@ GRID_ENDS = """o AS (SELECT plot_id, axis, min(pos) AS a, max(pos) AS z FROM gri
 l AS (SELECT plot_id, axis, 'first' AS side, a AS pos FROM o UNION ALL SELECT plot_id, axis, 'last', z FROM o)"""
 
 
-@query("a32_border_spread", f"""WITH {CHARTS}, {GRID_ENDS} SELECT axis, side, min(pos) AS lo, max(pos) AS hi, round(stddev_pop(pos), 6) AS std FROM l GROUP BY 1, 2""")
+@query("a32_border_spread", f"""WITH {CHARTS}, {GRID_ENDS} SELECT axis, side, min(pos) AS lo, max(pos) AS hi, round(stddev_pop(pos) + 1e-9, 6) AS std FROM l GROUP BY 1, 2""")
 def a32_spread(spark, d):
     return r6(dots.border_stats(ad.grid_lines(spark, d))[0], "std")
 
@@ -148,7 +148,7 @@ def j12(spark, d):
     return hit.select("plot_id", "label", F.col("near._d").cast("double").alias("dist"), F.col("near._rx").alias("dot_x"), F.col("near.y").alias("dot_y"))
 
 
-MM = """SELECT d.plot_id, d.x, d.y, round(least(greatest((600.0::DOUBLE - d.y) / 4, 0), mx), 6) AS mm
+MM = """SELECT d.plot_id, d.x, d.y, round(least(greatest((600.0::DOUBLE - d.y) / 4, 0), mx) + 1e-9, 6) AS mm
 FROM dots d JOIN (SELECT plot_id, max(value) AS mx FROM labels GROUP BY 1) AS m USING (plot_id)"""
 
 
@@ -158,7 +158,7 @@ def j13(spark, d):
 
 
 @query("d14_pixel_to_mm", f"""WITH {PLOTS}, cut AS (SELECT plot_id, max(value) AS mx FROM labels WHERE value <= 60 GROUP BY 1)
-SELECT d.plot_id, d.x, round(least(greatest((600.0::DOUBLE - d.y) / 4, 0), mx), 6) AS mm FROM dots d JOIN cut USING (plot_id)""")
+SELECT d.plot_id, d.x, round(least(greatest((600.0::DOUBLE - d.y) / 4, 0), mx) + 1e-9, 6) AS mm FROM dots d JOIN cut USING (plot_id)""")
 def d14(spark, d):
     """Only labels up to 60: higher dots are clamped to the outer label."""
     low = ad.labels(spark, d).filter("value <= 60")
@@ -174,7 +174,7 @@ def s15(spark, d):
 num AS (SELECT plot_id, TRY_CAST(text AS DOUBLE) AS v, x + w / 2 AS x, y + h / 2 AS y FROM tokens WHERE regexp_full_match(text, '[0-9]+([.][0-9]+)?')),
 ok AS (SELECT * FROM num WHERE (v = 0 OR v >= 10) AND v <= 300 AND y BETWEEN 82 AND 618),
 col AS (SELECT * FROM ok QUALIFY abs(x - median(x) OVER (PARTITION BY plot_id)) <= 30),
-df AS (SELECT plot_id, v, round(v - lag(v) OVER (PARTITION BY plot_id ORDER BY v), 3) AS step FROM col),
+df AS (SELECT plot_id, v, round(v - lag(v) OVER (PARTITION BY plot_id ORDER BY v) + 1e-9, 3) AS step FROM col),
 st AS (SELECT plot_id, step FROM (SELECT plot_id, step, count(*) AS n, min(v) AS first FROM df WHERE step > 1e-6 GROUP BY 1, 2) AS c
        QUALIFY row_number() OVER (PARTITION BY plot_id ORDER BY n DESC, first) = 1),
 dv AS (SELECT DISTINCT plot_id, v, step, CAST(v AS INTEGER) % CAST(step AS INTEGER) AS res FROM col JOIN st USING (plot_id)),
@@ -187,8 +187,8 @@ e AS (SELECT plot_id, min(value) AS lv, max(value) AS hv, arg_min(y, value) AS l
 s AS (SELECT *, abs(hy - ly) / (hv - lv) AS ppu FROM e),
 extra AS (SELECT plot_id, 0.0::DOUBLE AS value, lx AS x, ly + lv * ppu AS y FROM s WHERE lv <> 0
           UNION ALL SELECT plot_id, hv + (hy - 82) / ppu, hx, 82 FROM s)
-SELECT plot_id, round(value, 6) AS value, x, round(y, 6) AS y FROM kept SEMI JOIN s USING (plot_id)
-WHERE NOT EXISTS (SELECT 1 FROM extra x WHERE x.plot_id = kept.plot_id AND x.value = kept.value) UNION ALL SELECT plot_id, round(value, 6), x, round(y, 6) FROM extra""")
+SELECT plot_id, round(value + 1e-9, 6) AS value, x, round(y + 1e-9, 6) AS y FROM kept SEMI JOIN s USING (plot_id)
+WHERE NOT EXISTS (SELECT 1 FROM extra x WHERE x.plot_id = kept.plot_id AND x.value = kept.value) UNION ALL SELECT plot_id, round(value + 1e-9, 6), x, round(y + 1e-9, 6) FROM extra""")
 def d04(spark, d):
     return r6(axes.value_labels(ad.tokens(spark, d)), "value", "y")
 
@@ -301,7 +301,7 @@ op AS (SELECT *, CASE WHEN c1 = c2 THEN 0 ELSE (dx - m * c1) // nullif(c2 - c1,
 
 
 @query("d10_gap_options", f"""WITH {OPTIONS} SELECT plot_id, gap, n_gaps, remaining, extra, CAST(m - b AS INTEGER) AS a, CAST(b AS INTEGER) AS b,
-  round(abs(CASE WHEN b = 0 THEN 1e9 ELSE CAST(m - b AS DOUBLE) / b END - target), 6) AS cost FROM op""")
+  round(abs(CASE WHEN b = 0 THEN 1e9 ELSE CAST(m - b AS DOUBLE) / b END - target) + 1e-9, 6) AS cost FROM op""")
 def d10(spark, d):
     return r6(gaps.gap_options(ranges(spark, d), shortage(spark, d), candidates(spark, d)), "cost")
 
@@ -462,7 +462,7 @@ ok AS (SELECT * FROM num WHERE v < 200), low AS (SELECT plot_id, v, arg_max(x, y
 rk AS (SELECT *, row_number() OVER (PARTITION BY plot_id ORDER BY y DESC, v) AS i FROM low),
 s AS (SELECT a.plot_id, a.v AS lv, a.y AS ly, a.x AS lx, abs(b.y - a.y) / abs(b.v - a.v) AS ppu FROM rk a JOIN rk b ON a.plot_id = b.plot_id AND a.i = 1 AND b.i = 2),
 hi AS (SELECT plot_id, max(v) AS hv, arg_max(y, v) AS hy, arg_max(x, v) AS hx FROM low GROUP BY 1)
-SELECT plot_id, round(value, 6) AS value, x, round(y, 6) AS y FROM (
+SELECT plot_id, round(value + 1e-9, 6) AS value, x, round(y + 1e-9, 6) AS y FROM (
   SELECT plot_id, v AS value, x, y FROM low WHERE v <> 0
   UNION ALL SELECT plot_id, 0, lx, ly + lv * ppu FROM s UNION ALL SELECT plot_id, hv + (hy - 90) / ppu, hx, 90 FROM s JOIN hi USING (plot_id)) AS l""")
 def d19(spark, d):

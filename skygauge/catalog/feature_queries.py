@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skygauge.catalog.registry import query
+from skygauge.catalog.registry import query, shown
 from skygauge.catalog.series_queries import FILLED_IX, external, r6, target_days
 from skygauge.catalog.shapes import SD
 from skygauge.functions import evaluation as ev
@@ -27,7 +27,7 @@ tt AS (SELECT *, temp_mean_minus_min / (temp_range_c + 1e-6) AS pos, temp_mean_m
 
 
 @query("s01_temperature_features", f"""WITH {TEMP} SELECT location, date, temp_range_c, temp_mean_minus_min, temp_max_minus_mean,
-  round(pos, 6) AS temp_mean_position, temp_asymmetry FROM tt""", dates=("date",))
+  round(pos + 1e-9, 6) AS temp_mean_position, temp_asymmetry FROM tt""", dates=("date",))
 def s01(spark, d):
     out = wx.temperature_features(ad.weather(spark, d)).select(
         "location", "date", "temp_range_c", "temp_mean_minus_min", "temp_max_minus_mean", "temp_mean_position", "temp_asymmetry")
@@ -49,8 +49,8 @@ def s03(spark, d):
 
 
 @query("s04_wind_rain_ratios", f"""WITH {SD} SELECT location, date,
-  round(coalesce(max_wind_speed_kmh / nullif(mean_wind_speed_kmh, 0), 1), 6) AS wind_gust_factor,
-  round(coalesce(highest_60_min_rainfall_mm / nullif(highest_30_min_rainfall_mm, 0), 1), 6) AS rain_intensity_ratio FROM sd""", dates=("date",))
+  round(coalesce(max_wind_speed_kmh / nullif(mean_wind_speed_kmh, 0), 1) + 1e-9, 6) AS wind_gust_factor,
+  round(coalesce(highest_60_min_rainfall_mm / nullif(highest_30_min_rainfall_mm, 0), 1) + 1e-9, 6) AS rain_intensity_ratio FROM sd""", dates=("date",))
 def s04(spark, d):
     out = wx.wind_rain_features(ad.weather(spark, d)).select("location", "date", "wind_gust_factor", "rain_intensity_ratio")
     return r6(out, "wind_gust_factor", "rain_intensity_ratio")
@@ -60,13 +60,13 @@ INTER = ("wind_x_rain", "ONI_x_temp", "DMI_x_rainfall", "heat_index_proxy", "aqi
 
 
 @query("s05_interactions", f"""WITH {SD}, {FILLED_IX} SELECT location, sd.date,
-  round(mean_wind_speed_kmh * highest_60_min_rainfall_mm, 5) AS wind_x_rain, round(ONI * mean_temperature_c, 5) AS ONI_x_temp,
-  round(DMI * highest_60_min_rainfall_mm, 5) AS DMI_x_rainfall, round(RH * mean_temperature_c, 5) AS heat_index_proxy,
-  round(AQI * (maximum_temperature_c - minimum_temperature_c), 5) AS aqi_x_temp_range FROM sd LEFT JOIN ext USING (date)""", dates=("date",))
+  round(mean_wind_speed_kmh * highest_60_min_rainfall_mm + 1e-9, 5) AS wind_x_rain, round(ONI * mean_temperature_c + 1e-9, 5) AS ONI_x_temp,
+  round(DMI * highest_60_min_rainfall_mm + 1e-9, 5) AS DMI_x_rainfall, round(RH * mean_temperature_c + 1e-9, 5) AS heat_index_proxy,
+  round(AQI * (maximum_temperature_c - minimum_temperature_c) + 1e-9, 5) AS aqi_x_temp_range FROM sd LEFT JOIN ext USING (date)""", dates=("date",))
 def s05(spark, d):
     w = ad.weather(spark, d).join(external(spark, d), "date", "left")
     out = wx.interaction_features(wx.temperature_features(w)).select("location", "date", *INTER)
-    return out.withColumns({c: F.round(c, 5) for c in INTER})
+    return out.withColumns({c: shown(c, 5) for c in INTER})
 
 
 IMP = ("highest_30_min_rainfall_mm", "mean_wind_speed_kmh")
@@ -112,12 +112,12 @@ def _encoding(spark, d):
     return x, cells.filter("month <> 6"), overall
 
 
-@query("a15_target_encoding", f"WITH {ENC} SELECT location, CAST(month AS INTEGER) AS month, round(te, 6) AS te_location_month FROM cell")
+@query("a15_target_encoding", f"WITH {ENC} SELECT location, CAST(month AS INTEGER) AS month, round(te + 1e-9, 6) AS te_location_month FROM cell")
 def a15(spark, d):
     return r6(_encoding(spark, d)[1], "te_location_month")
 
 
-@query("s07_apply_encoding", f"""WITH {ENC} SELECT sd.location, date, round(coalesce(te, gm), 6) AS te_location_month
+@query("s07_apply_encoding", f"""WITH {ENC} SELECT sd.location, date, round(coalesce(te, gm) + 1e-9, 6) AS te_location_month
 FROM sd LEFT JOIN cell ON sd.location = cell.location AND month(sd.date) = cell.month, g""", dates=("date",))
 def s07(spark, d):
     x, cells, overall = _encoding(spark, d)
@@ -128,9 +128,9 @@ QS = ", ".join(f"quantile_cont({T}, {p}) AS {n}" for n, p in en.QUANTILES.items(
 
 
 @query("a16_location_quantiles", f"WITH {SD}, q AS (SELECT location, {QS} FROM sd GROUP BY 1) SELECT location, "
-       + ", ".join(f"round({n}, 5) AS {n}" for n in en.QUANTILES) + " FROM q")
+       + ", ".join(f"round({n} + 1e-9, 5) AS {n}" for n in en.QUANTILES) + " FROM q")
 def a16(spark, d):
-    return en.location_quantiles(target_days(spark, d), T).withColumns({n: F.round(n, 5) for n in en.QUANTILES})
+    return en.location_quantiles(target_days(spark, d), T).withColumns({n: shown(n, 5) for n in en.QUANTILES})
 
 
 WEIGHT = f"""WITH {SD}, q AS (SELECT location, {QS} FROM sd GROUP BY 1),
@@ -150,24 +150,24 @@ def s13(spark, d):
     return weights(spark, d)
 
 
-@query("a25_weight_summary", WEIGHT + """ SELECT count(*) AS n, round(avg(weight), 6) AS mean, round(stddev_samp(weight), 6) AS std, min(weight) AS lo,
+@query("a25_weight_summary", WEIGHT + """ SELECT count(*) AS n, round(avg(weight) + 1e-9, 6) AS mean, round(stddev_samp(weight) + 1e-9, 6) AS std, min(weight) AS lo,
   quantile_cont(weight, 0.5) AS p50, quantile_cont(weight, 0.9) AS p90, quantile_cont(weight, 0.95) AS p95, quantile_cont(weight, 0.99) AS p99,
   max(weight) AS hi FROM w""")
 def a25(spark, d):
     w = weights(spark, d)
-    stats = w.agg(F.count("weight").alias("n"), F.round(F.avg("weight"), 6).alias("mean"), F.round(F.stddev_samp("weight"), 6).alias("std"),
+    stats = w.agg(F.count("weight").alias("n"), shown(F.avg("weight"), 6).alias("mean"), shown(F.stddev_samp("weight"), 6).alias("std"),
                   F.min("weight").alias("lo"), F.max("weight").alias("hi"))
     return attach_row(stats, global_quantiles(w, "weight", [.5, .9, .95, .99], ["p50", "p90", "p95", "p99"]))
 
 
-@query("s17_log_target", f"WITH {SD} SELECT location, date, round(ln(1 + extracted_mm), 6) AS z, round(extracted_mm, 4) AS back FROM sd", dates=("date",))
+@query("s17_log_target", f"WITH {SD} SELECT location, date, round(ln(1 + extracted_mm) + 1e-9, 6) AS z, round(extracted_mm + 1e-9, 4) AS back FROM sd", dates=("date",))
 def s17(spark, d):
     z = wx.log_target(F.col("extracted_mm"))
-    return ad.daily(spark, d).select("location", "date", F.round(z, 6).alias("z"), F.round(wx.unlog_target(z), 4).alias("back"))
+    return ad.daily(spark, d).select("location", "date", shown(z, 6).alias("z"), shown(wx.unlog_target(z), 4).alias("back"))
 
 
-@query("s18_response", f"""WITH {SD} SELECT location, date, 'evaluation' AS mode, round(cv_predicted_mm, 3) AS mm, observed_mm AS observed,
-  round(cv_predicted_mm - observed_mm, 3) AS error_mm, 'train_dataset' AS source, 'Historical evaluation using best available features' AS note FROM sd""",
+@query("s18_response", f"""WITH {SD} SELECT location, date, 'evaluation' AS mode, round(cv_predicted_mm + 1e-9, 3) AS mm, observed_mm AS observed,
+  round(cv_predicted_mm - observed_mm + 1e-9, 3) AS error_mm, 'train_dataset' AS source, 'Historical evaluation using best available features' AS note FROM sd""",
        dates=("date",))
 def s18(spark, d):
     r = ev.response(F.lit("evaluation"), F.col("location"), F.col("date"), F.col("cv_predicted_mm"), F.lit("train_dataset"),
@@ -190,14 +190,14 @@ def errors(spark, d):
 
 
 @query("s14_error_columns", f"WITH {ERR} SELECT location, date, " + ", ".join(
-    f"round({e}, 4) AS {n}_{p}" for c, p in zip("ab", PREDS) for n, e in (("err", f"{c} - y"), ("abs_err", f"abs({c} - y)"), ("sq_err", f"({c} - y) ** 2")))
+    f"round({e} + 1e-9, 4) AS {n}_{p}" for c, p in zip("ab", PREDS) for n, e in (("err", f"{c} - y"), ("abs_err", f"abs({c} - y)"), ("sq_err", f"({c} - y) ** 2")))
        + " FROM e", dates=("date",))
 def s14(spark, d):
     cols = [f"{n}_{p}" for p in PREDS for n in ("err", "abs_err", "sq_err")]
-    return errors(spark, d).select("location", "date", *[F.round(c, 4).alias(c) for c in cols])
+    return errors(spark, d).select("location", "date", *[shown(c, 4).alias(c) for c in cols])
 
 
-ABS = "round(avg(abs(a - y)), 6) AS abs_err_cv_predicted_mm, round(avg(abs(b - y)), 6) AS abs_err_obs_predicted_mm"
+ABS = "round(avg(abs(a - y)) + 1e-9, 6) AS abs_err_cv_predicted_mm, round(avg(abs(b - y)) + 1e-9, 6) AS abs_err_obs_predicted_mm"
 ABS_COLS = [f"abs_err_{p}" for p in PREDS]
 
 
@@ -213,8 +213,8 @@ def a18(spark, d):
     return r6(va.error_means(errors(spark, d), PREDS, by), *ABS_COLS)
 
 
-@query("m22_model_rmse", f"""WITH {ERR} SELECT 'cv_predicted_mm' AS model, round(sqrt(avg((a - y) ** 2)), 6) AS rmse FROM e
-UNION ALL SELECT 'obs_predicted_mm', round(sqrt(avg((b - y) ** 2)), 6) FROM e""")
+@query("m22_model_rmse", f"""WITH {ERR} SELECT 'cv_predicted_mm' AS model, round(sqrt(avg((a - y) ** 2)) + 1e-9, 6) AS rmse FROM e
+UNION ALL SELECT 'obs_predicted_mm', round(sqrt(avg((b - y) ** 2)) + 1e-9, 6) FROM e""")
 def m22(spark, d):
     return r6(va.model_rmse(errors(spark, d), PREDS, "observed_mm"), "rmse")
 
@@ -263,13 +263,13 @@ def m10(spark, d):
 
 
 SCORED = SD + """,
-sc AS (SELECT round(cv_predicted_mm / (cv_predicted_mm + 20), 4) AS score, CASE WHEN extracted_mm > 1 AND day(date) % 3 > 0 THEN 1 ELSE 0 END AS label FROM sd)"""
+sc AS (SELECT round(cv_predicted_mm / (cv_predicted_mm + 20) + 1e-9, 4) AS score, CASE WHEN extracted_mm > 1 AND day(date) % 3 > 0 THEN 1 ELSE 0 END AS label FROM sd)"""
 
 
 def scored(spark, d):
     p = F.col("cv_predicted_mm")
     wet = (F.col("extracted_mm") > 1) & (F.dayofmonth("date") % 3 > 0)
-    return ad.daily(spark, d).select(F.round(p / (p + 20), 4).alias("score"), wet.cast("int").alias("label"))
+    return ad.daily(spark, d).select(shown(p / (p + 20), 4).alias("score"), wet.cast("int").alias("label"))
 
 
 TH = (0.3, 0.5, 0.7)
@@ -278,9 +278,9 @@ TH = (0.3, 0.5, 0.7)
 @query("m13_threshold_report", f"""WITH {SCORED}, c AS (SELECT t AS threshold, count(*) FILTER (WHERE score > t AND label = 1) AS tp,
   count(*) FILTER (WHERE score > t AND label = 0) AS fp, count(*) FILTER (WHERE score <= t AND label = 1) AS fn,
   count(*) FILTER (WHERE score <= t AND label = 0) AS tn FROM sc, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS t) AS ts GROUP BY 1)
-SELECT *, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision_rain, round(tp / nullif(tp + fn, 0), 6) AS recall_rain,
-  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1_rain, round(tn / nullif(tn + fn, 0), 6) AS precision_dry, round(tn / nullif(tn + fp, 0), 6) AS recall_dry,
-  round(2 * tn / nullif(2 * tn + fp + fn, 0), 6) AS f1_dry FROM c""")
+SELECT *, round((tp + tn) / (tp + fp + fn + tn) + 1e-9, 6) AS accuracy, round(tp / nullif(tp + fp, 0) + 1e-9, 6) AS precision_rain, round(tp / nullif(tp + fn, 0) + 1e-9, 6) AS recall_rain,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0) + 1e-9, 6) AS f1_rain, round(tn / nullif(tn + fn, 0) + 1e-9, 6) AS precision_dry, round(tn / nullif(tn + fp, 0) + 1e-9, 6) AS recall_dry,
+  round(2 * tn / nullif(2 * tn + fp + fn, 0) + 1e-9, 6) AS f1_dry FROM c""")
 def m13(spark, d):
     out = va.threshold_report(scored(spark, d), "score", "label", TH)
     return r6(out, *[c for c in out.columns if c not in ("threshold", "tp", "fp", "fn", "tn")])
@@ -291,33 +291,33 @@ lv AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (
 cu AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM lv)"""
 
 
-@query("m14_pr_curve", f"WITH {LEVELS} SELECT score, round(tp / (tp + fp), 6) AS precision, round(tp / np, 6) AS recall FROM cu")
+@query("m14_pr_curve", f"WITH {LEVELS} SELECT score, round(tp / (tp + fp) + 1e-9, 6) AS precision, round(tp / np + 1e-9, 6) AS recall FROM cu")
 def m14(spark, d):
     return r6(va.pr_curve(va.score_levels(scored(spark, d), "score", "label")), "precision", "recall")
 
 
-@query("m14_ranking_scores", f"""WITH {LEVELS} SELECT round(sum(pos * tp / (tp + fp)) / any_value(np), 6) AS average_precision,
-  round(sum(neg * (tp - pos / 2.0::DOUBLE)) / any_value(np) / any_value(nn), 6) AS roc_auc, round(any_value(np) / (any_value(np) + any_value(nn)), 6) AS base_rate FROM cu""")
+@query("m14_ranking_scores", f"""WITH {LEVELS} SELECT round(sum(pos * tp / (tp + fp)) / any_value(np) + 1e-9, 6) AS average_precision,
+  round(sum(neg * (tp - pos / 2.0::DOUBLE)) / any_value(np) / any_value(nn) + 1e-9, 6) AS roc_auc, round(any_value(np) / (any_value(np) + any_value(nn)) + 1e-9, 6) AS base_rate FROM cu""")
 def m14_scores(spark, d):
     return r6(va.ranking_scores(va.score_levels(scored(spark, d), "score", "label")), "average_precision", "roc_auc", "base_rate")
 
 
 @query("m15_blend_weights", f"""WITH {ERR}, s AS (SELECT count(*) AS n, sum((a - b) ** 2) AS dd, sum((a - b) * (b - y)) AS de, sum((b - y) ** 2) AS ee FROM e)
-SELECT round(i / 999, 6) AS w, round(sqrt(greatest(((i / 999) ** 2 * dd + 2 * (i / 999) * de + ee) / n, 0)), 5) AS rmse
+SELECT round(i / 999 + 1e-9, 6) AS w, round(sqrt(greatest(((i / 999) ** 2 * dd + 2 * (i / 999) * de + ee) / n, 0)) + 1e-9, 5) AS rmse
 FROM s, (SELECT CAST(unnest(range(0, 1000)) AS DOUBLE) AS i) AS g""")
 def m15(spark, d):
     g = va.blend_weights(ad.daily(spark, d), "cv_predicted_mm", "obs_predicted_mm", "observed_mm")
-    return g.select(F.round("w", 6).alias("w"), F.round("rmse", 5).alias("rmse"))
+    return g.select(shown("w", 6).alias("w"), shown("rmse", 5).alias("rmse"))
 
 
 @query("m15_best_blend", f"""WITH {ERR}, s AS (SELECT count(*) AS n, sum((a - b) ** 2) AS dd, sum((a - b) * (b - y)) AS de, sum((b - y) ** 2) AS ee FROM e),
 g AS (SELECT i / 999 AS w, sqrt(greatest(((i / 999) ** 2 * dd + 2 * (i / 999) * de + ee) / n, 0)) AS rmse FROM s, (SELECT CAST(unnest(range(0, 1000)) AS DOUBLE) AS i) AS k)
-SELECT round(w, 6) AS best_w, round(rmse, 5) AS best_rmse FROM g ORDER BY rmse, w LIMIT 1""")
+SELECT round(w + 1e-9, 6) AS best_w, round(rmse + 1e-9, 5) AS best_rmse FROM g ORDER BY rmse, w LIMIT 1""")
 def m15_best(spark, d):
     g = va.blend_weights(ad.daily(spark, d), "cv_predicted_mm", "obs_predicted_mm", "observed_mm")
-    return va.best_blend(g).select(F.round("best_w", 6).alias("best_w"), F.round("best_rmse", 5).alias("best_rmse"))
+    return va.best_blend(g).select(shown("best_w", 6).alias("best_w"), shown("best_rmse", 5).alias("best_rmse"))
 
 
-@query("m21_class_weight", f"""WITH {SD} SELECT round((count(*) - count(*) FILTER (WHERE {T} > 1)) / nullif(count(*) FILTER (WHERE {T} > 1), 0), 6) AS scale_pos_weight FROM sd""")
+@query("m21_class_weight", f"""WITH {SD} SELECT round((count(*) - count(*) FILTER (WHERE {T} > 1)) / nullif(count(*) FILTER (WHERE {T} > 1), 0) + 1e-9, 6) AS scale_pos_weight FROM sd""")
 def m21(spark, d):
     return r6(va.class_weight(target_days(spark, d), T), "scale_pos_weight")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skygauge.catalog.registry import query
+from skygauge.catalog.registry import query, shown
 from skygauge.catalog.shapes import SD, WEEKLY
 from skygauge.functions import evaluation as ev
 from skygauge.operators import metrics as m
@@ -13,7 +13,7 @@ LY = ["location", "year"]
 
 
 def r6(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: shown(c, 6) for c in cols})
 
 
 def weekly(spark, d):
@@ -25,26 +25,26 @@ def with_abs_error(df):
 
 
 @query("a01_global_errors", f"""WITH {SD}
-SELECT round(avg(abs(e)), 6) AS mae, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse
+SELECT round(avg(abs(e)) + 1e-9, 6) AS mae, round(avg(e * e) + 1e-9, 6) AS mse, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse
 FROM (SELECT observed_mm - cv_predicted_mm AS e FROM sd WHERE observed_mm IS NOT NULL AND cv_predicted_mm IS NOT NULL) AS x""")
 def a01(spark, d):
     return r6(m.global_errors(daily(spark, d)), "mae", "mse", "rmse")
 
 
 @query("a02_r_squared", f"""WITH {SD}, ok AS (SELECT observed_mm AS o, cv_predicted_mm AS p FROM sd WHERE observed_mm IS NOT NULL)
-SELECT round(1 - sum((o - p) ** 2) / sum((o - mean) ** 2), 6) AS r2 FROM ok, (SELECT avg(o) AS mean FROM ok) AS mu""")
+SELECT round(1 - sum((o - p) ** 2) / sum((o - mean) ** 2) + 1e-9, 6) AS r2 FROM ok, (SELECT avg(o) AS mean FROM ok) AS mu""")
 def a02(spark, d):
     return r6(m.r_squared(daily(spark, d)), "r2")
 
 
 @query("a03_zero_rain_false_rate", f"""WITH {SD}
 SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE extracted_mm = 0 AND cv_predicted_mm > 5)
-       / nullif(count(*) FILTER (WHERE extracted_mm = 0), 0), 6) AS zero_rain_false_rate_pct FROM sd""")
+       / nullif(count(*) FILTER (WHERE extracted_mm = 0), 0) + 1e-9, 6) AS zero_rain_false_rate_pct FROM sd""")
 def a03(spark, d):
     return r6(m.zero_rain_false_rate(daily(spark, d)), "zero_rain_false_rate_pct")
 
 
-@query("a04_signed_error", f"WITH {SD} SELECT round(avg(observed_mm - cv_predicted_mm), 6) AS mae FROM sd")
+@query("a04_signed_error", f"WITH {SD} SELECT round(avg(observed_mm - cv_predicted_mm) + 1e-9, 6) AS mae FROM sd")
 def a04(spark, d):
     return r6(m.signed_error(daily(spark, d)), "mae")
 
@@ -74,12 +74,12 @@ def _group_metrics_sql(keys: str) -> str:
     return f"""WITH {SD},
 thr AS (SELECT {keys}, quantile_disc(extracted_mm, 0.9) AS p90 FROM sd GROUP BY {keys}),
 j AS (SELECT sd.*, p90, cv_predicted_mm - extracted_mm AS e FROM sd JOIN thr USING ({keys}))
-SELECT {keys}, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias,
+SELECT {keys}, round(avg(abs(e)) + 1e-9, 6) AS mae, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse, round(avg(e) + 1e-9, 6) AS bias,
   CASE WHEN isnan(corr(extracted_mm, cv_predicted_mm)) THEN NULL
-       ELSE round(corr(extracted_mm, cv_predicted_mm), 6) END AS corr,
+       ELSE round(corr(extracted_mm, cv_predicted_mm) + 1e-9, 6) END AS corr,
   round(100.0::DOUBLE * count(*) FILTER (WHERE extracted_mm = 0 AND cv_predicted_mm > 5)
-        / nullif(count(*) FILTER (WHERE extracted_mm = 0), 0), 6) AS false_rain_rate,
-  round(avg(abs(e)) FILTER (WHERE extracted_mm >= p90), 6) AS extreme_mae
+        / nullif(count(*) FILTER (WHERE extracted_mm = 0), 0) + 1e-9, 6) AS false_rain_rate,
+  round(avg(abs(e)) FILTER (WHERE extracted_mm >= p90) + 1e-9, 6) AS extreme_mae
 FROM j GROUP BY {keys}"""
 
 
@@ -102,9 +102,9 @@ j AS (SELECT location, year, extracted_mm >= p90 AS hot, abs(cv_predicted_mm - e
              abs(cv_predicted_mm - obs_predicted_mm) AS ref FROM sd JOIN thr USING (location, year)),
 g AS (SELECT location, year, avg(own) AS a, avg(ref) AS b, avg(own) FILTER (WHERE hot) AS c,
              avg(ref) FILTER (WHERE hot) AS d FROM j GROUP BY 1, 2)
-SELECT location, year, round(a, 6) AS year_mae, round(b, 6) AS baseline_mae,
-  round(100 * (b - a) / nullif(b, 0), 6) AS mae_improvement_pct, round(c, 6) AS year_extreme_mae,
-  round(d, 6) AS baseline_extreme_mae, round(100 * (d - c) / nullif(d, 0), 6) AS extreme_improvement_pct FROM g""")
+SELECT location, year, round(a + 1e-9, 6) AS year_mae, round(b + 1e-9, 6) AS baseline_mae,
+  round(100 * (b - a) / nullif(b, 0) + 1e-9, 6) AS mae_improvement_pct, round(c + 1e-9, 6) AS year_extreme_mae,
+  round(d + 1e-9, 6) AS baseline_extreme_mae, round(100 * (d - c) / nullif(d, 0) + 1e-9, 6) AS extreme_improvement_pct FROM g""")
 def a09(spark, d):
     out = m.baseline_comparison(daily(spark, d), LY)
     return r6(out, *[c for c in out.columns if c not in LY])
@@ -112,15 +112,15 @@ def a09(spark, d):
 
 @query("a10_extreme_day_errors", f"""WITH {SD},
 thr AS (SELECT location, year, quantile_disc(extracted_mm, 0.9) AS p90 FROM sd GROUP BY 1, 2)
-SELECT location, year, date, extracted_mm, round(abs(cv_predicted_mm - extracted_mm), 6) AS abs_error
+SELECT location, year, date, extracted_mm, round(abs(cv_predicted_mm - extracted_mm) + 1e-9, 6) AS abs_error
 FROM sd JOIN thr USING (location, year) WHERE extracted_mm >= p90""", dates=("date",))
 def a10(spark, d):
     return r6(m.extreme_day_errors(daily(spark, d), LY), "abs_error")
 
 
-@query("a11_weekly_mart", f"WITH {WEEKLY} SELECT * FROM weekly", dates=("date",))
+@query("a11_weekly_mart", f"WITH {WEEKLY} SELECT location, year, date, round(extracted_mm + 1e-9, 6) AS extracted_mm, round(cv_predicted_mm + 1e-9, 6) AS cv_predicted_mm, round(obs_predicted_mm + 1e-9, 6) AS obs_predicted_mm, round(observed_mm + 1e-9, 6) AS observed_mm FROM weekly", dates=("date",))
 def a11(spark, d):
-    return weekly(spark, d)
+    return r6(weekly(spark, d), *marts.MART_VALUES)
 
 
 @query("a26_error_histogram", f"""WITH {SD},
@@ -157,49 +157,50 @@ def a27(spark, d):
 
 
 @query("a07_rollup_errors", f"""WITH {SD}, x AS (SELECT location, year, cv_predicted_mm - extracted_mm AS e FROM sd)
-SELECT location, year, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
-  round(avg(e), 6) AS bias FROM x GROUP BY GROUPING SETS ((), (location), (location, year))""")
+SELECT location, year, count(*) AS n, round(avg(abs(e)) + 1e-9, 6) AS mae, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse,
+  round(avg(e) + 1e-9, 6) AS bias FROM x GROUP BY GROUPING SETS ((), (location), (location, year))""")
 def a07_rollup(spark, d):
     return r6(m.rollup_errors(daily(spark, d)), "mae", "rmse", "bias")
 
 
 # ---- series -----------------------------------------------------------------
 
-TS = """SELECT location, CAST(year(date) AS INTEGER) AS label_year, date, observed_mm, extracted_mm, cv_predicted_mm,
-  round(abs(observed_mm - extracted_mm), 6) AS abs_error"""
+SERIES = ("observed_mm", "extracted_mm", "cv_predicted_mm", "abs_error")
+TS = """SELECT location, CAST(year(date) AS INTEGER) AS label_year, date, round(observed_mm + 1e-9, 6) AS observed_mm, round(extracted_mm + 1e-9, 6) AS extracted_mm, round(cv_predicted_mm + 1e-9, 6) AS cv_predicted_mm,
+  round(abs(observed_mm - extracted_mm) + 1e-9, 6) AS abs_error"""
 
 
 @query("t01_weekly_timeseries", f"WITH {WEEKLY} {TS} FROM weekly", dates=("date",))
 def t01_weekly(spark, d):
-    return r6(marts.timeseries(weekly(spark, d)), "abs_error").orderBy("location", "date")
+    return r6(marts.timeseries(weekly(spark, d)), *SERIES).orderBy("location", "date")
 
 
 @query("t01_daily_timeseries", f"WITH {SD} {TS} FROM sd", dates=("date",))
 def t01_daily(spark, d):
-    return r6(marts.timeseries(daily(spark, d)), "abs_error").orderBy("location", "date")
+    return r6(marts.timeseries(daily(spark, d)), *SERIES).orderBy("location", "date")
 
 
 @query("t01_weekly_error_series", f"""WITH {WEEKLY} SELECT location, CAST(year(date) AS INTEGER) AS label_year, date,
-  round(abs(cv_predicted_mm - extracted_mm), 5) AS abs_error FROM weekly WHERE cv_predicted_mm IS NOT NULL""",
+  round(abs(cv_predicted_mm - extracted_mm) + 1e-9, 5) AS abs_error FROM weekly WHERE cv_predicted_mm IS NOT NULL""",
        dates=("date",))
 def t01_error(spark, d):
-    return marts.error_series(weekly(spark, d)).withColumn("abs_error", F.round("abs_error", 5))
+    return marts.error_series(weekly(spark, d)).withColumn("abs_error", shown("abs_error", 5))
 
 
 @query("t02_error_values", f"""WITH {SD} SELECT location, year AS label_year,
-  round(abs(cv_predicted_mm - extracted_mm), 6) AS abs_error FROM sd""")
+  round(abs(cv_predicted_mm - extracted_mm) + 1e-9, 6) AS abs_error FROM sd""")
 def t02(spark, d):
     return r6(marts.error_series(daily(spark, d)).select("location", "label_year", "abs_error"), "abs_error")
 
 
 @query("t03_top_squared_errors", f"""WITH {SD}
-SELECT location, date, extracted_mm AS y, cv_predicted_mm AS pred, round((cv_predicted_mm - extracted_mm) ** 2, 6) AS sq_err
+SELECT location, date, extracted_mm AS y, cv_predicted_mm AS pred, round((cv_predicted_mm - extracted_mm) ** 2 + 1e-9, 6) AS sq_err
 FROM sd ORDER BY sq_err DESC, location, date LIMIT 20""", dates=("date",))
 def t03(spark, d):
     e = F.col("cv_predicted_mm") - F.col("extracted_mm")
     return daily(spark, d).select(
         "location", "date", F.col("extracted_mm").alias("y"), F.col("cv_predicted_mm").alias("pred"),
-        F.round(e * e, 6).alias("sq_err")).orderBy(F.desc("sq_err"), "location", "date").limit(20)
+        shown(e * e, 6).alias("sq_err")).orderBy(F.desc("sq_err"), "location", "date").limit(20)
 
 
 @query("t05_daily_table", f"""WITH {SD} SELECT location, date, year, extracted_mm, cv_predicted_mm, obs_predicted_mm,
@@ -224,10 +225,10 @@ def t07(spark, d):
 
 
 @query("t08_pivot_years", f"""WITH {SD}
-SELECT location, {', '.join(f"round(avg(extracted_mm) FILTER (WHERE year = {y}), 6) AS y{y}" for y in range(1995, 2002))}
+SELECT location, {', '.join(f"round(avg(extracted_mm) FILTER (WHERE year = {y}) + 1e-9, 6) AS y{y}" for y in range(1995, 2002))}
 FROM sd GROUP BY 1""")
 def t08(spark, d):
-    p = daily(spark, d).groupBy("location").pivot("year", list(range(1995, 2002))).agg(F.round(F.avg("extracted_mm"), 6))
+    p = daily(spark, d).groupBy("location").pivot("year", list(range(1995, 2002))).agg(shown(F.avg("extracted_mm"), 6))
     return p.withColumnsRenamed({str(y): f"y{y}" for y in range(1995, 2002)})
 
 
@@ -285,18 +286,18 @@ def t10_pairs(spark, d):
 
 
 @query("t10_weekly_bias", f"""WITH {WEEKLY} SELECT location, CAST(year(date) AS INTEGER) AS label_year, date,
-  round(observed_mm - extracted_mm, 5) AS bias FROM weekly""", dates=("date",))
+  round(observed_mm - extracted_mm + 1e-9, 5) AS bias FROM weekly""", dates=("date",))
 def t10_bias(spark, d):
-    return marts.bias_series(weekly(spark, d)).withColumn("bias", F.round("bias", 5))
+    return marts.bias_series(weekly(spark, d)).withColumn("bias", shown("bias", 5))
 
 
 @query("t10_extreme_days", f"""WITH {WEEKLY},
 thr AS (SELECT location, year(date) AS label_year, quantile_cont(extracted_mm, 0.9) AS p90 FROM weekly GROUP BY 1, 2)
-SELECT sd.location, year AS label_year, date, extracted_mm, abs(observed_mm - extracted_mm) AS abs_error, round(p90, 5) AS p90
+SELECT sd.location, year AS label_year, date, extracted_mm, abs(observed_mm - extracted_mm) AS abs_error, round(p90 + 1e-9, 5) AS p90
 FROM sd JOIN thr ON sd.location = thr.location AND sd.year = thr.label_year WHERE extracted_mm >= p90""", dates=("date",))
 def t10_extreme(spark, d):
     x = daily(spark, d)
-    return marts.extreme_days_by_weekly_p90(x, marts.build_weekly_mart(x)).withColumn("p90", F.round("p90", 5))
+    return marts.extreme_days_by_weekly_p90(x, marts.build_weekly_mart(x)).withColumn("p90", shown("p90", 5))
 
 
 @query("t11_location_series", f"""WITH {SD} SELECT location, date, extracted_mm FROM sd
@@ -308,11 +309,11 @@ def t11(spark, d):
 
 
 @query("pf18_melt", f"""WITH {WEEKLY}
-SELECT location, year, date, 'Observed' AS type, observed_mm AS rainfall FROM weekly WHERE observed_mm IS NOT NULL UNION ALL
-SELECT location, year, date, 'Predicted', cv_predicted_mm FROM weekly WHERE cv_predicted_mm IS NOT NULL UNION ALL
-SELECT location, year, date, 'Extracted', extracted_mm FROM weekly WHERE extracted_mm IS NOT NULL""", dates=("date",))
+SELECT location, year, date, 'Observed' AS type, round(observed_mm + 1e-9, 6) AS rainfall FROM weekly WHERE observed_mm IS NOT NULL UNION ALL
+SELECT location, year, date, 'Predicted', round(cv_predicted_mm + 1e-9, 6) FROM weekly WHERE cv_predicted_mm IS NOT NULL UNION ALL
+SELECT location, year, date, 'Extracted', round(extracted_mm + 1e-9, 6) FROM weekly WHERE extracted_mm IS NOT NULL""", dates=("date",))
 def pf18(spark, d):
-    return marts.melt(weekly(spark, d))
+    return r6(marts.melt(weekly(spark, d)), "rainfall")
 
 
 # ---- classes and texts ------------------------------------------------------
@@ -340,7 +341,7 @@ r AS (SELECT *, abs(diff) / greatest(o, 1) * 100 AS rel,
   CASE WHEN o <= 5 THEN 'drizzle' WHEN o <= 30 THEN 'moderate' ELSE 'heavy' END AS regime FROM e),
 s AS (SELECT *, CASE WHEN o <= 5 THEN CASE WHEN abs(diff) <= 2 THEN 'low' ELSE 'moderate' END
   WHEN rel <= 20 THEN 'low' WHEN rel <= 50 THEN 'moderate' ELSE 'high' END AS severity FROM r)
-SELECT location, date, round(abs(diff), 6) AS absolute_error_mm, direction, regime, severity,
+SELECT location, date, round(abs(diff) + 1e-9, 6) AS absolute_error_mm, direction, regime, severity,
   {_case(ev.SEVERITY_TEXT, "CASE WHEN o <= 5 THEN 'drizzle/' ELSE '' END || severity")} || ' ' ||
   {_case(ev.DIRECTION_TEXT, 'direction')} || ' ' || {_case(ev.REGIME_TEXT, 'regime')} AS insight_text FROM s""",
        dates=("date",))

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from skygauge.catalog.registry import query
+from skygauge.catalog.registry import query, shown
 from skygauge.catalog.series_queries import external, ring_edges
 from skygauge.catalog.shapes import READINGS
 from skygauge.model import forecast as fc
@@ -44,21 +44,21 @@ def two_stage(**kw):
 def m01(spark, d):
     x = train_rows(spark, d)
     v = prepared(x).transform(x).select("location", "date", vector_to_array("features").alias("f"))
-    return v.select("location", "date", F.size("f").alias("width"), F.round(F.aggregate("f", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    return v.select("location", "date", F.size("f").alias("width"), shown(F.aggregate("f", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 @query("m03_classifier")
 def m03(spark, d):
     x = train_rows(spark, d)
     p = ts.build_pipeline(T, ad.FEATURES, "classifier", clf_params=SMALL).fit(x).transform(x)
-    return p.select("location", "date", F.round(vector_to_array("_prob")[1], 6).alias("chance"))
+    return p.select("location", "date", shown(vector_to_array("_prob")[1], 6).alias("chance"))
 
 
 @query("m04_regressor_log_target")
 def m04(spark, d):
     x = train_rows(spark, d)
     m = ts.build_pipeline(T, ad.FEATURES, "regressor", reg_params=SMALL, log_target=True).fit(x)
-    return m.transform(x).select("location", "date", F.round("prediction", 6).alias("prediction"))
+    return m.transform(x).select("location", "date", shown("prediction", 6).alias("prediction"))
 
 
 @query("m05_two_stage")
@@ -66,7 +66,7 @@ def m05(spark, d):
     x = train_rows(spark, d)
     v = prepared(x).transform(x)
     return two_stage().fit(v).transform(v).select(
-        "location", "date", F.round("prediction_chance", 6).alias("chance"), F.round("prediction", 6).alias("prediction"))
+        "location", "date", shown("prediction_chance", 6).alias("chance"), shown("prediction", 6).alias("prediction"))
 
 
 @query("m06_feature_and_model_stages")
@@ -76,7 +76,7 @@ def m06(spark, d):
     ext = cut_lineage(external(spark, d))
     columns = [*ad.FEATURES, "temp_range_c", "wind_gust_factor", "doy_sin", "doy_cos", "time_sigmoid", "mean_temp_roll_7d", "ONI_x_temp"]
     p = ts.build_pipeline(T, columns, feature_stages=tr.feature_stages(ad.RAIN[:1], ext), clf_params=SMALL, reg_params=SMALL)
-    return ts.score(p.fit(x), x.drop(T)).select("location", "date", F.round("predicted_daily_rainfall_mm", 6).alias("predicted"))
+    return ts.score(p.fit(x), x.drop(T)).select("location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
 
 
 @query("m07_batch_scoring")
@@ -87,7 +87,7 @@ def m07(spark, d):
     path = scratch_dir(spark, "model")
     two_stage().fit(v).save(path)
     return ts.score(ts.TwoStageModel.load(path), v.drop(T)).select(
-        "location", "date", F.round("predicted_daily_rainfall_mm", 6).alias("predicted"))
+        "location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
 
 
 @query("m08_cross_validation")
@@ -116,20 +116,20 @@ def m12(spark, d):
 def m16(spark, d):
     x = cut_lineage(ad.daily(spark, d).dropna(subset=["observed_mm"]))
     out = sel.stack(x, ["cv_predicted_mm", "obs_predicted_mm"], "observed_mm", **SMALL)
-    return out.select("location", "date", F.round("meta_lr", 4).alias("meta_lr"), F.round("meta_gbt", 4).alias("meta_gbt"))
+    return out.select("location", "date", shown("meta_lr", 4).alias("meta_lr"), shown("meta_gbt", 4).alias("meta_gbt"))
 
 
 @query("m17_isotonic_calibration")
 def m17(spark, d):
     x = cut_lineage(ad.daily(spark, d).dropna(subset=["observed_mm"]))
-    return sel.calibrate(x, "cv_predicted_mm", "observed_mm").select("location", "date", F.round("calibrated", 4).alias("calibrated"))
+    return sel.calibrate(x, "cv_predicted_mm", "observed_mm").select("location", "date", shown("calibrated", 4).alias("calibrated"))
 
 
 @query("m18_robust_calibration")
 def m18(spark, d):
     x = cut_lineage(ad.daily(spark, d).dropna(subset=["observed_mm"]))
     return sel.robust_calibrate(x, "cv_predicted_mm", "observed_mm", **SMALL).select(
-        "location", "date", F.round("calibrated", 4).alias("calibrated"))
+        "location", "date", shown("calibrated", 4).alias("calibrated"))
 
 
 LAGS = (1, 2, 3, 7)
@@ -154,7 +154,7 @@ def m19(spark, d):
     model = est.fit(prep.transform(feats))
     out = fc.recursive_forecast(history, future, lambda df: model.transform(prep.transform(df)), T, edges, LAGS,
                                 extra=("prediction_0", "prediction_1"))
-    return out.withColumns({c: F.round(c, 6) for c in ("prediction", "prediction_0", "prediction_1")})
+    return out.withColumns({c: shown(c, 6) for c in ("prediction", "prediction_0", "prediction_1")})
 
 
 @query("m20_recursive_forecast_per_location")
@@ -166,7 +166,7 @@ def m20(spark, d):
     models = sel.per_location_models(prep.transform(feats), lambda n: ts.regressor("prediction", label=T, **TINY))
     predict = lambda df: sel.predict_per_location(models, prep.transform(df))
     out = fc.recursive_forecast(history, future, predict, T, None, LAGS)
-    return out.withColumn("prediction", F.round("prediction", 6))
+    return out.withColumn("prediction", shown("prediction", 6))
 
 
 @query("m24_evaluate_requests")
@@ -201,18 +201,18 @@ def landed_readings(spark, d):
 CLOSED = "(SELECT max(timestamp) - INTERVAL 1 HOUR FROM readings)"
 
 
-@query("st01_daily_totals_stream", f"""WITH {READINGS} SELECT station_id, CAST(timestamp AS DATE) AS date, round(sum(rainfall_mm), 4) AS daily_rainfall_total_mm
+@query("st01_daily_totals_stream", f"""WITH {READINGS} SELECT station_id, CAST(timestamp AS DATE) AS date, round(sum(rainfall_mm) + 1e-9, 4) AS daily_rainfall_total_mm
 FROM readings GROUP BY 1, 2 HAVING CAST(CAST(timestamp AS DATE) + 1 AS TIMESTAMP) <= {CLOSED}""".replace("HAVING CAST(CAST(timestamp AS DATE)", "HAVING CAST(any_value(CAST(timestamp AS DATE))"),
        dates=("date",))
 def st01(spark, d):
     out = live.drain(live.daily_totals(live.read_readings(spark, landed_readings(spark, d))))
-    return out.withColumn("daily_rainfall_total_mm", F.round("daily_rainfall_total_mm", 4))
+    return out.withColumn("daily_rainfall_total_mm", shown("daily_rainfall_total_mm", 4))
 
 
 @query("st02_sliding_maxima_stream")
 def st02(spark, d):
     out = live.drain(live.sliding_maxima(live.read_readings(spark, landed_readings(spark, d)), 30))
-    return out.withColumn("highest_mm", F.round("highest_mm", 4))
+    return out.withColumn("highest_mm", shown("highest_mm", 4))
 
 
 def _errors(spark, path):
@@ -227,16 +227,16 @@ err AS (SELECT p.station_id, p.timestamp - INTERVAL 5 MINUTE AS made_at, o.times
         FROM readings p JOIN readings o ON p.station_id = o.station_id AND o.timestamp >= p.timestamp - INTERVAL 5 MINUTE AND o.timestamp <= p.timestamp + INTERVAL 5 MINUTE)"""
 
 
-@query("st03_error_stream", f"WITH {ERRORS} SELECT station_id, made_at, timestamp, round(e, 4) AS error_mm FROM err", stamps=("made_at", "timestamp"))
+@query("st03_error_stream", f"WITH {ERRORS} SELECT station_id, made_at, timestamp, round(e + 1e-9, 4) AS error_mm FROM err", stamps=("made_at", "timestamp"))
 def st03(spark, d):
     out = live.drain(_errors(spark, landed_readings(spark, d)))
-    return out.select("station_id", "made_at", "timestamp", F.round("error_mm", 4).alias("error_mm"))
+    return out.select("station_id", "made_at", "timestamp", shown("error_mm", 4).alias("error_mm"))
 
 
 @query("st04_running_metrics_stream", f"""WITH {READINGS}, e AS (SELECT station_id, rainfall_mm * 0.1 AS e FROM readings)
-SELECT station_id, count(*) AS n, round(avg(abs(e)), 5) AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(avg(e), 5) AS bias FROM e GROUP BY 1""")
+SELECT station_id, count(*) AS n, round(avg(abs(e)) + 1e-9, 5) AS mae, round(sqrt(avg(e * e)) + 1e-9, 5) AS rmse, round(avg(e) + 1e-9, 5) AS bias FROM e GROUP BY 1""")
 def st04(spark, d):
     r = live.read_readings(spark, landed_readings(spark, d))
     errors = r.select("station_id", (F.col("rainfall_mm") * 1.1 - F.col("rainfall_mm")).alias("error_mm"))
     out = live.drain(live.running_metrics(errors), mode="complete")
-    return out.withColumns({c: F.round(c, 5) for c in ("mae", "rmse", "bias")})
+    return out.withColumns({c: shown(c, 5) for c in ("mae", "rmse", "bias")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ def _iso(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def shown(col: str | Column, digits: int = 6) -> Column:
+    """Rounded for comparison. Sums of the same values differ in their last bits between engines,
+    so a value half way between two decimals is first moved off the tie, here and in the SQL."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c + 1e-9, digits)
+
+
 def query(name: str, sql: str | None = None, dates: tuple = (), stamps: tuple = ()):
     """Register ``fn(spark, sf_dir)``; ``dates``/``stamps`` name the columns the SQL renders as text."""
     if sql is not None and (dates or stamps):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skygauge.catalog.registry import query
+from skygauge.catalog.registry import query, shown
 from skygauge.catalog.shapes import GAUGES, INDICES, READINGS, SD, STATIONS, WEEKLY
 from skygauge.functions import calendar as cal
 from skygauge.functions.text import unslug
@@ -19,7 +19,7 @@ IX = ("AQI", "DMI", "ONI", "RH")
 
 
 def r6(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: shown(c, 6) for c in cols})
 
 
 def target_days(spark, d):
@@ -80,21 +80,21 @@ _ANG = {"month": ("month(date)", 12), "dow": ("isodow(date) - 1", 7), "doy": ("d
 
 
 @query("c06_cyclic_fields", f"WITH {SD} SELECT location, date, " + ", ".join(
-    f"round({f}(2 * pi() * ({e}) / {p}), 6) AS {n}_{f}" for n, (e, p) in _ANG.items() for f in ("sin", "cos")) + " FROM sd", dates=("date",))
+    f"round({f}(2 * pi() * ({e}) / {p}) + 1e-9, 6) AS {n}_{f}" for n, (e, p) in _ANG.items() for f in ("sin", "cos")) + " FROM sd", dates=("date",))
 def c06(spark, d):
     t = cal.time_features(ad.daily(spark, d).select("location", "date"))
     cols = [f"{n}_{f}" for n in _ANG for f in ("sin", "cos")]
     return r6(t.select("location", "date", *cols), *cols)
 
 
-@query("c06_cyclic_fields_leap", f"WITH {SD} SELECT location, date, round(sin(2 * pi() * dayofyear(date) / 366), 6) AS doy_sin FROM sd", dates=("date",))
+@query("c06_cyclic_fields_leap", f"WITH {SD} SELECT location, date, round(sin(2 * pi() * dayofyear(date) / 366) + 1e-9, 6) AS doy_sin FROM sd", dates=("date",))
 def c06_leap(spark, d):
     t = cal.time_features(ad.daily(spark, d).select("location", "date"), year_days=366)
     return r6(t.select("location", "date", "doy_sin"), "doy_sin")
 
 
 @query("c07_season_fields", f"""WITH {SD} SELECT location, date, CAST((month(date) % 12) // 3 AS INTEGER) AS season,
-  round(0.5 * sin(2 * pi() * dayofyear(date) / 365) + 0.5 * cos(2 * pi() * dayofyear(date) / 365), 6) AS season_intensity,
+  round(0.5 * sin(2 * pi() * dayofyear(date) / 365) + 0.5 * cos(2 * pi() * dayofyear(date) / 365) + 1e-9, 6) AS season_intensity,
   CAST(month(date) IN (10, 11, 12, 1) AS INTEGER) AS is_peak_rain_season FROM sd""", dates=("date",))
 def c07(spark, d):
     t = cal.time_features(ad.daily(spark, d).select("location", "date"))
@@ -102,7 +102,7 @@ def c07(spark, d):
 
 
 @query("c08_time_sigmoid", f"""WITH {SD}, b AS (SELECT min(date) AS a, max(date) AS z FROM sd)
-SELECT location, date, round(1 / (1 + exp(-10 * (CAST(date - a AS DOUBLE) / (z - a) - 0.5))), 6) AS time_sigmoid FROM sd, b""", dates=("date",))
+SELECT location, date, round(1 / (1 + exp(-10 * (CAST(date - a AS DOUBLE) / (z - a) - 0.5))) + 1e-9, 6) AS time_sigmoid FROM sd, b""", dates=("date",))
 def c08(spark, d):
     return r6(cal.add_time_sigmoid(ad.daily(spark, d).select("location", "date")), "time_sigmoid")
 
@@ -144,9 +144,9 @@ def w01_frame(spark, d):
 
 def _rolling_sql(over: str) -> str:
     return f"""WITH {SD} SELECT location, date,
-  round(avg(mean_temperature_c) OVER ({over} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS mean_temp_roll_7d,
+  round(avg(mean_temperature_c) OVER ({over} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS mean_temp_roll_7d,
   max(highest_60_min_rainfall_mm) OVER ({over} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS max_rain_roll_3d,
-  round(avg(mean_wind_speed_kmh) OVER ({over} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS mean_wind_roll_7d FROM sd"""
+  round(avg(mean_wind_speed_kmh) OVER ({over} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS mean_wind_roll_7d FROM sd"""
 
 
 ROLLED = ("mean_temp_roll_7d", "max_rain_roll_3d", "mean_wind_roll_7d")
@@ -165,7 +165,7 @@ def w02_frame(spark, d):
 
 SPECS = [("mean_temperature_c", [1, 7]), (ad.TARGET, [1, 3, 7])]
 _LAGROLL = ", ".join(
-    f"lag({c}, {k}) OVER ({PW}) AS {c}_lag_{k}, round(avg({c}) OVER ({PW} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 6) AS {c}_roll_mean_{k}, "
+    f"lag({c}, {k}) OVER ({PW}) AS {c}_lag_{k}, round(avg({c}) OVER ({PW} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) + 1e-9, 6) AS {c}_roll_mean_{k}, "
     f"max({c}) OVER ({PW} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {c}_roll_max_{k}" for c, ks in SPECS for k in ks)
 
 
@@ -178,7 +178,7 @@ def w03(spark, d):
 
 @query("w03_lag_rolling_bleed", f"""WITH {SD},
 s AS (SELECT location, date, lag(mean_temperature_c) OVER ({PW}) AS p FROM sd)
-SELECT location, date, round(CASE WHEN count(p) OVER w >= 2 THEN avg(p) OVER w END, 6) AS mean_temperature_c_roll_mean_5 FROM s
+SELECT location, date, round(CASE WHEN count(p) OVER w >= 2 THEN avg(p) OVER w END + 1e-9, 6) AS mean_temperature_c_roll_mean_5 FROM s
 WINDOW w AS (ORDER BY location, date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", dates=("date",))
 def w03_bleed(spark, d):
     x = ad.weather(spark, d).select("location", "date", "mean_temperature_c")
@@ -243,7 +243,7 @@ def j06(spark, d):
 
 @query("w06_index_lags", f"WITH {FILLED_IX} SELECT date, ONI, " + ", ".join(
     [f"lag(ONI, {k}) OVER (ORDER BY date) AS ONI_lag_{k}" for k in (1, 2, 3, 6)] +
-    [f"round(avg(ONI) OVER (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 6) AS ONI_rolling_mean_{k}" for k in (3, 6, 12)])
+    [f"round(avg(ONI) OVER (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) AS ONI_rolling_mean_{k}" for k in (3, 6, 12)])
     + " FROM ext", dates=("date",))
 def w06(spark, d):
     out = win.index_lags(external(spark, d).select("date", "ONI"), ["ONI"])
@@ -358,14 +358,14 @@ def j07(spark, d):
 g AS (SELECT latitude, longitude, min(gauge_id) AS gauge_id FROM gauges GROUP BY 1, 2),
 x AS (SELECT station_code, gauge_id, round(2 * 6371 * asin(sqrt(
    sin((radians(g.latitude) - radians(s.latitude)) / 2) ** 2 + cos(radians(s.latitude)) * cos(radians(g.latitude))
-   * sin((radians(g.longitude) - radians(s.longitude)) / 2) ** 2)), 9) AS km FROM stations s, g)
-SELECT station_code, gauge_id, round(km, 6) AS distance_km FROM x
+   * sin((radians(g.longitude) - radians(s.longitude)) / 2) ** 2)) + 1e-9, 9) AS km FROM stations s, g)
+SELECT station_code, gauge_id, round(km + 1e-9, 6) AS distance_km FROM x
 QUALIFY row_number() OVER (PARTITION BY station_code ORDER BY km, gauge_id) = 1""")
 def j08(spark, d):
     return r6(jn.nearest_point(ad.stations(spark, d), ad.gauges(spark, d), "station_code", "gauge_id", cell_deg=0.02), "distance_km")
 
 
-@query("j09_totals_with_gauge", f"""WITH {READINGS}, t AS (SELECT station_id, CAST(timestamp AS DATE) AS date, round(sum(rainfall_mm), 4) AS mm
+@query("j09_totals_with_gauge", f"""WITH {READINGS}, t AS (SELECT station_id, CAST(timestamp AS DATE) AS date, round(sum(rainfall_mm) + 1e-9, 4) AS mm
   FROM readings GROUP BY 1, 2), g AS (SELECT DISTINCT event_type AS station_id, length(event_type) * 1.0::DOUBLE AS latitude FROM events WHERE event_type <> 'view')
 SELECT station_id, date, mm, latitude FROM t LEFT JOIN g USING (station_id)""", dates=("date",))
 def j09(spark, d):
@@ -373,7 +373,7 @@ def j09(spark, d):
     meta = r.filter("station_id <> 'view'").select("station_id").distinct().select(
         "station_id", F.struct((F.length("station_id") * 1.0).cast("double").alias("latitude")).alias("location"))
     t = feeds.daily_totals(r).join(meta, "station_id", "left")
-    return t.select("station_id", "date", F.round("daily_rainfall_total_mm", 4).alias("mm"), "location.latitude")
+    return t.select("station_id", "date", shown("daily_rainfall_total_mm", 4).alias("mm"), "location.latitude")
 
 
 @query("j10_scalar_threshold", f"""WITH {SD}, t AS (SELECT quantile_cont(extracted_mm, 0.9) AS p90 FROM sd)
@@ -404,8 +404,8 @@ def _nbr(k):
 
 
 @query("j11_neighbor_rain", f"""WITH {SD}, {EDGES}, {_nbr(0)}, {_nbr(1)}
-SELECT sd.location, sd.date, round(n0.mean, 6) AS neighbor_highest_30_min_rainfall_mm_mean_lag0, n0.mx AS neighbor_highest_30_min_rainfall_mm_max_lag0,
-  round(n1.mean, 6) AS neighbor_highest_30_min_rainfall_mm_mean_lag1, n1.mx AS neighbor_highest_30_min_rainfall_mm_max_lag1
+SELECT sd.location, sd.date, round(n0.mean + 1e-9, 6) AS neighbor_highest_30_min_rainfall_mm_mean_lag0, n0.mx AS neighbor_highest_30_min_rainfall_mm_max_lag0,
+  round(n1.mean + 1e-9, 6) AS neighbor_highest_30_min_rainfall_mm_mean_lag1, n1.mx AS neighbor_highest_30_min_rainfall_mm_max_lag1
 FROM sd LEFT JOIN n0 USING (location, date) LEFT JOIN n1 USING (location, date)""", dates=("date",))
 def j11(spark, d):
     x = ad.weather(spark, d).select("location", "date", ad.RAIN[0])
@@ -416,7 +416,7 @@ def j11(spark, d):
 @query("w10_neighbor_target_lags", f"""WITH {SD}, {EDGES},
 axis AS (SELECT date, row_number() OVER (ORDER BY date) AS r FROM (SELECT DISTINCT date FROM sd) AS dd),
 means AS (SELECT edges.location, r, avg(daily_rainfall_total_mm) AS v FROM edges JOIN sd ON sd.location = neighbor JOIN axis USING (date) GROUP BY 1, 2)
-SELECT sd.location, sd.date, round(a.v, 6) AS nbr_target_mean_lag1, round(b.v, 6) AS nbr_target_mean_lag7
+SELECT sd.location, sd.date, round(a.v + 1e-9, 6) AS nbr_target_mean_lag1, round(b.v + 1e-9, 6) AS nbr_target_mean_lag7
 FROM sd JOIN axis USING (date) LEFT JOIN means a ON a.location = sd.location AND a.r = axis.r - 1
 LEFT JOIN means b ON b.location = sd.location AND b.r = axis.r - 7""", dates=("date",))
 def w10(spark, d):
@@ -457,12 +457,12 @@ c AS (SELECT x.location AS a, y.location AS b, count(*) AS n, corr(x.daily_rainf
       FROM sd x JOIN sd y USING (date) WHERE x.daily_rainfall_total_mm IS NOT NULL AND y.daily_rainfall_total_mm IS NOT NULL GROUP BY 1, 2)"""
 
 
-@query("a19_location_correlation", f"WITH {CORR} SELECT a, b, n, CASE WHEN isnan(r) THEN NULL ELSE round(r, 6) END AS corr FROM c")
+@query("a19_location_correlation", f"WITH {CORR} SELECT a, b, n, CASE WHEN isnan(r) THEN NULL ELSE round(r + 1e-9, 6) END AS corr FROM c")
 def a19(spark, d):
     return r6(co.correlation_matrix(target_days(spark, d), "date", "location", ad.TARGET), "corr")
 
 
-@query("t04_top_neighbors", f"""WITH {CORR} SELECT a AS location, b AS neighbor, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rank, round(r, 6) AS corr
+@query("t04_top_neighbors", f"""WITH {CORR} SELECT a AS location, b AS neighbor, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rank, round(r + 1e-9, 6) AS corr
 FROM c WHERE a <> b AND NOT isnan(r) AND r > 0.01 QUALIFY rank <= 3""")
 def t04(spark, d):
     corr = co.correlation_matrix(target_days(spark, d), "date", "location", ad.TARGET)
@@ -470,7 +470,7 @@ def t04(spark, d):
 
 
 @query("a20_wet_day_correlation", f"""WITH {CALENDAR}, w AS (SELECT location, year, doy, CASE WHEN daily_rainfall_total_mm > 0 THEN 1 ELSE 0 END AS wet FROM cal)
-SELECT x.location, x.year AS a, y.year AS b, count(*) AS n, CASE WHEN isnan(corr(x.wet, y.wet)) THEN NULL ELSE round(corr(x.wet, y.wet), 6) END AS corr
+SELECT x.location, x.year AS a, y.year AS b, count(*) AS n, CASE WHEN isnan(corr(x.wet, y.wet)) THEN NULL ELSE round(corr(x.wet, y.wet) + 1e-9, 6) END AS corr
 FROM w x JOIN w y ON x.location = y.location AND x.doy = y.doy GROUP BY 1, 2, 3""")
 def a20(spark, d):
     full = sp.full_calendar_years(target_days(spark, d), ["location"])
@@ -481,8 +481,8 @@ def a20(spark, d):
 @query("a21_extreme_persistence", f"""WITH {SD}, t AS (SELECT location, quantile_cont(daily_rainfall_total_mm, 0.95) AS thr FROM sd GROUP BY 1),
 y AS (SELECT location, year, count(*) AS n, max(daily_rainfall_total_mm) AS mx FROM sd JOIN t USING (location) WHERE daily_rainfall_total_mm >= thr GROUP BY 1, 2),
 l AS (SELECT *, lag(n) OVER (PARTITION BY location ORDER BY year) AS n0, lag(mx) OVER (PARTITION BY location ORDER BY year) AS mx0 FROM y)
-SELECT location, CASE WHEN isnan(corr(n, n0)) THEN NULL ELSE round(corr(n, n0), 6) END AS extreme_count_corr,
-  CASE WHEN isnan(corr(mx, mx0)) THEN NULL ELSE round(corr(mx, mx0), 6) END AS extreme_max_corr, count(*) AS n_years
+SELECT location, CASE WHEN isnan(corr(n, n0)) THEN NULL ELSE round(corr(n, n0) + 1e-9, 6) END AS extreme_count_corr,
+  CASE WHEN isnan(corr(mx, mx0)) THEN NULL ELSE round(corr(mx, mx0) + 1e-9, 6) END AS extreme_max_corr, count(*) AS n_years
 FROM l GROUP BY 1 HAVING count(*) >= 2""")
 def a21(spark, d):
     return r6(co.extreme_year_persistence(target_days(spark, d), ad.TARGET), "extreme_count_corr", "extreme_max_corr")

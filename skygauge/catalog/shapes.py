@@ -27,8 +27,7 @@ wk AS (SELECT location, year, week, avg(extracted_mm) AS e, avg(cv_predicted_mm)
               avg(obs_predicted_mm) AS o, avg(observed_mm) AS ob FROM labelled GROUP BY ALL),
 spine AS (SELECT location, year, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS date
           FROM labelled GROUP BY location, year),
-weekly AS (SELECT s.location, s.year, s.date, round(e, 6) AS extracted_mm, round(c, 6) AS cv_predicted_mm,
-                  round(o, 6) AS obs_predicted_mm, round(ob, 6) AS observed_mm
+weekly AS (SELECT s.location, s.year, s.date, e AS extracted_mm, c AS cv_predicted_mm, o AS obs_predicted_mm, ob AS observed_mm
            FROM spine s LEFT JOIN wk ON s.location = wk.location AND s.year = wk.year AND s.date = wk.week)"""
 
 READINGS = """readings AS (SELECT event_type AS station_id, ts AS timestamp, value AS rainfall_mm FROM events)"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skygauge.catalog.registry import query
+from skygauge.catalog.registry import query, shown
 from skygauge.catalog.shapes import CELLS, GAUGES, READINGS, SD, STATIONS
 from skygauge.functions import calendar as cal
 from skygauge.functions import text
@@ -41,13 +41,13 @@ def io01(spark, d):
     return typed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in ad.FEATURES])
 
 
-@query("io02_concat_folder", f"""WITH {SD} SELECT date, count(*) AS n, round(sum(max_wind_speed_kmh), 4) AS wind FROM sd GROUP BY 1""",
+@query("io02_concat_folder", f"""WITH {SD} SELECT date, count(*) AS n, round(sum(max_wind_speed_kmh) + 1e-9, 4) AS wind FROM sd GROUP BY 1""",
        dates=("date",))
 def io02(spark, d):
     rows = files.concat_folder(spark, land_csv(spark, d))
     assert "csv_files" in rows.columns
     return cl.convert_numeric(rows, ad.FEATURES).groupBy(F.col("date").try_cast("date").alias("date")).agg(
-        F.count("csv_files").alias("n"), F.round(F.sum("max_wind_speed_kmh"), 4).alias("wind"))
+        F.count("csv_files").alias("n"), shown(F.sum("max_wind_speed_kmh"), 4).alias("wind"))
 
 
 @query("io03_concat_stations", WEATHER_SQL, dates=("date",))
@@ -75,12 +75,12 @@ def io06(spark, d):
 
 
 @query("io07_stations_json", f"""WITH {STATIONS} SELECT CAST(station_code AS VARCHAR) AS station_code, station_name,
-  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM stations""")
+  round(latitude + 1e-9, 6) AS latitude, round(longitude + 1e-9, 6) AS longitude FROM stations""")
 def io07(spark, d):
     path = scratch_dir(spark, "stations")
     ad.stations(spark, d).withColumn("station_code", F.col("station_code").cast("string")).write.json(path)
     return files.read_stations(spark, path, one_array=False).withColumns(
-        {c: F.round(c, 6) for c in ("latitude", "longitude")})
+        {c: shown(c, 6) for c in ("latitude", "longitude")})
 
 
 def readings_feed(spark, d):
@@ -92,21 +92,21 @@ def readings_feed(spark, d):
     return e.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
 
 
-@query("io08_flatten_readings", """SELECT event_type AS station_id, date_trunc('second', ts) AS timestamp, round(value, 4) AS rainfall_mm FROM events
-UNION ALL SELECT 'U' || (user_id % 10), date_trunc('second', ts), round(value, 4) FROM events""", stamps=("timestamp",))
+@query("io08_flatten_readings", """SELECT event_type AS station_id, date_trunc('second', ts) AS timestamp, round(value + 1e-9, 4) AS rainfall_mm FROM events
+UNION ALL SELECT 'U' || (user_id % 10), date_trunc('second', ts), round(value + 1e-9, 4) FROM events""", stamps=("timestamp",))
 def io08(spark, d):
     out = feeds.flatten_readings(feeds.parse(readings_feed(spark, d), feeds.READINGS_SCHEMA))
-    return out.withColumn("rainfall_mm", F.round("rainfall_mm", 4))
+    return out.withColumn("rainfall_mm", shown("rainfall_mm", 4))
 
 
-@query("io09_flatten_gauges", f"""WITH {GAUGES} SELECT CAST(gauge_id AS VARCHAR) AS station_id, round(latitude, 6) AS latitude,
-  round(longitude, 6) AS longitude FROM gauges""")
+@query("io09_flatten_gauges", f"""WITH {GAUGES} SELECT CAST(gauge_id AS VARCHAR) AS station_id, round(latitude + 1e-9, 6) AS latitude,
+  round(longitude + 1e-9, 6) AS longitude FROM gauges""")
 def io09(spark, d):
     g = ad.gauges(spark, d).select(F.to_json(F.struct(F.struct(F.array(F.struct(
         F.col("gauge_id").cast("string").alias("id"), F.struct("latitude", "longitude").alias("location"))).alias("stations"))
         .alias("metadata"))).alias("value"))
     out = feeds.flatten_gauges(feeds.parse(g, feeds.STATIONS_SCHEMA))
-    return out.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return out.withColumns({c: shown(c, 6) for c in ("latitude", "longitude")})
 
 
 def rain_feed(spark, d):
@@ -156,18 +156,18 @@ def io12(spark, d):
     return files.load_training(spark, path, ["extracted_mm"])
 
 
-@query("io13_replace_daily_mart", f"""WITH {SD} SELECT year, count(*) AS n, round(sum(extracted_mm), 4) AS mm FROM sd GROUP BY 1""")
+@query("io13_replace_daily_mart", f"""WITH {SD} SELECT year, count(*) AS n, round(sum(extracted_mm) + 1e-9, 4) AS mm FROM sd GROUP BY 1""")
 def io13(spark, d):
     mart = marts.replace_mart(ad.daily(spark, d), scratch_dir(spark, "daily"))
-    return mart.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("extracted_mm"), 4).alias("mm"))
+    return mart.groupBy("year").agg(F.count(F.lit(1)).alias("n"), shown(F.sum("extracted_mm"), 4).alias("mm"))
 
 
 @query("io17_submission", f"""WITH {SD} SELECT lower(location) || '_' || strftime(date, '%Y_%m_%d') AS "ID (kota)",
   CAST(year(date) AS INTEGER) AS tahun, CAST(month(date) AS INTEGER) AS bulan, CAST(day(date) AS INTEGER) AS hari,
-  round(greatest(cv_predicted_mm - 20, 0), 6) AS prediksi FROM sd""")
+  round(greatest(cv_predicted_mm - 20, 0) + 1e-9, 6) AS prediksi FROM sd""")
 def io17(spark, d):
     p = ad.daily(spark, d).withColumn("prediksi", F.col("cv_predicted_mm") - 20)
-    return files.submission(p).withColumn("prediksi", F.round("prediksi", 6))
+    return files.submission(p).withColumn("prediksi", shown("prediksi", 6))
 
 
 @query("io18_load_training", WEATHER_SQL.replace("location, date", "date"), dates=("date",))
@@ -178,10 +178,10 @@ def io18(spark, d):
 # ---- feeds: aggregates ------------------------------------------------------
 
 @query("a12_gauge_daily_totals", f"""WITH {READINGS} SELECT station_id, CAST(timestamp AS DATE) AS date,
-  round(sum(rainfall_mm), 4) AS daily_rainfall_total_mm FROM readings GROUP BY 1, 2""", dates=("date",))
+  round(sum(rainfall_mm) + 1e-9, 4) AS daily_rainfall_total_mm FROM readings GROUP BY 1, 2""", dates=("date",))
 def a12(spark, d):
     t = feeds.daily_totals(ad.readings(spark, d))
-    return t.withColumn("daily_rainfall_total_mm", F.round("daily_rainfall_total_mm", 4))
+    return t.withColumn("daily_rainfall_total_mm", shown("daily_rainfall_total_mm", 4))
 
 
 def _roll(k: int) -> str:
@@ -192,20 +192,20 @@ def _roll(k: int) -> str:
 @query("a13_rolling_rain_maxima", f"""WITH {CELLS},
 c AS (SELECT station_id, CAST(time AS DATE) AS date, time, rain_15min_mm AS v FROM cells),
 r AS (SELECT station_id, date, {_roll(2)} AS a, {_roll(4)} AS b, {_roll(8)} AS c FROM c)
-SELECT station_id, date, round(max(a), 4) AS highest_30_min_rainfall_mm, round(max(b), 4) AS highest_60_min_rainfall_mm,
-  round(max(c), 4) AS highest_120_min_rainfall_mm FROM r GROUP BY 1, 2""", dates=("date",))
+SELECT station_id, date, round(max(a) + 1e-9, 4) AS highest_30_min_rainfall_mm, round(max(b) + 1e-9, 4) AS highest_60_min_rainfall_mm,
+  round(max(c) + 1e-9, 4) AS highest_120_min_rainfall_mm FROM r GROUP BY 1, 2""", dates=("date",))
 def a13(spark, d):
     cells = ad.quarter_hours(spark, d).withColumn("date", F.to_date("time"))
     out = win.rolling_maxima(cells, ["station_id", "date"], "time", "rain_15min_mm")
-    return out.withColumns({c: F.round(c, 4) for c in ad.RAIN})
+    return out.withColumns({c: shown(c, 4) for c in ad.RAIN})
 
 
 @query("m23_feature_rows", f"""WITH {CELLS},
 c AS (SELECT station_id, CAST(time AS DATE) AS date, time, rain_15min_mm AS v FROM cells),
 r AS (SELECT station_id, date, {_roll(2)} AS a, {_roll(4)} AS b, {_roll(8)} AS c FROM c),
 w AS (SELECT event_type AS station_id, CAST(ts AS DATE) AS date, max(user_id % 30) AS t FROM events GROUP BY 1, 2)
-SELECT r.station_id AS location, r.date, CAST(any_value(t) AS DOUBLE) AS mean_temperature_c, round(max(a), 4) AS highest_30_min_rainfall_mm,
-  round(max(b), 4) AS highest_60_min_rainfall_mm, round(max(c), 4) AS highest_120_min_rainfall_mm
+SELECT r.station_id AS location, r.date, CAST(any_value(t) AS DOUBLE) AS mean_temperature_c, round(max(a) + 1e-9, 4) AS highest_30_min_rainfall_mm,
+  round(max(b) + 1e-9, 4) AS highest_60_min_rainfall_mm, round(max(c) + 1e-9, 4) AS highest_120_min_rainfall_mm
 FROM r JOIN w USING (station_id, date) GROUP BY 1, 2""", dates=("date",))
 def m23(spark, d):
     """Feature rows of many station-days at once: weather feed joined to the rain maxima."""
@@ -218,7 +218,7 @@ def m23(spark, d):
     daily = feeds.flatten_weather(feeds.parse(text_feed, feeds.WEATHER_SCHEMA))
     rain = feeds.flatten_rain(feeds.parse(rain_feed(spark, d), feeds.RAIN_SCHEMA))
     rows = feature_rows(daily, rain.withColumnRenamed("station_id", "location"))
-    return rows.select("location", "date", "mean_temperature_c", *[F.round(c, 4).alias(c) for c in ad.RAIN])
+    return rows.select("location", "date", "mean_temperature_c", *[shown(c, 4).alias(c) for c in ad.RAIN])
 
 
 def feature_rows(daily, rain):
@@ -332,10 +332,10 @@ def pf13_keep(spark, d):
     return _filter_train(spark, d, "keep")
 
 
-@query("pf14_clip", f"WITH {SD} SELECT location, date, round(greatest(cv_predicted_mm - 20, 0), 6) AS p FROM sd", dates=("date",))
+@query("pf14_clip", f"WITH {SD} SELECT location, date, round(greatest(cv_predicted_mm - 20, 0) + 1e-9, 6) AS p FROM sd", dates=("date",))
 def pf14(spark, d):
     p = F.greatest(F.col("cv_predicted_mm") - 20, F.lit(0.0))
-    return ad.daily(spark, d).select("location", "date", F.round(p, 6).alias("p"))
+    return ad.daily(spark, d).select("location", "date", shown(p, 6).alias("p"))
 
 
 @query("pf15_forecast_window", f"""WITH {SD}, t AS (SELECT CAST(max(date) + INTERVAL 20 HOUR + INTERVAL 8 HOUR AS DATE) - 30 AS today FROM sd)
@@ -378,10 +378,10 @@ _FLAGS = ad.FEATURES[:5]
 
 @query("a23_missing_correlation", f"WITH {SD} " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isnan(corr(CAST({a} IS NULL AS INT), CAST({b} IS NULL AS INT))) THEN NULL "
-    f"ELSE round(corr(CAST({a} IS NULL AS INT), CAST({b} IS NULL AS INT)), 6) END AS corr FROM sd"
+    f"ELSE round(corr(CAST({a} IS NULL AS INT), CAST({b} IS NULL AS INT)) + 1e-9, 6) END AS corr FROM sd"
     for a in _FLAGS for b in _FLAGS))
 def a23(spark, d):
-    return cl.missing_correlation(ad.weather(spark, d), _FLAGS).withColumn("corr", F.round("corr", 6))
+    return cl.missing_correlation(ad.weather(spark, d), _FLAGS).withColumn("corr", shown("corr", 6))
 
 
 _NULLS = " + ".join(f"(count(*) - count({c}))" for c in ad.FEATURES)

@@ -27,21 +27,21 @@ def digitise(dots: DataFrame, ticks: DataFrame, labels: DataFrame, grid: DataFra
     dots, ticks, labels, grid, days = (cut_lineage(t) for t in (dots, ticks, labels, grid, days))
     extent = extent if extent is not None else dots.groupBy("plot_id").agg(
         F.min("x").alias("blue_min_x"), F.max("x").alias("blue_max_x"))
-    snapped_labels = axes.snap(labels, grid.filter("axis = 'y'"), "y", "value", label_tol)
-    snapped = axes.snap(ticks, grid.filter("axis = 'x'"), "x", "x", tick_tol)
-    spacings = gaps.common_spacings(dots)
+    snapped_labels = cut_lineage(axes.snap(labels, grid.filter("axis = 'y'"), "y", "value", label_tol))
+    snapped = cut_lineage(axes.snap(ticks, grid.filter("axis = 'x'"), "x", "x", tick_tol))
+    spacings = cut_lineage(gaps.common_spacings(dots))
     cand = cut_lineage(gaps.spacing_candidates(spacings))
     bounds = cut_lineage(axes.boundaries(extent, grid, snapped, cand.select("plot_id", F.col("c2").alias("delta"))))
-    full = axes.extend_ticks(snapped, bounds)
+    full = cut_lineage(axes.extend_ticks(snapped, bounds))
     window = axes.time_window(full, bounds)
     n_dots = dots.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n_dots"))
     need = cut_lineage(window.join(n_dots, "plot_id").select("plot_id", (F.col("expected_n") - F.col("n_dots")).alias("n_missing")))
 
     length = days.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n_days"))
     tol = length.select("plot_id", F.greatest(F.floor(365 / F.col("n_days")), F.lit(1)).cast("double").alias("tol"))
-    anchor = series.pick_anchor(series.tick_matches(snapped, dots, spacings, tol))
+    anchor = cut_lineage(series.pick_anchor(series.tick_matches(snapped, dots, spacings, tol)))
 
-    holes = gaps.missing_ranges(dots, bounds, full, cand).join(need.filter("n_missing <> 0"), "plot_id", "left_semi")
+    holes = cut_lineage(gaps.missing_ranges(dots, bounds, full, cand).join(need.filter("n_missing <> 0"), "plot_id", "left_semi"))
     options = gaps.gap_options(holes, need, cand)
     chosen = cut_lineage(gaps.choose_options(options))
     solved = need.filter("n_missing = 0").select("plot_id").unionByName(chosen.select("plot_id").distinct())

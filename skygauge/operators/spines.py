@@ -38,7 +38,7 @@ def align_to_daily(df: DataFrame, date: str = "date") -> DataFrame:
 def weekly_mart(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Weekly means per (location, year); weeks end on Sunday, empty weeks stay as null rows."""
     wk = df.groupBy("location", "year", week_label("date").alias("date")).agg(
-        *[F.round(F.avg(v), 6).alias(v) for v in values])
+        *[F.avg(v).alias(v) for v in values])
     spine = wk.groupBy("location", "year").agg(F.min("date").alias("_a"), F.max("date").alias("_b")).select(
         "location", "year", F.explode(F.sequence("_a", "_b", F.expr("interval 7 days"))).alias("date"))
     return spine.join(wk, ["location", "year", "date"], "left")
