@@ -87,27 +87,30 @@ def gap_options(gaps: DataFrame, missing: DataFrame, cand: DataFrame) -> DataFra
 
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     """One option per gap so that the extras sum to ``remaining`` at least cost; empty if there is none."""
+    cols = ["plot_id", "gap", "extra", "a", "b", "cost"]
+    pdf = pdf.sort_values(["gap", "extra"], ascending=[True, False], ignore_index=True)  # ties: smallest earlier sum
     remaining, n_gaps = int(pdf.remaining.iloc[0]), int(pdf.n_gaps.iloc[0])
+    extra, step = pdf.extra.to_numpy(), pdf.cost.to_numpy()
+    first = np.searchsorted(pdf.gap.to_numpy(), np.arange(n_gaps + 1))
     cost = np.full(remaining + 1, np.inf)
     cost[0] = 0.0
     picks = []
     for gap in range(n_gaps):
-        opts = pdf[pdf.gap == gap].sort_values("extra", ascending=False)  # ties: smallest earlier sum
         best, pick = np.full(remaining + 1, np.inf), np.full(remaining + 1, -1)
-        for row, extra, c in zip(opts.index, opts.extra, opts.cost):
-            cand = np.full(remaining + 1, np.inf)
-            cand[extra:] = cost[:remaining + 1 - extra] + c
-            better = cand < best
-            best[better], pick[better] = cand[better], row
+        for row in range(first[gap], first[gap + 1]):
+            e = extra[row]
+            cand = cost[:remaining + 1 - e] + step[row]
+            better = cand < best[e:]
+            best[e:][better], pick[e:][better] = cand[better], row
         cost = best
         picks.append(pick)
     if not np.isfinite(cost[remaining]):
-        return pdf.iloc[:0][["plot_id", "gap", "extra", "a", "b", "cost"]]
+        return pdf.loc[[], cols]
     rows, s = [], remaining
     for pick in reversed(picks):
         rows.append(pick[s])
-        s -= int(pdf.extra.loc[pick[s]])
-    return pdf.loc[rows, ["plot_id", "gap", "extra", "a", "b", "cost"]]
+        s -= extra[pick[s]]
+    return pdf.loc[rows, cols]
 
 
 def choose_options(options: DataFrame) -> DataFrame:

@@ -28,8 +28,14 @@ RAW_HEADERS = {
 MISSING_MARK = ""
 ARCHIVE_COLUMNS = ("date", *[c for c in RAW_HEADERS if c != "date"], "location", "daily_rainfall_total_mm")
 
-FILE_STEM = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-PARENT = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
+def file_stem() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+
+
+def folder_name() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
 
 
 def _need_files(read):
@@ -75,7 +81,7 @@ def concat_folder(spark: SparkSession, path: str, output_dir: str | None = None,
     groups = first_lines(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
     if not groups:
         raise FileNotFoundError("No CSV files found")
-    ids = ids or {"csv_files": FILE_STEM}
+    ids = ids or {"csv_files": file_stem()}
     out = None
     for g in groups:
         part = read_station_csv(spark, g["files"], **ids)
@@ -87,17 +93,17 @@ def concat_folder(spark: SparkSession, path: str, output_dir: str | None = None,
 
 def concat_stations(spark: SparkSession, root: str) -> DataFrame:
     """Station folders in one scan: ``csv_files`` from the file, ``location`` from its folder."""
-    return concat_folder(spark, root, csv_files=FILE_STEM, location=PARENT)
+    return concat_folder(spark, root, csv_files=file_stem(), location=folder_name())
 
 
 def count_rows(spark: SparkSession, root: str) -> DataFrame:
-    return read_station_csv(spark, root, location=PARENT).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+    return read_station_csv(spark, root, location=folder_name()).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample_file(spark: SparkSession, root: str, seed: int = 0) -> DataFrame:
     """Rows of one file drawn by seed, with location from the folder and year from the file name."""
     year = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1), F.lit("")), F.lit("unknown"))
-    rows = read_station_csv(spark, root, location=PARENT, year=year, _file=F.col("_metadata.file_path"))
+    rows = read_station_csv(spark, root, location=folder_name(), year=year, _file=F.col("_metadata.file_path"))
     one = rows.select("_file").distinct().orderBy(F.xxhash64("_file", F.lit(seed)), "_file").limit(1)
     return rows.join(one, "_file", "left_semi").drop("_file")
 
