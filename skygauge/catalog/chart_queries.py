@@ -54,6 +54,7 @@ def a29(spark, d):
 @query("a30_top_border", f"""WITH {PIXELS}, r AS (SELECT plot_id, y, count(*) AS n FROM pixels WHERE x >= 0 AND x < {PLOT_END} AND y >= 10 GROUP BY 1, 2)
 SELECT plot_id, min(y) AS top FROM r WHERE n > {PLOT_END} * 0.02 GROUP BY 1""")
 def a30(spark, d):
+    d = ad.land_charts(spark, d)
     b = ad.plots(spark, d).select("plot_id", F.lit(0).alias("left"), F.lit(PLOT_END).alias("right"))
     return dots.top_border(ad.pixels(spark, d), b, share=0.02)
 
@@ -64,11 +65,13 @@ l AS (SELECT plot_id, axis, 'first' AS side, a AS pos FROM o UNION ALL SELECT pl
 
 @query("a32_border_spread", f"""WITH {CHARTS}, {GRID_ENDS} SELECT axis, side, min(pos) AS lo, max(pos) AS hi, round(stddev_pop(pos) + 1e-9, 6) AS std FROM l GROUP BY 1, 2""")
 def a32_spread(spark, d):
+    d = ad.land_charts(spark, d)
     return r6(dots.border_stats(ad.grid_lines(spark, d))[0], "std")
 
 
 @query("a32_border_counts", f"WITH {CHARTS}, {GRID_ENDS} SELECT axis, side, pos, count(*) AS n FROM l GROUP BY 1, 2, 3")
 def a32_counts(spark, d):
+    d = ad.land_charts(spark, d)
     return dots.border_stats(ad.grid_lines(spark, d))[1]
 
 
@@ -82,6 +85,7 @@ e AS (SELECT ax.plot_id, ax.x, ax.x - row_number() OVER (PARTITION BY ax.plot_id
       FROM ax LEFT JOIN (SELECT DISTINCT plot_id, x FROM pixels) AS p ON p.plot_id = ax.plot_id AND p.x = ax.x WHERE p.x IS NULL)
 SELECT plot_id, min(x) AS gap_start, max(x) AS gap_end FROM e GROUP BY plot_id, g""")
 def w15(spark, d):
+    d = ad.land_charts(spark, d)
     return colour_gaps(spark, d)
 
 
@@ -125,6 +129,7 @@ def ranges(spark, d):
 
 @query("w16_missing_ranges", f"WITH {RANGES} SELECT * FROM gp")
 def w16(spark, d):
+    d = ad.land_charts(spark, d)
     return ranges(spark, d)
 
 
@@ -144,6 +149,7 @@ def w18(spark, d):
 @query("j12_nearest_dot", f"""WITH {PLOTS} SELECT t.plot_id, t.label, CAST(abs(d.x - t.x) AS DOUBLE) AS dist, d.x AS dot_x, d.y AS dot_y
 FROM ticks t JOIN dots d ON d.plot_id = t.plot_id AND abs(d.x - t.x) <= 4 QUALIFY row_number() OVER (PARTITION BY t.plot_id, t.label ORDER BY abs(d.x - t.x), d.x) = 1""")
 def j12(spark, d):
+    d = ad.land_charts(spark, d)
     hit = jn.nearest_within(ad.ticks(spark, d).select("plot_id", "label", "x"), ad.dots(spark, d), "plot_id", "x", F.lit(4.0), "x", ["y"], width=8.0)
     return hit.select("plot_id", "label", F.col("near._d").cast("double").alias("dist"), F.col("near._rx").alias("dot_x"), F.col("near.y").alias("dot_y"))
 
@@ -154,6 +160,7 @@ FROM dots d JOIN (SELECT plot_id, max(value) AS mx FROM labels GROUP BY 1) AS m
 
 @query("j13_bracket_lookup", f"WITH {PLOTS} {MM}")
 def j13(spark, d):
+    d = ad.land_charts(spark, d)
     return r6(series.pixel_to_mm(ad.dots(spark, d), ad.labels(spark, d), out="mm"), "mm")
 
 
@@ -161,6 +168,7 @@ def j13(spark, d):
 SELECT d.plot_id, d.x, round(least(greatest((600.0::DOUBLE - d.y) / 4, 0), mx) + 1e-9, 6) AS mm FROM dots d JOIN cut USING (plot_id)""")
 def d14(spark, d):
     """Only labels up to 60: higher dots are clamped to the outer label."""
+    d = ad.land_charts(spark, d)
     low = ad.labels(spark, d).filter("value <= 60")
     return r6(series.pixel_to_mm(ad.dots(spark, d), low, out="mm").select("plot_id", "x", "mm"), "mm")
 
@@ -190,16 +198,19 @@ extra AS (SELECT plot_id, 0.0::DOUBLE AS value, lx AS x, ly + lv * ppu AS y FROM
 SELECT plot_id, round(value + 1e-9, 6) AS value, x, round(y + 1e-9, 6) AS y FROM kept SEMI JOIN s USING (plot_id)
 WHERE NOT EXISTS (SELECT 1 FROM extra x WHERE x.plot_id = kept.plot_id AND x.value = kept.value) UNION ALL SELECT plot_id, round(value + 1e-9, 6), x, round(y + 1e-9, 6) FROM extra""")
 def d04(spark, d):
+    d = ad.land_charts(spark, d)
     return r6(axes.value_labels(ad.tokens(spark, d)), "value", "y")
 
 
 @query("d05_snap_labels", f"WITH {PLOTS} SELECT plot_id, value, x, y + CAST(value / 20 AS INTEGER) % 2 AS y FROM labels")
 def d05_labels(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.snap(ad.labels(spark, d), ad.grid_lines(spark, d).filter("axis = 'y'"), "y", "value")
 
 
 @query("d05_snap_ticks", f"""WITH {PLOTS} SELECT plot_id, x - CASE WHEN month(date) % 3 = 0 THEN 1 ELSE 0 END AS x, date, label FROM ticks""", dates=("date",))
 def d05_ticks(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.snap(ad.ticks(spark, d), ad.grid_lines(spark, d).filter("axis = 'x'"), "x", "x")
 
 
@@ -217,12 +228,14 @@ EXT = """x AS (SELECT plot_id, min(dots.x) AS lo, max(dots.x) AS hi FROM dots GR
 @query("d06_boundaries", f"""WITH {CHARTS}, {EXT} SELECT plot_id, CASE WHEN lo >= 102 - 3 THEN 102 ELSE 100 + 2 END AS data_start,
   CASE WHEN hi <= data_end THEN data_end ELSE data_end + 6 END AS data_end FROM x JOIN plots USING (plot_id)""")
 def d06(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.boundaries(extent_of_dots(spark, d), ad.grid_lines(spark, d), ad.ticks(spark, d), _delta(spark, d))
 
 
 @query("d06_boundaries_older", f"""WITH {CHARTS}, {EXT} SELECT plot_id, CASE WHEN lo >= 102 - 3 THEN 102 ELSE 100 END AS data_start,
   CASE WHEN hi <= data_end + 6 + 3 THEN data_end ELSE hi END AS data_end FROM x JOIN plots USING (plot_id)""")
 def d06_older(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.older_boundaries(extent_of_dots(spark, d), ad.grid_lines(spark, d), ad.ticks(spark, d), _delta(spark, d))
 
 
@@ -241,6 +254,7 @@ ext AS (SELECT plot_id, x, CAST(sec AS DOUBLE) AS sec, label FROM mt UNION ALL S
 
 @query("d07_extend_ticks", f"WITH {MID} SELECT * FROM ext")
 def d07(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.extend_ticks(mid_ticks(spark, d), plot_bounds(spark, d))
 
 
@@ -250,6 +264,7 @@ k AS (SELECT plot_id, base, m, c, fx - dx >= 100 + 0.4 * dx AS fits, CASE WHEN f
 SELECT plot_id, fits AS "exists", CAST(x AS DOUBLE) AS x, CAST(round((base + m * x + c) / 3600) AS BIGINT) AS hour,
   CASE WHEN fits THEN 'estimated_missing_tick' ELSE 'border_fallback' END AS method FROM k""")
 def d07_left(spark, d):
+    d = ad.land_charts(spark, d)
     out = axes.missing_left_tick(mid_ticks(spark, d), border_x=100)
     hour = F.round(F.unix_micros("timestamp") / 3.6e9).cast("bigint")
     return out.select("plot_id", "exists", "x", hour.alias("hour"), "method")
@@ -262,6 +277,7 @@ w AS (SELECT plot_id, base + CAST(floor((m * data_start + c) / 86400 + 1.0::DOUB
 v AS (SELECT plot_id, a, CASE WHEN month(z) = 1 AND day(z) = 1 THEN z - 1 ELSE z END AS z FROM w)
 SELECT plot_id, least(a, z) AS t0, greatest(a, z) AS t1, greatest(a, z) - least(a, z) + 1 AS expected_n FROM v""", dates=("t0", "t1"))
 def d08(spark, d):
+    d = ad.land_charts(spark, d)
     return axes.time_window(tick_seconds(spark, d), plot_bounds(spark, d))
 
 
@@ -283,6 +299,7 @@ an AS (SELECT plot_id, x, y, date + days AS date FROM hit QUALIFY row_number() O
 
 @query("d09_anchor", f"WITH {ANCHOR} SELECT plot_id, x, y, CAST(date AS DATE) AS date FROM an", dates=("date",))
 def d09(spark, d):
+    d = ad.land_charts(spark, d)
     return anchors(spark, d)
 
 
@@ -303,11 +320,13 @@ op AS (SELECT *, CASE WHEN c1 = c2 THEN 0 ELSE (dx - m * c1) // nullif(c2 - c1,
 @query("d10_gap_options", f"""WITH {OPTIONS} SELECT plot_id, gap, n_gaps, remaining, extra, CAST(m - b AS INTEGER) AS a, CAST(b AS INTEGER) AS b,
   round(abs(CASE WHEN b = 0 THEN 1e9 ELSE CAST(m - b AS DOUBLE) / b END - target) + 1e-9, 6) AS cost FROM op""")
 def d10(spark, d):
+    d = ad.land_charts(spark, d)
     return r6(gaps.gap_options(ranges(spark, d), shortage(spark, d), candidates(spark, d)), "cost")
 
 
 @query("d11_chosen_options")
 def d11(spark, d):
+    d = ad.land_charts(spark, d)
     return gaps.choose_options(gaps.gap_options(ranges(spark, d), shortage(spark, d), candidates(spark, d)))
 
 
@@ -320,6 +339,7 @@ SELECT plot_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM dots
 UNION ALL SELECT plot_id, CASE WHEN gap = 0 AND fx > x_left THEN data_start + sk - s1 ELSE x_left + sk END, NULL FROM s""")
 def d12(spark, d):
     """Each gap takes its smallest feasible number of points."""
+    d = ad.land_charts(spark, d)
     holes, cand = ranges(spark, d), candidates(spark, d)
     o = gaps.gap_options(holes, shortage(spark, d), cand)
     least = o.groupBy("plot_id", "gap").agg(F.min_by(F.struct("extra", "a", "b", "cost"), "extra").alias("c")).select("plot_id", "gap", "c.*")
@@ -339,6 +359,7 @@ dy AS (SELECT plot_id, CAST(unnest(generate_series(make_date(year, 1, 1), make_d
 SELECT dy.plot_id, dy.date, CAST(rk.y AS DOUBLE) AS y FROM dy JOIN sh USING (plot_id) LEFT JOIN rk ON rk.plot_id = dy.plot_id AND rk.i + shift = dayofyear(dy.date)""",
        dates=("date",))
 def d13(spark, d):
+    d = ad.land_charts(spark, d)
     dot = ad.dots(spark, d)
     out = series.map_by_anchor(dot, anchors(spark, d), chart_days(spark, d))
     return out.withColumn("y", F.col("y").cast("double"))
@@ -365,12 +386,14 @@ sp AS (SELECT plot_id, unnest(range(0, n_days)) AS day FROM plots)"""
 @query("d15_dots_to_days", BUCKETS + """ SELECT sp.plot_id, sp.day, CASE WHEN bk.day IS NOT NULL THEN value WHEN hole.day IS NULL THEN 0 END AS value
 FROM sp LEFT JOIN bk USING (plot_id, day) LEFT JOIN hole USING (plot_id, day)""")
 def d15(spark, d):
+    d = ad.land_charts(spark, d)
     return r6(series.dots_to_days(chart_values(spark, d), chart_frames(spark, d))[0], "value")
 
 
 @query("d15_day_conflicts", BUCKETS + """ SELECT plot_id, count(*) FILTER (WHERE wet >= 2) AS multi_dot_nonzero, count(*) FILTER (WHERE wet = 1 AND zero >= 1) AS mixed_zero_nonzero
 FROM bk GROUP BY 1""")
 def d15_flags(spark, d):
+    d = ad.land_charts(spark, d)
     return series.dots_to_days(chart_values(spark, d), chart_frames(spark, d))[1]
 
 
@@ -387,26 +410,31 @@ def absolute_gaps(spark, d):
 
 @query("d16_allocate_slots")
 def d16(spark, d):
+    d = ad.land_charts(spark, d)
     return gaps.allocate_slots(dot_gaps(spark, d), shortage(spark, d))
 
 
 @query("d16_spread_slots")
 def d16_spread(spark, d):
+    d = ad.land_charts(spark, d)
     return gaps.spread_slots(gaps.allocate_slots(dot_gaps(spark, d), shortage(spark, d)))
 
 
 @query("d17_points_per_gap")
 def d17_points(spark, d):
+    d = ad.land_charts(spark, d)
     return gaps.points_per_gap(ad.dots(spark, d), absolute_gaps(spark, d), 2.7)
 
 
 @query("d17_one_point_per_gap")
 def d17_one(spark, d):
+    d = ad.land_charts(spark, d)
     return gaps.one_point_per_gap(ad.dots(spark, d), absolute_gaps(spark, d))
 
 
 @query("d17_missing_mask")
 def d17_mask(spark, d):
+    d = ad.land_charts(spark, d)
     step = (F.col("data_end") - F.col("data_start")) / (F.col("n_days") - 1)
     grid = chart_frames(spark, d).withColumn("day", F.explode(F.sequence(F.lit(0), F.col("n_days") - 1))).select(
         "plot_id", "day", (F.col("data_start") + F.col("day") * step).alias("x"))
@@ -425,16 +453,19 @@ def absent(spark, d):
 
 @query("d17_absent_days")
 def d17_absent(spark, d):
+    d = ad.land_charts(spark, d)
     return absent(spark, d)
 
 
 @query("d17_one_dot_per_day")
 def d17_daily(spark, d):
+    d = ad.land_charts(spark, d)
     kept, lost = series.one_dot_per_day(ad.dots(spark, d), chart_frames(spark, d), absent(spark, d))
     return kept.withColumn("kept", F.lit(True)).unionByName(lost.drop("x").withColumn("kept", F.lit(False)))
 
 
 def _digitised(spark, d):
+    d = ad.land_charts(spark, d)
     return digitise.digitise(ad.dots(spark, d), ad.ticks(spark, d), ad.labels(spark, d), ad.grid_lines(spark, d), chart_days(spark, d))
 
 
@@ -466,5 +497,6 @@ SELECT plot_id, round(value + 1e-9, 6) AS value, x, round(y + 1e-9, 6) AS y FROM
   SELECT plot_id, v AS value, x, y FROM low WHERE v <> 0
   UNION ALL SELECT plot_id, 0, lx, ly + lv * ppu FROM s UNION ALL SELECT plot_id, hv + (hy - 90) / ppu, hx, 90 FROM s JOIN hi USING (plot_id)) AS l""")
 def d19(spark, d):
+    d = ad.land_charts(spark, d)
     top = ad.plots(spark, d).select("plot_id", F.lit(90).alias("top"))
     return r6(axes.older_value_labels(ad.tokens(spark, d), top, 100), "value", "y")

@@ -10,6 +10,7 @@ from skygauge.functions import weather as wx
 from skygauge.operators import encoding as en
 from skygauge.operators import validation as va
 from skygauge.operators.ordering import attach_row, global_quantiles
+from skygauge.session import cut_lineage
 from skygauge.sources import adapters as ad
 
 T = ad.TARGET
@@ -76,7 +77,7 @@ IMP = ("highest_30_min_rainfall_mm", "mean_wind_speed_kmh")
 g AS (SELECT {', '.join(f'median({c}) AS {c}_g' for c in IMP)} FROM sd)
 SELECT location, date, {', '.join(f'coalesce({c}, {c}_l, {c}_g) AS {c}' for c in IMP)} FROM sd JOIN l USING (location), g""", dates=("date",))
 def s06(spark, d):
-    x = ad.weather(spark, d).select("location", "date", *IMP)
+    x = cut_lineage(ad.weather(spark, d).select("location", "date", *IMP))  # read by every fit
     return en.impute_medians(x, IMP, en.location_medians(x, IMP), en.global_medians(x, IMP))
 
 
@@ -85,7 +86,7 @@ l AS (SELECT location, median(highest_30_min_rainfall_mm) AS m FROM tr GROUP BY
 SELECT location, date, coalesce(highest_30_min_rainfall_mm, m, gm) AS highest_30_min_rainfall_mm FROM sd LEFT JOIN l USING (location), g""", dates=("date",))
 def s06_train(spark, d):
     """Medians of the training rows applied to all rows; a station unseen in training takes the global one."""
-    x = ad.station_days(spark, d).select("location", "date", "year", IMP[0])
+    x = cut_lineage(ad.station_days(spark, d).select("location", "date", "year", IMP[0]))
     train = x.filter(F.col("year") <= 1996).filter(F.col("location") != x.agg(F.min("location").alias("l")).scalar())
     out = en.impute_medians(x, IMP[:1], en.location_medians(train, IMP[:1]), en.global_medians(train, IMP[:1]))
     return out.drop("year")
@@ -95,7 +96,7 @@ def s06_train(spark, d):
   median(mean_wind_speed_kmh) AS mean_wind_speed_kmh_loc, any_value(a) AS highest_30_min_rainfall_mm_all, any_value(b) AS mean_wind_speed_kmh_all
 FROM sd, (SELECT median(highest_30_min_rainfall_mm) AS a, median(mean_wind_speed_kmh) AS b FROM sd) AS g GROUP BY 1""")
 def a14(spark, d):
-    x = ad.weather(spark, d)
+    x = cut_lineage(ad.weather(spark, d).select("location", *IMP))
     return attach_row(en.location_medians(x, IMP), en.global_medians(x, IMP))
 
 

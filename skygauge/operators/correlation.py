@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skygauge.operators.metrics import pair_corr
 from skygauge.operators.ordering import with_ordinal
+from skygauge.session import cut_lineage
 
 BLOCK = 64
 
@@ -55,19 +56,24 @@ def correlation_matrix(df: DataFrame, row: str, col: str, value: str, key: str |
     k = F.col(key).cast("string") if key else F.lit("")
     vals = df.filter(F.col(value).isNotNull()).select(
         k.alias("k"), F.col(row).alias("r"), F.col(col).alias("c"), F.col(value).cast("double").alias("v"))
-    vals = vals.groupBy("k", "r", "c").agg(F.avg("v").alias("v"))
+    vals = cut_lineage(vals.groupBy("k", "r", "c").agg(F.avg("v").alias("v")))  # read three times
     names = vals.groupBy("k", "c").agg(F.avg("v").alias("mean"))
     if key:  # columns of one key, e.g. years: bounded by the calendar
         names = names.withColumn("id", F.row_number().over(Window.partitionBy("k").orderBy("c")) - 1)
     else:
         names = with_ordinal(names, ["c"], "id")
+    names = cut_lineage(names)
+    one_block = (names.agg(F.max("id")).first()[0] or 0) < BLOCK
     slots = vals.join(names, ["k", "c"]).select(
         "k", "r", F.floor(F.col("id") / BLOCK).alias("blk"),
         F.struct((F.col("id") % BLOCK).cast("int").alias("slot"), (F.col("v") - F.col("mean")).alias("v")).alias("e"))
     packed = slots.groupBy("k", "r", "blk").agg(F.collect_list("e").alias("e"))
     left = packed.select("k", "r", F.col("blk").alias("bi"), F.col("e").alias("a"))
-    right = packed.select("k", "r", F.col("blk").alias("bj"), F.col("e").alias("b"))
-    pairs = left.join(right, ["k", "r"]).filter("bi <= bj").select("k", "bi", "bj", "a", "b")
+    if one_block:
+        pairs = left.select("k", "bi", F.col("bi").alias("bj"), "a", F.col("a").alias("b"))
+    else:
+        right = packed.select("k", "r", F.col("blk").alias("bj"), F.col("e").alias("b"))
+        pairs = left.join(right, ["k", "r"]).filter("bi <= bj").select("k", "bi", "bj", "a", "b")
     sums = pairs.mapInPandas(
         _gram_blocks, "k string, i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
     s = sums.groupBy("k", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])

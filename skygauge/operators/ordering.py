@@ -61,7 +61,7 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Seq
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(counts, ["_v"], {"_hi": "_n"})
-    total = counts.agg(F.sum("_n").alias("_total"))
+    total = cum.agg(F.max("_hi").alias("_total"))
     ranked = attach_row(cum, total)
     aggs = []
     for p, name in zip(probs, names):

@@ -16,7 +16,7 @@ def time_ordered_folds(df: DataFrame, k: int = 5, order: Sequence[str] = ("date"
     Fold i is tested on its rows and trained on every row before them.
     """
     ranked = with_ordinal(df, list(order))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = ranked.agg((F.max("ordinal") + 1).alias("n")).scalar()
     size = F.floor(F.col("_n") / (k + 1))
     back = F.ceil(F.try_divide(F.col("_n") - F.col("ordinal"), size))  # 1 for the last fold
     fold = F.when(back <= k, k + 1 - back).otherwise(0)

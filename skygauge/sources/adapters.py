@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skygauge.session import cut_lineage
+
 RAIN = ("highest_30_min_rainfall_mm", "highest_60_min_rainfall_mm", "highest_120_min_rainfall_mm")
 WEATHER = ("mean_temperature_c", "maximum_temperature_c", "minimum_temperature_c",
            "mean_wind_speed_kmh", "max_wind_speed_kmh")
@@ -124,8 +126,23 @@ def monthly_index(spark: SparkSession, sf_dir: str, name: str = "ONI") -> DataFr
     )
 
 
+class Landed(str):
+    """Data folder whose chart points have been written out once, for queries that read them often."""
+
+    days: DataFrame | None = None
+
+
+def land_charts(spark: SparkSession, sf_dir: str) -> Landed:
+    out = Landed(sf_dir)
+    out.days = cut_lineage(plot_days(spark, sf_dir))
+    return out
+
+
 def plot_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the yearly charts: one per station-day whose observed value is present."""
+    landed = getattr(sf_dir, "days", None)
+    if landed is not None:
+        return landed
     return (
         station_days(spark, sf_dir).filter("observed_mm IS NOT NULL")
         .select(F.concat_ws("-", F.regexp_replace("location", " ", "_"), F.col("year")).alias("plot_id"),
