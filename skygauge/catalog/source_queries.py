@@ -59,9 +59,9 @@ def io03(spark, d):
 
 @query("io04_header_audit", f"""WITH {SD} SELECT (SELECT count(DISTINCT location) FROM sd) AS stations, 1 AS headers""")
 def io04(spark, d):
-    audit = files.header_audit(spark, land_csv(spark, d)).withColumn("file", F.explode("files"))
     folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
-    return audit.agg(F.count_distinct(folder).alias("stations"), F.count_distinct("columns").alias("headers"))
+    return files.header_audit(spark, land_csv(spark, d)).agg(
+        F.count_distinct(folder).alias("stations"), F.count_distinct("columns").alias("headers"))
 
 
 @query("io05_count_rows", f"WITH {SD} SELECT location, count(*) AS n FROM sd GROUP BY 1")

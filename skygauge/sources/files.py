@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skygauge.functions.text import calendar_id, clean_header, station_name
 from skygauge.operators.cleaning import clean_headers, to_double
+from skygauge.session import cut_lineage
 
 # Raw headers of a yearly station file and its mark for a missing cell.
 RAW_HEADERS = {
@@ -66,26 +67,38 @@ def first_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Files per set of stripped column names."""
+    """``file, columns``: every file with its set of stripped column names."""
     names = F.sort_array(F.transform(F.split("header", ","), lambda c: F.trim(c)))
-    return first_lines(spark, path).groupBy(names.alias("columns")).agg(
-        F.sort_array(F.collect_list("file")).alias("files"))
+    return first_lines(spark, path).select("file", names.alias("columns"))
+
+
+def header_counts(audit: DataFrame) -> DataFrame:
+    """Number of files per set of column names; more than one row means the headers differ."""
+    return audit.groupBy("columns").agg(F.count(F.lit(1)).alias("n_files"), F.min("file").alias("example"))
 
 
 def concat_folder(spark: SparkSession, path: str, output_dir: str | None = None, **ids: Column) -> DataFrame:
     """All CSVs below a folder, columns matched by name, file ids added.
 
-    Files are read per exact header, as a CSV read goes by position; the list of
-    paths is what Spark's own file index keeps on the driver.
+    A CSV read goes by position, so files of several headers are read as lines and
+    parsed per header; only the distinct headers come to the driver.
     """
-    groups = first_lines(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    if not groups:
-        raise FileNotFoundError("No CSV files found")
     ids = ids or {"csv_files": file_stem()}
-    out = None
-    for g in groups:
-        part = read_station_csv(spark, g["files"], **ids)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    heads = cut_lineage(first_lines(spark, path))
+    headers = [r[0] for r in heads.select("header").distinct().orderBy("header").collect()]
+    if not headers:
+        raise FileNotFoundError("No CSV files found")
+    if len(headers) == 1:
+        out = read_station_csv(spark, path, **ids)
+    else:
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"), *[c.alias(n) for n, c in ids.items()])
+        lines = lines.join(heads, "file").filter(F.col("value") != F.col("header"))
+        out = None
+        for h in headers:
+            schema = ", ".join(f"`{clean_header(c)}` STRING" for c in h.split(","))
+            part = lines.filter(F.col("header") == h).select(F.from_csv("value", schema).alias("r"), *ids).select("r.*", *ids)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if output_dir:
         out.write.mode("overwrite").option("header", True).csv(output_dir)
     return out
