@@ -408,6 +408,14 @@ def absolute_gaps(spark, d):
     return dot_gaps(spark, d).select("plot_id", (F.col("a") + 102).alias("a"), (F.col("b") + 102).alias("b"))
 
 
+DOT_GAPS = PLOTS + """,
+ax AS (SELECT plot_id, CAST(unnest(range(0, data_end + 1 - data_start)) AS INTEGER) AS p FROM plots),
+free AS (SELECT ax.plot_id, p, p - row_number() OVER (PARTITION BY ax.plot_id ORDER BY p) AS g
+         FROM ax LEFT JOIN (SELECT DISTINCT plot_id, x - 102 AS q FROM dots) AS d ON d.plot_id = ax.plot_id AND q = p WHERE q IS NULL),
+dg AS (SELECT plot_id, min(p) AS a, max(p) AS b FROM free GROUP BY plot_id, g HAVING max(p) - min(p) >= 5),
+fr AS (SELECT plot_id, n_days, CAST(data_end - data_start AS DOUBLE) / (n_days - 1) AS step FROM plots)"""
+
+
 @query("d16_allocate_slots")
 def d16(spark, d):
     d = ad.land_charts(spark, d)
@@ -420,10 +428,12 @@ def d16_spread(spark, d):
     return gaps.spread_slots(gaps.allocate_slots(dot_gaps(spark, d), shortage(spark, d)))
 
 
-@query("d17_points_per_gap")
+@query("d17_points_per_gap", f"""WITH {DOT_GAPS}, n AS (SELECT plot_id, a + 102 AS a, CAST(greatest(round_even((b - a + 1) / 2.7::DOUBLE, 0), 1) AS BIGINT) AS n FROM dg),
+k AS (SELECT plot_id, a, unnest(range(0, n)) AS k FROM n)
+SELECT plot_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM dots UNION ALL SELECT plot_id, round(a + (k + 0.5) * 2.7::DOUBLE + 1e-9, 6), NULL FROM k""")
 def d17_points(spark, d):
     d = ad.land_charts(spark, d)
-    return gaps.points_per_gap(ad.dots(spark, d), absolute_gaps(spark, d), 2.7)
+    return r6(gaps.points_per_gap(ad.dots(spark, d), absolute_gaps(spark, d), 2.7), "x")
 
 
 @query("d17_one_point_per_gap")
@@ -432,7 +442,9 @@ def d17_one(spark, d):
     return gaps.one_point_per_gap(ad.dots(spark, d), absolute_gaps(spark, d))
 
 
-@query("d17_missing_mask")
+@query("d17_missing_mask", f"""WITH {DOT_GAPS}, g AS (SELECT plot_id, CAST(unnest(range(0, n_days)) AS INTEGER) AS day, step FROM fr),
+px AS (SELECT plot_id, day, 102 + day * step AS x FROM g)
+SELECT plot_id, day, EXISTS (SELECT 1 FROM dg WHERE dg.plot_id = px.plot_id AND x >= a + 102 AND x <= b + 102) AS missing FROM px""")
 def d17_mask(spark, d):
     d = ad.land_charts(spark, d)
     step = (F.col("data_end") - F.col("data_start")) / (F.col("n_days") - 1)
@@ -441,7 +453,8 @@ def d17_mask(spark, d):
     return series.missing_mask(grid, absolute_gaps(spark, d)).select("plot_id", "day", "missing")
 
 
-@query("d17_nearest_day")
+@query("d17_nearest_day", f"""WITH {DOT_GAPS}, q AS (SELECT plot_id, x, y, CAST(greatest(0, least(ceil((x - 102) / step - 0.5), n_days - 1)) AS INTEGER) AS day FROM dots JOIN fr USING (plot_id))
+SELECT plot_id, day, y FROM q QUALIFY row_number() OVER (PARTITION BY plot_id, day ORDER BY x DESC, y DESC) = 1""")
 def d17_nearest(spark, d):
     return series.nearest_day(ad.dots(spark, d), chart_frames(spark, d))
 
@@ -451,7 +464,9 @@ def absent(spark, d):
     return series.absent_days(g, chart_frames(spark, d))
 
 
-@query("d17_absent_days")
+@query("d17_absent_days", f"""WITH {DOT_GAPS}, n AS (SELECT plot_id, n_days, CAST(round_even(a / step, 0) AS BIGINT) AS f, CAST(round_even((b - a + 1) / step, 0) AS BIGINT) AS n FROM dg JOIN fr USING (plot_id)),
+e AS (SELECT plot_id, n_days, unnest(range(f, f + n)) AS day FROM n)
+SELECT DISTINCT plot_id, CAST(day AS INTEGER) AS day FROM e WHERE day >= 0 AND day < n_days""")
 def d17_absent(spark, d):
     d = ad.land_charts(spark, d)
     return absent(spark, d)

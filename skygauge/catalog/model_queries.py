@@ -209,7 +209,11 @@ def st01(spark, d):
     return out.withColumn("daily_rainfall_total_mm", shown("daily_rainfall_total_mm", 4))
 
 
-@query("st02_sliding_maxima_stream")
+@query("st02_sliding_maxima_stream", f"""WITH {READINGS},
+c AS (SELECT station_id, time_bucket(INTERVAL '15 minutes', timestamp) AS t, sum(rainfall_mm) AS mm FROM readings GROUP BY 1, 2)
+SELECT a.station_id, CAST(a.t AS DATE) AS date, round(max(a.mm + b.mm) + 1e-9, 4) AS highest_mm
+FROM c a JOIN c b ON a.station_id = b.station_id AND b.t = a.t + INTERVAL 15 MINUTE AND CAST(a.t AS DATE) = CAST(b.t AS DATE)
+WHERE CAST(CAST(a.t AS DATE) + 1 AS TIMESTAMP) <= {CLOSED} GROUP BY 1, 2""", dates=("date",))
 def st02(spark, d):
     out = live.drain(live.sliding_maxima(live.read_readings(spark, landed_readings(spark, d)), 30))
     return out.withColumn("highest_mm", shown("highest_mm", 4))
