@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skygauge.llm.jaccard import jaccard_join
-from skygauge.llm.mixing import mix, sized, training_order  # noqa: F401
+from skygauge.llm.mixing import mix, sized
 from skygauge.llm.storage import land, table
 from skygauge.llm.text import WORD_PATTERN
 
@@ -18,8 +19,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     mixed = mix(land(docs, "sizes"))
-    in_order = mixed.repartitionByRange(mixed.passes[0]["position"], "doc_id").sortWithinPartitions(mixed.passes[0]["position"], "doc_id")
-    return in_order.select("doc_id", "size", "source_size", "target", "taken")
+    first = F.get("passes", F.lit(0))["position"]
+    return mixed.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join, op9_mix_sources)}
@@ -32,7 +33,7 @@ WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(text, '{WORD_PATTERN}') AS w FROM documents
 ), grams AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, chr(10))]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], chr(10))) END) AS gram
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(10))) END) AS gram
     FROM words
 ), counts AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
 ), shared AS (
@@ -65,8 +66,8 @@ WITH sized AS (
         (sum(size) OVER (PARTITION BY src ORDER BY code, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
     FROM sized JOIN targets USING (src)
 )
-SELECT doc_id, size, source_size, target, list_sum(list_transform([0, 1, 2],
-    k -> greatest(0, least(size, to_take - before - k * source_size))))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, list_sum(list_transform([0, 1, 2], lambda k:
+    greatest(0, least(size, to_take - before - k * source_size))))::BIGINT AS taken
 FROM placed
 """
 
