@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skygauge.llm.counting import token_counts
 from skygauge.llm.jaccard import jaccard_join
 from skygauge.llm.mixing import mix, sized
+from skygauge.llm.packing import pack
+from skygauge.llm.rules import judge
 from skygauge.llm.storage import land, table
 from skygauge.llm.text import WORD_PATTERN
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs).drop("text", "lang", "class_distance", "common_distance")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).drop("text_hash")
@@ -23,7 +39,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources)}
 
 ORACLE_SQL: dict[str, str] = {}
 
