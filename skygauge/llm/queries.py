@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygauge.llm.counting import token_counts
+from skygauge.llm.forest import near_vectors
 from skygauge.llm.jaccard import jaccard_join
 from skygauge.llm.mixing import mix, sized
 from skygauge.llm.packing import pack
@@ -39,7 +40,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -88,6 +93,24 @@ FROM placed
 """
 
 
+#: Links of usable vectors by comparing every two rows, and their components.
+ORACLE_SQL["op10_embedding_near_dedup"] = """
+WITH RECURSIVE rows AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+    SELECT vec_id, list_transform(v, lambda c: c / sqrt(list_inner_product(v, v))) AS u FROM rows
+    WHERE len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(v, v) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM usable a, usable b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.u, b.u) >= 0.9
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM rows UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), lowest AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1
+), degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, component_id, coalesce(n_links, 0) AS n_links, vec_id = component_id AS kept
+FROM rows JOIN lowest ON lowest.x = vec_id LEFT JOIN degree ON degree.x = vec_id
+"""
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
