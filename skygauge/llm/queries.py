@@ -10,16 +10,27 @@ from skygauge.llm.forest import near_vectors
 from skygauge.llm.jaccard import jaccard_join
 from skygauge.llm.mixing import mix, sized
 from skygauge.llm.packing import pack
+from skygauge.llm.pii import find
+from skygauge.llm.quality import score, train
 from skygauge.llm.rules import judge
 from skygauge.llm.storage import land, table
 from skygauge.llm.text import WORD_PATTERN
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judge(docs).drop("text", "lang", "class_distance", "common_distance")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +55,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
