@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygauge.llm.counting import token_counts
+from skygauge.llm.extract import extract
 from skygauge.llm.forest import near_vectors
 from skygauge.llm.jaccard import jaccard_join
 from skygauge.llm.mixing import mix, sized
@@ -15,6 +16,11 @@ from skygauge.llm.quality import score, train
 from skygauge.llm.rules import judge
 from skygauge.llm.storage import land, table
 from skygauge.llm.text import WORD_PATTERN
+from skygauge.llm.warc import derive, responses
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +45,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derive(responses(table(spark, sf_dir, "pages")))
+    shown = made.withColumns({"content_length": F.length("block").cast("long"), "content": F.col("block").cast("string")})
+    return shown.drop("headers", "block")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).drop("text_hash")
@@ -55,7 +67,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_best_fit_packing, op6_token_counts, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_best_fit_packing, op6_token_counts, op7_warc_derivatives, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
