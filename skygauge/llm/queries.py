@@ -132,11 +132,3 @@ WITH RECURSIVE rows AS (
 SELECT vec_id, component_id, coalesce(n_links, 0) AS n_links, vec_id = component_id AS kept
 FROM rows JOIN lowest ON lowest.x = vec_id LEFT JOIN degree ON degree.x = vec_id
 """
-
-
-def queries() -> dict:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
