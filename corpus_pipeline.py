@@ -32,8 +32,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reading of every document that the mix takes, in training order; a partly needed one stays whole."""
-    return training_order(mix(sized(docs))).select(*docs.columns)
+    """Every reading of every document that the mix takes, in training order; a partly needed one is read whole or not at all."""
+    return training_order(mix(sized(docs))).where("2 * words >= size").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
