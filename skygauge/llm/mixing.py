@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
     def reading(k: int) -> Column:
         offset = F.col("_before") + k * F.col("source_size")
         taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("to_take") - offset))
-        return F.struct(F.lit(k).alias("pass"), taken.alias("words"), training_time((offset + taken / 2) / F.col("to_take"), F.col("cls"), schedules).alias("position"))
+        return F.struct(F.lit(k).alias("pass"), taken.alias("words"), training_time((offset + taken / 2) / F.greatest(F.col("to_take"), F.lit(1)), F.col("cls"), schedules).alias("position"))
 
     passes = F.filter(F.array(*[reading(k) for k in range(most)]), lambda x: x["words"] > 0)
     rows = rows.withColumn("passes", passes)
