@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skygauge.llm.text import runs
 
 #: Members of one block; a task holds two blocks at a time.
-BLOCK = 2048
+BLOCK = 1024
 Alike = Callable[[pd.Series, pd.Series | None], np.ndarray]
 
 

@@ -125,8 +125,9 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, similarity: float = SIMILARIT
         F.col("row.doc_id").alias("row_id"), F.col("row.text_hash").alias("row_hash"),
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"), F.col("text").alias("payload"))
+    # both sides grow with the table: always a merge join, never a broadcast
     dealt = deal(members).alias("d").join(
-        texts.alias("t"), (F.col("d.row_hash") == F.col("t.row_hash")) & F.col("d.row_id").eqNullSafe(F.col("t.row_id"))
+        texts.alias("t").hint("merge"), (F.col("d.row_hash") == F.col("t.row_hash")) & F.col("d.row_id").eqNullSafe(F.col("t.row_id"))
     ).select("gid", "a", "b", "own", "id", "weight", "gids", "payload")
     found = land(linked(dealt, partial(alike, n=n, similarity=similarity)), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
