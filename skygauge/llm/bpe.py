@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
-#: Entries of a worker's memory; it is emptied when full, results do not depend on it.
-REMEMBER = 300_000
-#: A space between two characters that are not white space: byte-level pre-tokens never cross it.
+#: Entries of a worker's memory (twice as many with the generation before); results do not depend on it.
+REMEMBER = 250_000
+#: Pre-tokens of byte-level tokenizers, and a space between two characters that are not white space, which they never cross.
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class ByteBpe(dict):
+class Memory(dict):
+    """Results of ``work(key)``; when full, entries not used since the last time are forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def __missing__(self, key: str):
+        out = self.before.get(key)
+        if out is None:
+            out = self.work(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBER:
+                self.before = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class ByteBpe(Memory):
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the library's for the whole text.
 
     A byte-level pre-token may begin with one space but has no other, and its pattern looks no
     further than the next character, so a text cut before single inner spaces gives the same
-    pre-tokens. Texts are therefore encoded as chunks, each by the library, and chunks are
-    remembered (keys: chunk without its leading space). Special strings are matched first, as the
-    library does.
+    pre-tokens. Texts are therefore encoded as chunks, which are remembered (keys: chunk without its
+    leading space); a new chunk is put together from its pre-tokens, remembered as well, and only a
+    new pre-token goes to the library's model. Special strings are matched first, as the library does.
     """
 
     def __init__(self, path: str):
@@ -31,15 +54,25 @@ class ByteBpe(dict):
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        out = self.encode(" " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+    def work(self, chunk: str) -> bytes:
+        if self.ids_of is not None:  # the commonest chunks: letters with or without one sign
+            if chunk.isalpha():
+                return self.ids_of[" " + chunk]
+            if chunk[-1:] in _SIGNS and chunk[:-1].isalpha():
+                return self.ids_of[" " + chunk[:-1]] + self.ids_of[chunk[-1]]
+        return self.encode(" " + chunk)
+
+    @cached_property
+    def ids_of(self) -> PieceIds | None:
+        """Ids of single pre-tokens, for tokenizers with the common byte-level pattern and no normalizer."""
+        own = json.loads(self.tokenizer.to_str())
+        split = own["pre_tokenizer"] or {}
+        usual = own["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        return PieceIds(self.tokenizer) if usual else None
 
     def encode(self, text: str) -> bytes:
+        if self.ids_of is not None:
+            return b"".join(map(self.ids_of.__getitem__, _PATTERN.findall(text)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
@@ -57,6 +90,23 @@ class ByteBpe(dict):
         return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
+class PieceIds(Memory):
+    """Ids of one pre-token as little-endian 32-bit bytes."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def work(self, pretoken: str) -> bytes:
+        tokens = self.model.tokenize(pretoken.encode().decode("latin-1").translate(_SHOWN))
+        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+#: Byte-level alphabet: bytes that are no printable Latin-1 characters are shown from U+0100 on, in order.
+_SHOWN = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+_SIGNS = frozenset(".,;:!?")
+
+
 class WordPieces(dict):
     """Pre-tokens of chunks between spaces and line feeds, by the tokenizer's own normalizer and pre-tokenizer.
 
