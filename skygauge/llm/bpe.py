@@ -107,27 +107,40 @@ _SHOWN = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0x
 _SIGNS = frozenset(".,;:!?")
 
 
-class WordPieces(dict):
+class WordPieces(Memory):
     """Pre-tokens of chunks between spaces and line feeds, by the tokenizer's own normalizer and pre-tokenizer.
 
-    For tokenizers whose pre-tokens never contain white space, so that chunks are independent.
+    For tokenizers whose pre-tokens never contain white space, so that chunks are independent. Plain
+    Latin words, with or without one sign at their end, take a short way to the same pre-tokens.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self._plain: bool | None = None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def __missing__(self, chunk: str) -> list[str]:
-        if len(self) >= REMEMBER:
-            self.clear()
+    def work(self, chunk: str) -> list[str]:
         t = self.tokenizer
+        word, sign = (chunk[:-1], [chunk[-1]]) if chunk[-1] in _SIGNS else (chunk, [])
+        if self.plain_words and word.isalpha():
+            if word.isascii():
+                return [word.lower(), *sign]
+            if max(word) < "\u0250" and "\u0130" not in word:
+                return [word.lower().encode().decode("latin-1").translate(_SHOWN), *sign]
         norm = t.normalizer.normalize_str(chunk) if t.normalizer is not None else chunk
-        out = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(norm)]
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(norm)]
+
+    @property
+    def plain_words(self) -> bool:
+        """The tokenizer lower-cases and shows bytes as the byte-level alphabet does (probed once)."""
+        if self._plain is None:
+            probe = "\u00c9\u00e0\u00f1\u00dfX"
+            self._plain = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe + "."))] == [
+                probe.lower().encode().decode("latin-1").translate(_SHOWN), "."
+            ] if self.tokenizer.normalizer is not None else False
+        return self._plain
 
     def chunks(self, text: str | None) -> list[str]:
         """Chunks of a text; a special string is a chunk of its own, marked by a leading line feed."""
@@ -140,9 +153,20 @@ class WordPieces(dict):
     def pretokens(self, chunk: str) -> list[str]:
         return [chunk] if chunk[0] == "\n" else self[chunk]
 
-    def count(self, pretoken: str) -> int:
-        """Pieces of one pre-token; a special string is one."""
-        return 1 if pretoken[0] == "\n" else len(self.tokenizer.model.tokenize(pretoken))
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(self.tokenizer)
+
+
+class Pieces(Memory):
+    """Number of pieces of a pre-token; a special string is one."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def work(self, pretoken: str) -> int:
+        return 1 if pretoken[0] == "\n" else len(self.model.tokenize(pretoken))
 
 
 @lru_cache(maxsize=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,16 @@ from skygauge.llm.storage import land
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: Documents and characters of one block of frequencies (a longer text has a block of its own).
 BLOCK_DOCS, BLOCK_CHARS = 1024, 2_000_000
-_BLOCK = "block long, doc_id array<long>, n_bytes array<long>, pretokens array<string>, doc binary, token binary, n binary"
+_BLOCK = "block long, doc_id array<long>, n_bytes array<long>, buckets array<struct<bucket:int,pretokens:array<string>>>, doc binary, uses binary, n binary"
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """Blocks of documents with their pre-token frequencies: entry k says that document doc[k] of the
-    block has pretokens[token[k]] n[k] times (32-bit numbers)."""
+def frequencies(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
+    """Blocks of documents with their pre-token frequencies.
+
+    The block's pre-tokens stand in ``buckets``, by hash bucket and then by name; the k-th of them in
+    that order is used by uses[k] documents; entries follow in the same order: document doc[e] has it
+    n[e] times (little-endian 16, 16 and 32 bits).
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_pieces(path)
@@ -32,72 +37,82 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
             for doc_id, text in zip(pdf.doc_id, pdf.text):
                 n = len(text or "")
                 if ids and (len(ids) >= BLOCK_DOCS or chars + n > BLOCK_CHARS):
-                    yield block(words, part << 32 | made, ids, sizes, counts)
+                    yield block(words, part << 32 | made, ids, sizes, counts, n_buckets)
                     made, ids, sizes, counts, chars = made + 1, [], [], [], 0
                 ids.append(doc_id)
                 sizes.append(len(text.encode()) if text else 0)
                 counts.append(Counter(words.chunks(text)))
                 chars += n
         if ids:
-            yield block(words, part << 32 | made, ids, sizes, counts)
+            yield block(words, part << 32 | made, ids, sizes, counts, n_buckets)
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(count, _BLOCK)
 
 
-def block(words, number: int, ids: list, sizes: list, counts: list[Counter]) -> pd.DataFrame:
+def block(words, number: int, ids: list, sizes: list, counts: list[Counter], n_buckets: int) -> pd.DataFrame:
     places: dict[str, int] = {}
-    tokens: dict[str, int] = {}
     for c in counts:
         for chunk in c:
             places.setdefault(chunk, len(places))
-    split = [[tokens.setdefault(p, len(tokens)) for p in words.pretokens(chunk)] for chunk in places]
-    each = np.array([len(s) for s in split], np.int64)
-    flat = np.array([t for s in split for t in s], np.int64)
+    split = [words.pretokens(chunk) for chunk in places]
+    names = sorted({p for s in split for p in s}, key=lambda p: (crc32(p.encode()) % n_buckets, p))
+    tokens = {p: k for k, p in enumerate(names)}
+    each = np.fromiter(map(len, split), np.int64, len(split))
+    flat = np.fromiter((tokens[t] for s in split for t in s), np.int64, each.sum())
     start = np.cumsum(each) - each
     doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
     chunk = np.fromiter((places[x] for c in counts for x in c), np.int64, len(doc))
     n = np.fromiter((v for c in counts for v in c.values()), np.int64, len(doc))
     reps = each[chunk]
     at = np.repeat(start[chunk] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    code, where = np.unique(flat[at] * len(counts) + np.repeat(doc, reps) if len(at) else np.empty(0, np.int64), return_inverse=True)
-    total = np.bincount(where, weights=np.repeat(n, reps), minlength=len(code)) if len(code) else np.empty(0)
-    pack = lambda x: x.astype("<u4").tobytes()
+    code = flat[at] * len(counts) + np.repeat(doc, reps)
+    order = np.argsort(code, kind="stable")
+    code, heads = np.unique(code[order], return_index=True)
+    total = np.add.reduceat(np.repeat(n, reps)[order], heads) if len(code) else np.empty(0)
+    of = np.fromiter((crc32(p.encode()) % n_buckets for p in names), np.int64, len(names))
+    cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(names)]
     return pd.DataFrame({
-        "block": [number], "doc_id": [[None if i is None or i != i else int(i) for i in ids]], "n_bytes": [sizes], "pretokens": [list(tokens)],
-        "doc": [pack(code % len(counts))], "token": [pack(code // len(counts))], "n": [pack(total)],
+        "block": [number], "doc_id": [[None if i is None or i != i else int(i) for i in ids]], "n_bytes": [sizes],
+        "buckets": [[{"bucket": int(of[a]), "pretokens": names[a:b]} for a, b in zip(cuts, cuts[1:])]],
+        "doc": [(code % len(counts)).astype("<u2").tobytes()], "uses": [np.bincount(code // len(counts), minlength=len(names)).astype("<u2").tobytes()],
+        "n": [total.astype("<u4").tobytes()],
     })
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, n_buckets: int = 256) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts equal the library's for the whole text without begin and end tokens; special strings in a
     text count as one. Frequencies are gathered per block of documents, so that a frequent pre-token
-    is one row per block; distinct pre-tokens are counted once and joined to the blocks. No ids are made.
+    is there once per block. Pre-tokens travel by hash bucket, where each distinct one is counted
+    once, and only its number of pieces goes back to the blocks, to be summed with the frequencies.
+    No ids are made.
 
     Null and empty texts have 0 bytes and tokens. Null ids and repeated rows stay as they are. A very
     long text is a block of its own. An empty table gives no rows. Extra columns are ignored.
     """
     path = path or tokenizer_path(VOCABULARY)
-    blocks = land(frequencies(docs, path), "frequencies")
-    uses = blocks.select("block", F.posexplode("pretokens").alias("token", "pretoken"))
+    blocks = land(frequencies(docs, path, n_buckets), "frequencies")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_pieces(path)
         for pdf in batches:
-            yield pd.DataFrame({"pretoken": pdf.pretoken, "pieces": [words.count(p) for p in pdf.pretoken]})
+            sizes = [np.fromiter((words.pieces[p] for p in names), "<u4", len(names)).tobytes() for names in pdf.pretokens]
+            yield pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "pieces": sizes})
 
-    lexicon = uses.select("pretoken").distinct().mapInPandas(pieces, "pretoken string, pieces int")
-    found = uses.join(lexicon, "pretoken").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("token", "pieces")))["pieces"].alias("pieces"))
+    uses = blocks.select("block", F.inline("buckets")).repartition("bucket").sortWithinPartitions("bucket")
+    found = uses.mapInPandas(count, "block long, bucket int, pieces binary")
+    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "pieces")))["pieces"].alias("pieces"))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                doc, token, n = (np.frombuffer(x, "<u4") for x in (row.doc, row.token, row.n))
-                sums = np.bincount(doc, weights=n.astype(np.float64) * np.asarray(row.pieces if row.pieces is not None else [], np.float64)[token], minlength=len(row.n_bytes)) if len(doc) else np.zeros(len(row.n_bytes))
+                parts = [] if row.pieces is None else list(row.pieces)
+                pieces = np.repeat(np.frombuffer(b"".join(parts), "<u4"), np.frombuffer(row.uses, "<u2")).astype(np.float64)
+                sums = np.bincount(np.frombuffer(row.doc, "<u2"), weights=np.frombuffer(row.n, "<u4") * pieces, minlength=len(row.n_bytes))
                 ids = [None if i is None or i != i else int(i) for i in row.doc_id]
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_bytes": row.n_bytes, "n_tokens": sums.astype(np.int64)})
 
-    counted = blocks.drop("pretokens").join(found, "block", "left").mapInPandas(add, "doc_id long, n_bytes long, n_tokens long")
+    counted = blocks.drop("buckets").join(found, "block", "left").mapInPandas(add, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
