@@ -386,14 +386,15 @@ def j10(spark, d):
 
 
 EDGES = """edges AS (SELECT a.n_name AS location, b.n_name AS neighbor FROM nation a JOIN nation b
-  ON b.n_nationkey IN ((a.n_nationkey + 1) % 25, (a.n_nationkey + 7) % 25))"""
+  ON b.n_nationkey IN ((a.n_nationkey + 1) % (SELECT count(*) FROM nation), (a.n_nationkey + 7) % (SELECT count(*) FROM nation)))"""
 
 
 def ring_edges(spark, d):
     """Each station's two neighbours on the ring of nation keys."""
     n = ad.table(spark, d, "nation").select("n_nationkey", "n_name")
+    size = n.count()
     steps = n.select(F.col("n_name").alias("location"), F.explode(F.array(
-        (F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 7) % 25)).alias("n_nationkey"))
+        (F.col("n_nationkey") + 1) % size, (F.col("n_nationkey") + 7) % size)).alias("n_nationkey"))
     return steps.join(n.withColumnRenamed("n_name", "neighbor"), "n_nationkey").select("location", "neighbor")
 
 

@@ -79,7 +79,7 @@ def residual_mask(mask: DataFrame, horizontal: int = 2, vertical: int = 5) -> Da
         .join(covered("y", "x", vertical), keys, "left_anti")
 
 
-def labelled_runs(mask: DataFrame, max_rounds: int = 100) -> DataFrame:
+def labelled_runs(mask: DataFrame) -> DataFrame:
     """Horizontal runs with the label of their 8-connected component.
 
     Labels fall to the smallest one among touching runs and then jump to the label
@@ -94,7 +94,7 @@ def labelled_runs(mask: DataFrame, max_rounds: int = 100) -> DataFrame:
     touch = upper.join(lower, ["plot_id", "yy", "cell"]).filter("ua <= z + 1 AND a <= uz + 1").select("plot_id", "u", "v").distinct()
     edges = cut_lineage(touch.unionByName(touch.select("plot_id", F.col("v").alias("u"), F.col("u").alias("v"))))
     lab = r.select("plot_id", "id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         seen = edges.join(lab.select("plot_id", F.col("id").alias("v"), "label"), ["plot_id", "v"]).groupBy(
             "plot_id", F.col("u").alias("id")).agg(F.min("label").alias("near"))
         low = lab.join(seen, ["plot_id", "id"], "left").select(
@@ -106,8 +106,6 @@ def labelled_runs(mask: DataFrame, max_rounds: int = 100) -> DataFrame:
         lab = jumped.select("plot_id", "id", "label")
         if jumped.filter(F.col("old") != F.col("label")).isEmpty():
             break
-    else:
-        raise RuntimeError("component labels did not settle")
     return r.join(lab, ["plot_id", "id"])
 
 

@@ -58,27 +58,31 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def nearest_point(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell_deg: float = 0.01,
-                  max_rounds: int = 20) -> DataFrame:
+                  parts: int = 64) -> DataFrame:
     """Nearest right point per left point by great-circle distance; ties by id.
 
     Points meet in the 3 x 3 cells around the left one. A hit closer than a cell
-    edge is final, the others go on with cells four times as wide, up to cells
-    that span the globe, so the answer is exact. Right points on the same
+    edge is final, the others go on with cells four times as wide. Points left over
+    at the end meet all right points, dealt into ``parts``, so the answer is exact. Right points on the same
     coordinates are reduced to one first. Both tables carry latitude, longitude.
     """
     r = right.groupBy(F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")).agg(
         F.min(right_id).alias(right_id))
     todo = left.select(left_id, F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"))
     done, cell = None, cell_deg
-    for _ in range(max_rounds):
-        whole = cell >= 360  # one cell: every remaining point sees all
-        span = F.array(*[F.lit(d) for d in ((0,) if whole else (-1, 0, 1))])
-        cx = lambda c: F.lit(0).cast("long") if whole else F.floor(c / cell)
+    while True:
+        whole = cell >= 360  # every remaining point sees all, part by part
+        if whole:
+            met = todo.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(
+                r.withColumn("part", F.pmod(F.xxhash64("lat2", "lon2"), F.lit(parts)).cast("int")), "part")
+        else:
+            span = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+            cx = lambda c: F.floor(c / cell)
+            met = todo.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumns(
+                {"cx": cx(F.col("lat1")) + F.col("dx"), "cy": cx(F.col("lon1")) + F.col("dy")}
+            ).join(r.withColumns({"cx": cx(F.col("lat2")), "cy": cx(F.col("lon2"))}), ["cx", "cy"])
         near = (
-            todo.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-            .withColumns({"cx": cx(F.col("lat1")) + F.col("dx"), "cy": cx(F.col("lon1")) + F.col("dy")})
-            .join(r.withColumns({"cx": cx(F.col("lat2")), "cy": cx(F.col("lon2"))}), ["cx", "cy"])
-            .withColumn("km", F.round(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 9))
+            met.withColumn("km", F.round(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 9))
         )
         best = near.groupBy(left_id).agg(
             F.first("lat1").alias("lat1"), F.first("lon1").alias("lon1"), F.min(F.struct("km", right_id)).alias("hit"))

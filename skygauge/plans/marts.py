@@ -81,7 +81,7 @@ def one_location(df: DataFrame, location: str, year: int | None = None) -> DataF
     if year is not None:
         out = out.filter(F.year("date") == year)
     if out.isEmpty():
-        known = [r[0] for r in df.select("location").distinct().orderBy("location").limit(200).collect()]
+        known = [r[0] for r in df.select("location").distinct().orderBy("location").collect()]
         raise ValueError(f"no rows for {location!r}; available: {known}")
     return out.orderBy("date")
 

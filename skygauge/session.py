@@ -34,14 +34,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster);
     a temporary one is made only where the session names none.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local master, whose executors share the driver's disk, may do without one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ckpt-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """New folder for a hand-over table: below ``spark.checkpoint.dir`` (shared), else a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scratch-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """New folder for a hand-over table below the session's checkpoint folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

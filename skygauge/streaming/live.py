@@ -16,9 +16,14 @@ READING_SCHEMA = T.StructType([
     T.StructField("rainfall_mm", T.DoubleType())])
 
 
-def read_readings(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Readings landed as Parquet files."""
-    return spark.readStream.schema(READING_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_readings(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Readings landed as Parquet files.
+
+    By default everything that has landed is one batch, so the order of files does not matter. With
+    ``files_per_batch`` the watermark moves between batches, and files must land in time order.
+    """
+    r = spark.readStream.schema(READING_SCHEMA)
+    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(folder)
 
 
 def daily_totals(readings: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -58,14 +63,33 @@ def running_metrics(errors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what has landed and return the sink's content."""
+def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over what has landed and return the sink's content.
+
+    Complete mode keeps the last batch; update mode merges every batch into the table by ``keys``.
+    Each batch writes a version of its own from the one before, so a repeated batch changes nothing.
+    """
     spark = stream.sparkSession
     out, state = scratch_dir(spark, "sink"), scratch_dir(spark, "state")
     w = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
-    else:  # the whole result replaces the table at every batch
-        q = w.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of the result")
+    versions = []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        older = [v for v in versions if v < batch]
+        if mode == "update" and older:
+            last = spark.read.schema(stream.schema).parquet(f"{out}/{older[-1]}")
+            df = last.join(df.select(*keys), list(keys), "left_anti").unionByName(df)
+        df.write.mode("overwrite").parquet(f"{out}/{batch}")
+        if batch not in versions:
+            versions.append(batch)
+
+    w.outputMode(mode).foreachBatch(keep).start().awaitTermination()
+    if not versions:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{versions[-1]}")

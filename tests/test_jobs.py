@@ -1,6 +1,7 @@
 """Sources, models, forecasts and streams."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -139,6 +140,34 @@ def test_streams_equal_batch(spark, tmp_path):
     assert maxima.exceptAll(want).count() == 0 and maxima.count() == want.count()
 
 
+def test_stream_totals_do_not_depend_on_files(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s%d" % (i % 2), t0 + dt.timedelta(minutes=31 * i), float(i % 7)) for i in range(400)] + [("s9", t0 + dt.timedelta(days=30), 0.0)]
+    order = random.Random(4).sample(range(len(rows)), len(rows))
+    shuffled = spark.createDataFrame([rows[i] for i in order], live.READING_SCHEMA)
+    shuffled.repartition(150).write.parquet(str(tmp_path / "many"))
+    shuffled.coalesce(1).write.parquet(str(tmp_path / "one"))
+    closed = shuffled.filter("station_id <> 's9'")
+    for stream in (live.daily_totals, lambda r: live.sliding_maxima(r, 60)):
+        many, one = (live.drain(stream(live.read_readings(spark, str(tmp_path / f)))) for f in ("many", "one"))
+        assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert live.drain(live.daily_totals(live.read_readings(spark, str(tmp_path / "many")))).exceptAll(feeds.daily_totals(closed)).count() == 0
+
+
+def test_update_mode_equals_complete(spark, tmp_path):
+    folder, t0 = str(tmp_path / "r"), dt.datetime(2024, 1, 1)
+    for k, s in enumerate(("A", "B", "A", "C")):
+        spark.createDataFrame([(s, t0 + dt.timedelta(hours=k), float(k))], live.READING_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    errors = lambda n: live.read_readings(spark, folder, n).select("station_id", F.col("rainfall_mm").alias("error_mm"))
+    show = lambda df: sorted(map(tuple, df.collect()))
+    want = show(live.drain(live.running_metrics(errors(None)), mode="complete"))
+    assert len(want) == 3
+    for n in (1, 2, None):
+        assert show(live.drain(live.running_metrics(errors(n)), mode="update", keys=("station_id",))) == want
+    with pytest.raises(ValueError):
+        live.drain(live.running_metrics(errors(1)), mode="update")
+
+
 def test_late_reading_is_dropped(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     folder = str(tmp_path / "r")
