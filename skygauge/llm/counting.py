@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from skygauge.llm.storage import land
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: Documents and characters of one block of frequencies (a longer text has a block of its own).
 BLOCK_DOCS, BLOCK_CHARS = 1024, 2_000_000
-_BLOCK = "block long, doc_id array<long>, n_bytes array<long>, buckets array<struct<bucket:int,pretokens:array<string>>>, doc binary, uses binary, n binary"
+_BLOCK = "block long, doc_id array<long>, n_bytes array<long>, buckets array<struct<bucket:int,pretokens:binary>>, doc binary, uses binary, n binary"
 
 
 def frequencies(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
@@ -26,7 +27,8 @@ def frequencies(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
 
     The block's pre-tokens stand in ``buckets``, by hash bucket and then by name; the k-th of them in
     that order is used by uses[k] documents; entries follow in the same order: document doc[e] has it
-    n[e] times (little-endian 16, 16 and 32 bits).
+    n[e] times (little-endian 16, 16 and 32 bits). Names (a JSON list) and numbers are deflated, for
+    they are what travels.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,12 +76,19 @@ def block(words, number: int, ids: list, sizes: list, counts: list[Counter], n_b
     cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(names)]
     return pd.DataFrame({
         "block": [number], "doc_id": [[None if i is None or i != i else int(i) for i in ids]], "n_bytes": [sizes],
-        "buckets": [[{"bucket": int(of[a]), "pretokens": names[a:b]} for a, b in zip(cuts, cuts[1:])]],
-        "doc": [(code % len(counts)).astype("<u2").tobytes()], "uses": [np.bincount(code // len(counts), minlength=len(names)).astype("<u2").tobytes()],
-        "n": [total.astype("<u4").tobytes()],
+        "buckets": [[{"bucket": int(of[a]), "pretokens": compress(json.dumps(names[a:b], ensure_ascii=False).encode(), 1)} for a, b in zip(cuts, cuts[1:])]],
+        "doc": [deflate(code % len(counts), "<u2")], "uses": [deflate(np.bincount(code // len(counts), minlength=len(names)), "<u2")], "n": [deflate(total, "<u4")],
     })
 
 
+def deflate(numbers: np.ndarray, kind: str) -> bytes:
+    return compress(numbers.astype(kind).tobytes(), 1)
+
+
+def inflate(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(decompress(packed), kind)
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, n_buckets: int = 256) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -87,7 +96,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, n
     text count as one. Frequencies are gathered per block of documents, so that a frequent pre-token
     is there once per block. Pre-tokens travel by hash bucket, where each distinct one is counted
     once, and only its number of pieces goes back to the blocks, to be summed with the frequencies.
-    No ids are made.
+    No ids are made. ``n_buckets`` bounds the tasks that count pieces: raise it with the table.
 
     Null and empty texts have 0 bytes and tokens. Null ids and repeated rows stay as they are. A very
     long text is a block of its own. An empty table gives no rows. Extra columns are ignored.
@@ -98,7 +107,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, n
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_pieces(path)
         for pdf in batches:
-            sizes = [np.fromiter((words.pieces[p] for p in names), "<u4", len(names)).tobytes() for names in pdf.pretokens]
+            lists = map(json.loads, map(decompress, pdf.pretokens))
+            sizes = [np.fromiter(map(words.pieces.__getitem__, names), "<u4").tobytes() for names in lists]
             yield pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "pieces": sizes})
 
     uses = blocks.select("block", F.inline("buckets")).repartition("bucket").sortWithinPartitions("bucket")
@@ -109,8 +119,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, n
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 parts = [] if row.pieces is None else list(row.pieces)
-                pieces = np.repeat(np.frombuffer(b"".join(parts), "<u4"), np.frombuffer(row.uses, "<u2")).astype(np.float64)
-                sums = np.bincount(np.frombuffer(row.doc, "<u2"), weights=np.frombuffer(row.n, "<u4") * pieces, minlength=len(row.n_bytes))
+                pieces = np.repeat(np.frombuffer(b"".join(parts), "<u4"), inflate(row.uses, "<u2")).astype(np.float64)
+                sums = np.bincount(inflate(row.doc, "<u2"), weights=inflate(row.n, "<u4") * pieces, minlength=len(row.n_bytes))
                 ids = [None if i is None or i != i else int(i) for i in row.doc_id]
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_bytes": row.n_bytes, "n_tokens": sums.astype(np.int64)})
 
