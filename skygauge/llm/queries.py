@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skygauge.llm.centroids import centroid_clusters
 from skygauge.llm.counting import token_counts
 from skygauge.llm.extract import extract
 from skygauge.llm.forest import near_vectors
 from skygauge.llm.jaccard import jaccard_join
+from skygauge.llm.middle import digests
 from skygauge.llm.mixing import mix, sized
+from skygauge.llm.nearest import nearest
 from skygauge.llm.packing import pack
 from skygauge.llm.pii import find
 from skygauge.llm.quality import score, train
@@ -67,7 +70,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_best_fit_packing, op6_token_counts, op7_warc_derivatives, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup)}
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_best_fit_packing, op6_token_counts, op7_warc_derivatives, op8_ngram_jaccard_join, op9_mix_sources, op10_embedding_near_dedup, op11_nearest_neighbours, op12_fill_in_middle, op13_centroid_clustering)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -132,3 +147,64 @@ WITH RECURSIVE rows AS (
 SELECT vec_id, component_id, coalesce(n_links, 0) AS n_links, vec_id = component_id AS kept
 FROM rows JOIN lowest ON lowest.x = vec_id LEFT JOIN degree ON degree.x = vec_id
 """
+
+#: Inner products of every query with every other row.
+ORACLE_SQL["op11_nearest_neighbours"] = """
+WITH usable AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+    FROM usable q, usable c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
+"""
+
+#: Units by a pattern without look-around, sections by their ends, digests of the strings put together.
+ORACLE_SQL["op12_fill_in_middle"] = """
+WITH given AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS code FROM documents
+), cut AS (
+    SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || code[1:8])::BIGINT AS h1, ('0x' || code[9:16])::BIGINT AS h2,
+        ('0x' || code[17:24])::BIGINT AS h3, ('0x' || code[25:32])::BIGINT AS h4
+    FROM given
+), placed AS (
+    SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+            WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parts AS (
+    SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""
+
+_ASSIGNED = """a{k} AS (
+    SELECT rid, vec_id, v, cluster, distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) AS place FROM (
+            SELECT rid, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM vectors, c{k}
+        )
+    ) WHERE place = 1
+)"""
+_MOVED = """s{k} AS (
+    SELECT cluster, d, sum(x) AS s, count(*) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{k}) GROUP BY 1, 2
+), m{k} AS (SELECT cluster, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY d) AS c FROM s{k} GROUP BY 1
+), c{next} AS (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster)
+)"""
+#: Rounds written out one after the other.
+ORACLE_SQL["op13_centroid_clustering"] = f"""
+WITH vectors AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY code) - 1 AS cluster, v AS c FROM (SELECT sha256('2:' || vec_id) AS code, v FROM vectors ORDER BY code LIMIT 40)
+), {", ".join(_ASSIGNED.format(k=k) + ", " + _MOVED.format(k=k, next=k + 1) for k in range(5))}, {_ASSIGNED.format(k=5)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
