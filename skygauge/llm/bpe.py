@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cached_property, lru_cache
-from struct import pack
 
 import numpy as np
 import public_tokenizers
-import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Entries of a worker's memory (twice as many with the generation before); results do not depend on it.
 REMEMBER = 250_000
-#: Pre-tokens of byte-level tokenizers, and a space between two characters that are not white space, which they never cross.
-_PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: A space between two characters that are not white space, which byte-level pre-tokens never cross.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space beyond the space: the narrow signs, and all others.
+_NARROW = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Memory(dict):
@@ -44,8 +46,7 @@ class ByteBpe(Memory):
     A byte-level pre-token may begin with one space but has no other, and its pattern looks no
     further than the next character, so a text cut before single inner spaces gives the same
     pre-tokens. Texts are therefore encoded as chunks, which are remembered (keys: chunk without its
-    leading space); a new chunk is put together from its pre-tokens, remembered as well, and only a
-    new pre-token goes to the library's model. Special strings are matched first, as the library does.
+    leading space). Special strings are matched first, as the library does.
     """
 
     def __init__(self, path: str):
@@ -55,24 +56,27 @@ class ByteBpe(Memory):
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def work(self, chunk: str) -> bytes:
-        if self.ids_of is not None:  # the commonest chunks: letters with or without one sign
-            if chunk.isalpha():
-                return self.ids_of[" " + chunk]
-            if chunk[-1:] in _SIGNS and chunk[:-1].isalpha():
-                return self.ids_of[" " + chunk[:-1]] + self.ids_of[chunk[-1]]
         return self.encode(" " + chunk)
 
     @cached_property
-    def ids_of(self) -> PieceIds | None:
-        """Ids of single pre-tokens, for tokenizers with the common byte-level pattern and no normalizer."""
+    def ranked(self) -> tiktoken.Encoding | None:
+        """The same vocabulary as ranks, for tokenizers with the common byte-level pattern, no normalizer, and merges in the order of their ids."""
         own = json.loads(self.tokenizer.to_str())
-        split = own["pre_tokenizer"] or {}
+        split, model = own["pre_tokenizer"] or {}, own["model"]
         usual = own["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        return PieceIds(self.tokenizer) if usual else None
+        if not usual or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        byte = {chr(shown): b for b, shown in {**{b: b for b in range(256)}, **_SHOWN}.items()}
+        made = {t for m in model["merges"] for t in ("".join(m if isinstance(m, list) else m.split(" ")),)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if len(t) == 1 or t in made}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.ids_of is not None:
-            return b"".join(map(self.ids_of.__getitem__, _PATTERN.findall(text)))
+        if self.ranked is not None:
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
@@ -85,21 +89,15 @@ class ByteBpe(Memory):
     def plain(self, text: str) -> bytes:
         if not text:
             return b""
-        even = "  " not in text and text[0] != " " and text[-1] != " "
-        first, *rest = text.split(" ") if even else _CUT.split(text)
+        first, *rest = text.split(" ") if even(text) else _CUT.split(text)
         return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
-class PieceIds(Memory):
-    """Ids of one pre-token as little-endian 32-bit bytes."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.model = tokenizer.model
-
-    def work(self, pretoken: str) -> bytes:
-        tokens = self.model.tokenize(pretoken.encode().decode("latin-1").translate(_SHOWN))
-        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+def even(text: str) -> bool:
+    """Every space of a non-empty text stands between two characters that are not white space."""
+    if "  " in text or text[0] == " " or text[-1] == " " or not (text.isascii() or _WIDE.search(text) is None):
+        return False
+    return not any(w in text and (" " + w in text or w + " " in text) for w in _NARROW)
 
 
 #: Byte-level alphabet: bytes that are no printable Latin-1 characters are shown from U+0100 on, in order.

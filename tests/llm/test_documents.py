@@ -84,6 +84,15 @@ def test_byte_ids_equal_library():
         assert sum(pieces.pieces[p] for c in pieces.chunks(t) for p in pieces.pretokens(c)) == len(whole.encode(t, add_special_tokens=False).ids), t
 
 
+def test_byte_ids_of_white_space_runs():
+    own, lib = byte_bpe(tokenizer_path("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(12)
+    marks = [" ", " ", "\u00a0", "\u00a0", "a", "price:", "10", "\u3000", "\u2009", "\t", "\n", "\x85", "\x1c", "\r\n", "\u200b"]
+    texts = ["a \u00a0 \u00a0", "price: \u00a0 \u00a0 \u00a0 10 euro", " \u00a0" * 9, "x" * 5000, "ab" * 3000] + ["".join(rng.choice(marks, rng.integers(1, 16))) for _ in range(20_000)]
+    for t in texts:
+        assert own.ids(t) == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_token_counts(docs, none, monkeypatch):
     lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = sorted((r[0] or -1, len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS)
