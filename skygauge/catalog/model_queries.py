@@ -4,7 +4,7 @@ Trees are few and shallow here: the queries show that the jobs run over whole
 tables; sizes are parameters of the library.
 """
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -69,25 +69,29 @@ def m05(spark, d):
         "location", "date", shown("prediction_chance", 6).alias("chance"), shown("prediction", 6).alias("prediction"))
 
 
+def reloaded(spark, fitted):
+    """The whole fitted pipeline, feature steps included, as it comes back from storage."""
+    path = scratch_dir(spark, "pipeline")
+    fitted.write().save(path)
+    return PipelineModel.load(path)
+
+
 @query("m06_feature_and_model_stages")
 def m06(spark, d):
-    """All feature steps, the preprocessor and the two-stage model in one fit."""
+    """All feature steps, the preprocessor and the two-stage model in one fit; saved, read back and applied to raw rows."""
     x = train_rows(spark, d)
     ext = cut_lineage(external(spark, d))
     columns = [*ad.FEATURES, "temp_range_c", "wind_gust_factor", "doy_sin", "doy_cos", "time_sigmoid", "mean_temp_roll_7d", "ONI_x_temp"]
     p = ts.build_pipeline(T, columns, feature_stages=tr.feature_stages(ad.RAIN[:1], ext), clf_params=SMALL, reg_params=SMALL)
-    return ts.score(p.fit(x), x.drop(T)).select("location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
+    return ts.score(reloaded(spark, p.fit(x)), x.drop(T)).select("location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
 
 
 @query("m07_batch_scoring")
 def m07(spark, d):
-    """Fit, write, read back and score."""
+    """Fit preprocessor and model, write both, read them back and score raw rows."""
     x = train_rows(spark, d)
-    v = prepared(x).transform(x)
-    path = scratch_dir(spark, "model")
-    two_stage().fit(v).save(path)
-    return ts.score(ts.TwoStageModel.load(path), v.drop(T)).select(
-        "location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
+    p = ts.build_pipeline(T, ad.FEATURES, clf_params=SMALL, reg_params=SMALL).fit(x)
+    return ts.score(reloaded(spark, p), x.drop(T)).select("location", "date", shown("predicted_daily_rainfall_mm", 6).alias("predicted"))
 
 
 @query("m08_cross_validation")

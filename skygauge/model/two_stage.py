@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skygauge.model.persist import Parts
+from skygauge.model.transformers import Saved
+
 # Production sizes of the two stages.
 CLASSIFIER = {"maxIter": 500, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5, "seed": 42}
 REGRESSOR = {"maxIter": 1000, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5, "seed": 42}
@@ -22,15 +24,17 @@ POSITIVE_WEIGHT = 1.25
 RAIN_THRESHOLD = 0.1
 
 
-class FillMissing(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+class FillMissing(Transformer, HasInputCols, Saved):
     """Replace null features by a value that the trees can split off."""
 
+    value = Param(Params._dummy(), "value", "what stands for a missing number", TypeConverters.toFloat)
+
     def __init__(self, cols: Sequence[str] = (), value: float = -1.0):
         super().__init__()
-        self.cols, self.value = list(cols), value
+        self._set(inputCols=list(cols), value=value)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.fillna(self.value, subset=self.cols)
+        return df.fillna(self.getOrDefault("value"), subset=self.getInputCols())
 
 
 def preprocessor(numeric: Sequence[str], location: str = "location") -> list:
@@ -53,82 +57,69 @@ def regressor(out: str = "_amount", label: str = "_y", weight: str | None = None
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol=out, **{**REGRESSOR, **more, **params})
 
 
-@dataclass(eq=False)
-class TwoStage(Estimator):
+class HasOut(HasOutputCol):
+    logTarget = Param(Params._dummy(), "logTarget", "regress the logarithm of 1 + target", TypeConverters.toBoolean)
+
+
+class TwoStage(Estimator, HasOut, Saved):
     """Classifier on ``y > threshold``, regressor on the wet rows; prediction is chance times amount.
 
-    With several ``regressors`` the amount is their mean. Without wet rows every prediction is 0.
+    With several regressors (``reg_params``, one set of parameters each) the amount is their mean.
+    Without wet rows every prediction is 0.
     """
 
-    target: str
-    out: str = "prediction"
-    threshold: float = 0.0
-    log_target: bool = False
-    positive_weight: float = POSITIVE_WEIGHT
-    weight_col: str | None = None
-    clf_params: dict = field(default_factory=dict)
-    reg_params: Sequence[dict] = field(default_factory=lambda: [{}])
+    target = Param(Params._dummy(), "target", "column to predict", TypeConverters.toString)
+    threshold = Param(Params._dummy(), "threshold", "amount above which a day is wet", TypeConverters.toFloat)
+    positiveWeight = Param(Params._dummy(), "positiveWeight", "weight of a wet day in the classifier", TypeConverters.toFloat)
+    weightCol = Param(Params._dummy(), "weightCol", "row weights of the regressors; empty: none", TypeConverters.toString)
+    clfParams = Param(Params._dummy(), "clfParams", "parameters of the classifier", TypeConverters.identity)
+    regParams = Param(Params._dummy(), "regParams", "parameters of each regressor", TypeConverters.identity)
 
-    def __post_init__(self):
+    def __init__(self, target: str = "", out: str = "prediction", threshold: float = 0.0, log_target: bool = False, positive_weight: float = POSITIVE_WEIGHT,
+                 weight_col: str | None = None, clf_params: dict | None = None, reg_params: Sequence[dict] = ({},)):
         super().__init__()
+        self._set(target=target, outputCol=out, threshold=threshold, logTarget=log_target, positiveWeight=positive_weight,
+                  weightCol=weight_col or "", clfParams=dict(clf_params or {}), regParams=[dict(p) for p in reg_params])
 
     def _fit(self, df: DataFrame) -> "TwoStageModel":
-        wet = F.coalesce((F.col(self.target) > self.threshold).cast("double"), F.lit(0.0))
-        y = F.log1p(self.target) if self.log_target else F.col(self.target)
+        target = self.getOrDefault("target")
+        wet = F.coalesce((F.col(target) > self.getOrDefault("threshold")).cast("double"), F.lit(0.0))
+        y = F.log1p(target) if self.getOrDefault("logTarget") else F.col(target)
         train = df.withColumns({"_wet": wet, "_y": y}).withColumn(
-            "_weight", F.when(F.col("_wet") == 1, self.positive_weight).otherwise(1.0)).persist()
+            "_weight", F.when(F.col("_wet") == 1, self.getOrDefault("positiveWeight")).otherwise(1.0)).persist()
         try:
             n_wet, n_dry = train.agg(F.count_if(F.col("_wet") == 1), F.count_if(F.col("_wet") == 0)).first()
-            if n_wet == 0:
-                return TwoStageModel(self.out, self.log_target, None, [], 0.0)
-            clf = classifier(**self.clf_params).fit(train) if n_dry else None  # all wet: chance is 1
-            regs = [regressor(f"_amount{i}", weight=self.weight_col, **p).fit(train.filter("_wet = 1"))
-                    for i, p in enumerate(self.reg_params)]
-            return TwoStageModel(self.out, self.log_target, clf, regs, 1.0)
+            models: dict[str, Model] = {}
+            if n_wet and n_dry:  # all wet: the chance is 1
+                models["classifier"] = classifier(**self.getOrDefault("clfParams")).fit(train)
+            for i, p in enumerate(self.getOrDefault("regParams") if n_wet else []):
+                models[f"regressor{i}"] = regressor(f"_amount{i}", weight=self.getOrDefault("weightCol") or None, **p).fit(train.filter("_wet = 1"))
+            return self._copyValues(TwoStageModel(models=models))
         finally:
             train.unpersist()
 
 
-class TwoStageModel(Model):
-    def __init__(self, out, log_target, clf, regs, fixed_chance):
-        super().__init__()
-        self.out, self.log_target, self.clf, self.regs, self.fixed_chance = out, log_target, clf, regs, fixed_chance
+class TwoStageModel(Parts, HasOut):
+    """Fitted stages by name: ``classifier`` where both kinds of day were seen, ``regressor0``, ... where wet ones were."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        if not self.regs:
-            return df.withColumns({f"{self.out}_chance": F.lit(0.0), self.out: F.lit(0.0)})
-        scored = self.clf.transform(df) if self.clf is not None else df
-        chance = vector_to_array("_prob")[1] if self.clf is not None else F.lit(self.fixed_chance)
-        for reg in self.regs:
-            scored = reg.transform(scored)
-        scored = scored.withColumn(f"{self.out}_chance", chance)
-        names = [f"_amount{i}" for i in range(len(self.regs))]
-        amounts = [F.expm1(n) if self.log_target else F.col(n) for n in names]
-        p = F.col(f"{self.out}_chance")
-        mean = sum(amounts[1:], amounts[0]) / len(amounts)
-        out = {self.out: p * mean}
+        out = self.getOutputCol()
+        names = [f"_amount{i}" for i in range(len(self.models) - ("classifier" in self.models))]
+        if not names:
+            return df.withColumns({f"{out}_chance": F.lit(0.0), out: F.lit(0.0)})
+        scored, chance = df, F.lit(1.0)
+        if "classifier" in self.models:
+            scored, chance = self.models["classifier"].transform(df), vector_to_array("_prob")[1]
+        for i in range(len(names)):
+            scored = self.models[f"regressor{i}"].transform(scored)
+        scored = scored.withColumn(f"{out}_chance", chance)
+        amounts = [F.expm1(n) if self.getOrDefault("logTarget") else F.col(n) for n in names]
+        p = F.col(f"{out}_chance")
+        cols = {out: p * sum(amounts[1:], amounts[0]) / len(amounts)}
         if len(amounts) > 1:  # each regressor alone, for stacking and blending
-            out |= {f"{self.out}_{i}": p * F.greatest(a, F.lit(0.0)) for i, a in enumerate(amounts)}
+            cols |= {f"{out}_{i}": p * F.greatest(a, F.lit(0.0)) for i, a in enumerate(amounts)}
         drop = [c for c in ("_raw", "_prob", "_wet_pred", *names) if c in scored.columns]
-        return scored.withColumns(out).drop(*drop)
-
-
-    def save(self, path: str) -> None:
-        """Write the parts with Spark ML writers and the settings as one JSON row."""
-        spark = SparkSession.active()
-        meta = {"out": self.out, "log_target": self.log_target, "clf": self.clf is not None, "regs": len(self.regs), "fixed": self.fixed_chance}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
-        if self.clf is not None:
-            self.clf.write().overwrite().save(f"{path}/classifier")
-        for i, reg in enumerate(self.regs):
-            reg.write().overwrite().save(f"{path}/regressor{i}")
-
-    @staticmethod
-    def load(path: str) -> "TwoStageModel":
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
-        clf = GBTClassificationModel.load(f"{path}/classifier") if meta["clf"] else None
-        regs = [GBTRegressionModel.load(f"{path}/regressor{i}") for i in range(meta["regs"])]
-        return TwoStageModel(meta["out"], meta["log_target"], clf, regs, meta["fixed"])
+        return scored.withColumns(cols).drop(*drop)
 
 
 def build_model(kind: str, target: str, out: str = "prediction", clf_params: dict | None = None,
@@ -136,42 +127,54 @@ def build_model(kind: str, target: str, out: str = "prediction", clf_params: dic
     """Stages of a "regressor", "classifier" or "two_stage" model over ``features``."""
     if kind == "regressor":
         if log_target:
-            return [_LogTarget(target), regressor(out, label="_y", **(reg_params or {})), _Unlog(out)]
+            return [LogTarget(target), regressor(out, label="_y", **(reg_params or {})), Unlog(out)]
         return [regressor(out, label=target, **(reg_params or {}))]
     if kind == "classifier":
-        return [_WetFlag(target, threshold), classifier(**(clf_params or {}))]
+        return [WetFlag(target, threshold), classifier(**(clf_params or {}))]
     if kind == "two_stage":
         return [TwoStage(target, out, threshold, log_target, clf_params=clf_params or {}, reg_params=[reg_params or {}])]
     raise ValueError(f"Unknown model_type: {kind}")
 
 
-class _LogTarget(Transformer):
-    def __init__(self, target):
+class HasTarget(Params):
+    target = Param(Params._dummy(), "target", "column to predict", TypeConverters.toString)
+
+
+class LogTarget(Transformer, HasTarget, Saved):
+    """``_y``, the logarithm of 1 + target; rows to be scored have no target and stay as they are."""
+
+    def __init__(self, target: str = ""):
         super().__init__()
-        self.target = target
+        self._set(target=target)
 
-    def _transform(self, df):
-        return df.withColumn("_y", F.log1p(self.target)) if self.target in df.columns else df
+    def _transform(self, df: DataFrame) -> DataFrame:
+        target = self.getOrDefault("target")
+        return df.withColumn("_y", F.log1p(target)) if target in df.columns else df
 
 
-class _Unlog(Transformer):
-    def __init__(self, col):
+class Unlog(Transformer, HasOutputCol, Saved):
+    def __init__(self, col: str = "prediction"):
         super().__init__()
-        self.col = col
+        self._set(outputCol=col)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), F.expm1(self.getOutputCol()))
 
-    def _transform(self, df):
-        return df.withColumn(self.col, F.expm1(self.col))
 
+class WetFlag(Transformer, HasTarget, Saved):
+    """``_wet`` and the classifier's ``_weight``; rows to be scored have no target and stay as they are."""
 
-class _WetFlag(Transformer):
-    def __init__(self, target, threshold):
+    threshold = Param(Params._dummy(), "threshold", "amount above which a day is wet", TypeConverters.toFloat)
+
+    def __init__(self, target: str = "", threshold: float = 0.0):
         super().__init__()
-        self.target, self.threshold = target, threshold
+        self._set(target=target, threshold=threshold)
 
-    def _transform(self, df):
-        if self.target not in df.columns:
+    def _transform(self, df: DataFrame) -> DataFrame:
+        target = self.getOrDefault("target")
+        if target not in df.columns:
             return df
-        wet = F.coalesce((F.col(self.target) > self.threshold).cast("double"), F.lit(0.0))
+        wet = F.coalesce((F.col(target) > self.getOrDefault("threshold")).cast("double"), F.lit(0.0))
         return df.withColumns({"_wet": wet, "_weight": F.when(wet == 1, POSITIVE_WEIGHT).otherwise(1.0)})
 
 

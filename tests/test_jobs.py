@@ -5,7 +5,7 @@ import random
 import time
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from skygauge.model import forecast as fc
@@ -92,6 +92,37 @@ def test_two_stage_rules(spark, tmp_path):
         ts.build_model("other", "y")
 
 
+def weather_rows(spark):
+    rows = []
+    for loc in ("a", "b"):
+        for i in range(90):
+            t = 25.0 + i % 7
+            rows.append((loc, dt.date(2020, 1, 1) + dt.timedelta(days=i), t, t + 3, t - 2, 4.0 + i % 5, 9.0, None if i % 6 == 0 else float(i % 4), 2.0, 3.0, 5.0 * (i % 3)))
+    cols = ["mean_temperature_c", "maximum_temperature_c", "minimum_temperature_c", "mean_wind_speed_kmh", "max_wind_speed_kmh",
+            "highest_30_min_rainfall_mm", "highest_60_min_rainfall_mm", "highest_120_min_rainfall_mm", "y"]
+    return spark.createDataFrame(rows, "location string, date date, " + ", ".join(f"{c} double" for c in cols))
+
+
+@pytest.mark.parametrize("kind", ["two_stage", "regressor", "classifier"])
+def test_whole_pipeline_scores_alike_after_reload(spark, tmp_path, kind):
+    df = weather_rows(spark)
+    ext = spark.createDataFrame([(dt.date(2020, m, 1), float(m)) for m in (1, 2, 3)], "date date, ONI double")
+    features = tr.feature_stages(["highest_30_min_rainfall_mm"], ext) + [tr.TargetEncoder("y", ["location", "month"])]
+    columns = ["mean_temperature_c", "highest_30_min_rainfall_mm", "temp_range_c", "time_sigmoid", "mean_temp_roll_7d", "te_location_month"]
+    params = {"two_stage": {"clf_params": SMALL_TREES, "reg_params": SMALL_TREES, "log_target": True}, "regressor": {"reg_params": SMALL_TREES, "log_target": True}, "classifier": {"clf_params": SMALL_TREES}}
+    pipe = ts.build_pipeline("y", columns, kind, feature_stages=features, **params[kind])
+    pipe.save(str(tmp_path / "pipe"))
+    fitted = Pipeline.load(str(tmp_path / "pipe")).fit(df) if kind != "two_stage" else pipe.fit(df)
+    fitted.save(str(tmp_path / "fitted"))
+    again = PipelineModel.load(str(tmp_path / "fitted"))
+    out = "_wet_pred" if kind == "classifier" else "prediction"
+    # rows that training did not see: another station, a later day, missing values
+    new = df.drop("y").unionByName(spark.createDataFrame([("z", dt.date(2020, 6, 1), *([20.0] * 5), None, 1.0, 2.0)], df.drop("y").schema))
+    a, b = (sorted((r["location"], r["date"], r[out]) for r in m.transform(new).select("location", "date", out).collect()) for m in (fitted, again))
+    assert a == b and len(a) == 181 and len({x[2] for x in a}) > 1
+    assert [type(s) for s in again.stages] == [type(s) for s in fitted.stages]
+
+
 def test_unknown_station_has_zero_indicator(spark):
     df = rain_rows(spark)
     p = Pipeline(stages=ts.preprocessor(["t"])).fit(df)
