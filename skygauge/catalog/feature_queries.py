@@ -140,10 +140,7 @@ w AS (SELECT location, date, CASE WHEN {T} > q999 THEN 11.0::DOUBLE WHEN {T} > q
 
 
 def weights(spark, d):
-    x = target_days(spark, d)
-    j = x.join(en.location_quantiles(x, T), "location")
-    w = ev.sample_weight(F.col(T), *[F.col(q) for q in ("q90", "q95", "q99", "q995", "q999")])
-    return j.select("location", "date", w.alias("weight"))
+    return en.sample_weights(target_days(spark, d), T)
 
 
 @query("s13_sample_weights", WEIGHT + " SELECT * FROM w", dates=("date",))

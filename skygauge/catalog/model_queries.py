@@ -1,7 +1,7 @@
 """Model, forecast and stream queries.
 
-Trees are few and shallow here: the queries show that the jobs run over whole
-tables; sizes are parameters of the library.
+Folds, lags, history, weights and neighbours are the production ones. The number of trees is not:
+each tree is a chain of jobs, and the README has the times; sizes are parameters of the library.
 """
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,16 +15,17 @@ from skygauge.model import forecast as fc
 from skygauge.model import selection as sel
 from skygauge.model import transformers as tr
 from skygauge.model import two_stage as ts
+from skygauge.model.grouped import GroupedTwoStage
 from skygauge.operators import joins as jn
-from skygauge.operators.validation import time_ordered_folds
+from skygauge.operators.encoding import sample_weights
 from skygauge.session import cut_lineage, scratch_dir
 from skygauge.sources import adapters as ad
 from skygauge.sources import feeds
 from skygauge.streaming import live
 
 T = ad.TARGET
-SMALL = {"maxIter": 3, "maxDepth": 3}
-TINY = {"maxIter": 1, "maxDepth": 2}
+SMALL = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}
+GROUPED = {"trees": 6, "depth": 3, "step_size": 0.3}
 
 
 def train_rows(spark, d):
@@ -104,16 +105,13 @@ def m08_cv(spark, d):
 def m11(spark, d):
     x = train_rows(spark, d)
     v = prepared(x).transform(x).withColumns({"_wet": (F.col(T) > 1).cast("double"), "_weight": F.lit(1.0)})
-    folds = time_ordered_folds(v, 2)
-    grid = [{"maxIter": 2, "maxDepth": m} for m in (2, 3)]
-    return sel.grid_search_recall(folds, lambda p: ts.classifier(**p), grid, "_wet", 2, vector_to_array("_prob")[1])
+    grid = [{**SMALL, "maxDepth": depth, "stepSize": step} for depth in (2, 3) for step in (0.1, 0.3)]
+    return sel.grid_search_recall(sel.landed_folds(v, 5), lambda p: ts.classifier(**p), grid, "_wet", 5, vector_to_array("_prob")[1])
 
 
 @query("m12_per_location_scores")
 def m12(spark, d):
-    x = train_rows(spark, d)
-    v = prepared(x).transform(x)
-    return sel.per_location_scores(v, lambda name: ts.regressor("prediction", label=T, **TINY), T, k=2)
+    return sel.per_location_scores(train_rows(spark, d), ad.FEATURES, T, k=5, **GROUPED)
 
 
 @query("m16_stacking")
@@ -136,25 +134,25 @@ def m18(spark, d):
         "location", "date", shown("calibrated", 4).alias("calibrated"))
 
 
-LAGS = (1, 2, 3, 7)
+LAGS = fc.TARGET_LAGS
 LAG_COLUMNS = [f"{T}_lag_{k}" for k in LAGS] + [f"{T}_roll_mean_{k}" for k in LAGS] + [f"nbr_target_mean_lag{k}" for k in LAGS]
-HORIZON = 5
+HORIZON = 7
 
 
 def _forecast_parts(spark, d):
-    """Rows before the last days of the table, and those days as the horizon."""
+    """Rows before the last days of the table, and those days as the horizon; lagged training rows and the neighbours."""
     x = ad.weather(spark, d).select("location", "date", ad.WEATHER[0], T)
     cut = cut_lineage(x.agg(F.date_sub(F.max("date"), HORIZON).alias("c"))).scalar()
-    return cut_lineage(x.filter(F.col("date") <= cut).fillna(0.0, subset=[T])), x.filter(F.col("date") > cut)
+    history = cut_lineage(x.filter(F.col("date") <= cut).fillna(0.0, subset=[T]))
+    edges = cut_lineage(ring_edges(spark, d))
+    return history, x.filter(F.col("date") > cut), edges, cut_lineage(fc.lag_features(history, T, edges, LAGS))
 
 
 @query("m19_recursive_forecast")
 def m19(spark, d):
-    history, future = _forecast_parts(spark, d)
-    edges = cut_lineage(ring_edges(spark, d))
-    feats = cut_lineage(fc.lag_features(history, T, edges, LAGS))
+    history, future, edges, feats = _forecast_parts(spark, d)
     prep = Pipeline(stages=ts.preprocessor([ad.WEATHER[0], *LAG_COLUMNS])).fit(feats)
-    est = ts.TwoStage(T, threshold=1.0, clf_params=SMALL, reg_params=[SMALL, {"maxIter": 2, "maxDepth": 4, "seed": 7}])
+    est = ts.TwoStage(T, threshold=1.0, clf_params=SMALL, reg_params=[SMALL, {**SMALL, "maxDepth": 4, "seed": 7}])
     model = est.fit(prep.transform(feats))
     out = fc.recursive_forecast(history, future, lambda df: model.transform(prep.transform(df)), T, edges, LAGS,
                                 extra=("prediction_0", "prediction_1"))
@@ -163,13 +161,11 @@ def m19(spark, d):
 
 @query("m20_recursive_forecast_per_location")
 def m20(spark, d):
-    history, future = _forecast_parts(spark, d)
-    feats = cut_lineage(fc.lag_features(history, T, None, LAGS))
-    cols = [c for c in LAG_COLUMNS if not c.startswith("nbr")]
-    prep = Pipeline(stages=ts.preprocessor([ad.WEATHER[0], *cols])).fit(feats)
-    models = sel.per_location_models(prep.transform(feats), lambda n: ts.regressor("prediction", label=T, **TINY))
-    predict = lambda df: sel.predict_per_location(models, prep.transform(df))
-    out = fc.recursive_forecast(history, future, predict, T, None, LAGS)
+    """Every station's own classifier and weighted regressor, all grown together, fed with their own forecasts and the neighbours'."""
+    history, future, edges, feats = _forecast_parts(spark, d)
+    feats = feats.join(sample_weights(feats, T), ["location", "date"])
+    model = GroupedTwoStage(T, [ad.WEATHER[0], *LAG_COLUMNS], threshold=1.0, weight="weight", **GROUPED).fit(feats)
+    out = fc.recursive_forecast(history, future, model.transform, T, edges, LAGS)
     return out.withColumn("prediction", shown("prediction", 6))
 
 

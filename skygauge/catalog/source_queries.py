@@ -30,6 +30,22 @@ def land_csv(spark, d):
     return path
 
 
+#: Layout of a station's files: 0 as delivered, 1 in reversed column order, 2 without the strongest wind.
+LAYOUT = "ascii(right(location, 1)) % 3"
+
+
+def land_mixed_csv(spark, d):
+    """Station files of three layouts below one folder."""
+    w = ad.weather(spark, d)
+    path = scratch_dir(spark, "landed")
+    cells = {"Date": F.col("date").cast("string")} | {files.RAW_HEADERS[c]: F.coalesce(F.col(c).cast("string"), F.lit(files.MISSING_MARK)) for c in ad.FEATURES}
+    names = list(cells)
+    for k, order in enumerate((names, names[::-1], [n for n in names if n != files.RAW_HEADERS["max_wind_speed_kmh"]])):
+        part = w.filter(F.expr(LAYOUT) == k).select(F.col("location").alias("station"), *[cells[n].alias(n) for n in order])
+        part.repartition("station").write.mode("append").partitionBy("station").option("header", True).csv(path)
+    return path
+
+
 def station_of_folder(df):
     return df.withColumn("location", F.regexp_replace("location", "^station=", ""))
 
@@ -41,26 +57,29 @@ def io01(spark, d):
     return typed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in ad.FEATURES])
 
 
-@query("io02_concat_folder", f"""WITH {SD} SELECT date, count(*) AS n, round(sum(max_wind_speed_kmh) + 1e-9, 4) AS wind FROM sd GROUP BY 1""",
+@query("io02_concat_folder", f"""WITH {SD} SELECT date, count(*) AS n, round(sum(CASE WHEN {LAYOUT} <> 2 THEN max_wind_speed_kmh END) + 1e-9, 4) AS wind FROM sd GROUP BY 1""",
        dates=("date",))
 def io02(spark, d):
-    rows = files.concat_folder(spark, land_csv(spark, d))
+    rows = files.concat_folder(spark, land_mixed_csv(spark, d))
     assert "csv_files" in rows.columns
     return cl.convert_numeric(rows, ad.FEATURES).groupBy(F.col("date").try_cast("date").alias("date")).agg(
         F.count("csv_files").alias("n"), shown(F.sum("max_wind_speed_kmh"), 4).alias("wind"))
 
 
-@query("io03_concat_stations", WEATHER_SQL, dates=("date",))
+BY_NAME_SQL = WEATHER_SQL.replace("max_wind_speed_kmh FROM", f"CASE WHEN {LAYOUT} <> 2 THEN max_wind_speed_kmh END AS max_wind_speed_kmh FROM")
+
+
+@query("io03_concat_stations", BY_NAME_SQL, dates=("date",))
 def io03(spark, d):
-    rows = station_of_folder(files.concat_stations(spark, land_csv(spark, d)))
+    rows = station_of_folder(files.concat_stations(spark, land_mixed_csv(spark, d)))
     typed = cl.convert_numeric(rows, ad.FEATURES).withColumn("date", F.col("date").try_cast("date"))
     return typed.drop("csv_files")
 
 
-@query("io04_header_audit", f"""WITH {SD} SELECT (SELECT count(DISTINCT location) FROM sd) AS stations, 1 AS headers""")
+@query("io04_header_audit", f"""WITH {SD} SELECT (SELECT count(DISTINCT location) FROM sd) AS stations, (SELECT count(DISTINCT {LAYOUT} = 2) FROM sd) AS headers""")
 def io04(spark, d):
     folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
-    return files.header_audit(spark, land_csv(spark, d)).agg(
+    return files.header_audit(spark, land_mixed_csv(spark, d)).agg(
         F.count_distinct(folder).alias("stations"), F.count_distinct("columns").alias("headers"))
 
 
@@ -170,9 +189,9 @@ def io17(spark, d):
     return files.submission(p).withColumn("prediksi", shown("prediksi", 6))
 
 
-@query("io18_load_training", WEATHER_SQL.replace("location, date", "date"), dates=("date",))
+@query("io18_load_training", f"SELECT * EXCLUDE (location) FROM ({BY_NAME_SQL}) AS named", dates=("date",))
 def io18(spark, d):
-    return files.load_training(spark, land_csv(spark, d), ad.FEATURES)
+    return files.load_training(spark, land_mixed_csv(spark, d), ad.FEATURES)
 
 
 # ---- feeds: aggregates ------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skygauge.functions import evaluation as ev
 from skygauge.operators.ordering import attach_row, global_quantiles
 
 QUANTILES = {"q90": 0.90, "q95": 0.95, "q99": 0.99, "q995": 0.995, "q999": 0.999, "max": 1.0}
@@ -57,3 +58,10 @@ def location_quantiles(df: DataFrame, target: str, group: str = "location") -> D
     ps = ", ".join(str(p) for p in QUANTILES.values())
     q = df.groupBy(group).agg(F.expr(f"percentile({target}, array({ps}))").alias("_q"))
     return q.select(group, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)])
+
+
+def sample_weights(df: DataFrame, target: str, group: str = "location", date: str = "date") -> DataFrame:
+    """``location, date, weight``: tiers by the upper quantiles of the row's own station."""
+    j = df.join(location_quantiles(df, target, group), group)
+    w = ev.sample_weight(F.col(target), *[F.col(q) for q in ("q90", "q95", "q99", "q995", "q999")])
+    return j.select(group, date, w.alias("weight"))

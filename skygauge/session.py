@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """New folder for a hand-over table below the session's checkpoint folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to a new folder and read it back: cuts lineage, and the size of the rows is known to later joins.
+
+    With ``by`` the folder has one folder per value of these columns, and filters on them prune files.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    w = df.write.partitionBy(*by) if by else df.write
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skygauge.functions.text import calendar_id, clean_header, station_name
 from skygauge.operators.cleaning import clean_headers, to_double
-from skygauge.session import cut_lineage
+from skygauge.session import land
 
 # Raw headers of a yearly station file and its mark for a missing cell.
 RAW_HEADERS = {
@@ -38,7 +39,6 @@ def folder_name() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
 
 
-
 def _need_files(read):
     """Run a reader; a folder without files becomes FileNotFoundError."""
     try:
@@ -48,8 +48,11 @@ def _need_files(read):
 
 
 def read_station_csv(spark: SparkSession, path: str | Sequence[str], **ids: Column) -> DataFrame:
-    """Files of one header as text columns with clean names; ``ids`` are file-derived columns."""
-    raw = _need_files(lambda: spark.read.option("header", True).option("recursiveFileLookup", True)
+    """Files of one header as text columns with clean names; ``ids`` are file-derived columns.
+
+    A file whose header has other names or another order fails the read; ``concat_folder`` reads by name.
+    """
+    raw = _need_files(lambda: spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True)
                       .option("pathGlobFilter", "*.csv").csv(path))
     if not raw.columns:
         raise FileNotFoundError("No CSV files found")
@@ -57,19 +60,54 @@ def read_station_csv(spark: SparkSession, path: str | Sequence[str], **ids: Colu
     return raw.select(*data, *[c.alias(n) for n, c in ids.items()])
 
 
-def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, header``: the first line of every CSV below ``path``."""
-    lines = _need_files(lambda: spark.read.option("recursiveFileLookup", True)
-                        .option("pathGlobFilter", "*.csv").text(path))
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")) \
-        .groupBy("file").agg(F.min_by("value", "place").alias("header"))
+def file_lines(spark: SparkSession, path: str | Sequence[str], **ids: Column) -> DataFrame:
+    """Lines of every CSV below ``path``: file, start (of the file's block), value and file-derived columns."""
+    lines = _need_files(lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", *[c.alias(n) for n, c in ids.items()])
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Lines as fields: the given columns but ``value``, then header (the file's first line) and fields (null in the header's own row).
+
+    Lines of a block arrive in their order, so the first line of a file's first block is its header and is
+    carried along; rows of later blocks of a long file have a null header, to be looked up by file.
+    Quotes are honoured within a line; empty lines are left out.
+    """
+    kept = [c for c in lines.columns if c != "value"]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, start, header = None, None, None
+        for pdf in batches:
+            heads, fields, keep = [], [], []
+            for i, (f, at, line) in enumerate(zip(pdf.file, pdf.start, pdf.value)):
+                first = (f, at) != (file, start)
+                if first:
+                    file, start = f, at
+                    header = line if at == 0 else None
+                if not line and not (first and at == 0):
+                    continue
+                keep.append(i)
+                heads.append(header)
+                fields.append(None if first and at == 0 else next(csv.reader([line])))
+            yield pdf.iloc[keep][kept].assign(header=heads, fields=fields)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*kept).schema.fields)
+    return lines.mapInPandas(parse, f"{types}, header string, fields array<string>")
+
+
+def header_names(header: str) -> list[str]:
+    """Clean column names of a header line."""
+    return [clean_header(c) for c in next(csv.reader([header]), [])]
 
 
 def header_audit(spark: SparkSession, path: str) -> DataFrame:
     """``file, columns``: every file with its set of stripped column names."""
-    names = F.sort_array(F.transform(F.split("header", ","), lambda c: F.trim(c)))
-    return first_lines(spark, path).select("file", names.alias("columns"))
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"file": pdf.file, "columns": [sorted(c.strip() for c in next(csv.reader([h]), [])) for h in pdf.header]})
+
+    heads = parsed_lines(file_lines(spark, path)).filter("fields is null")
+    return heads.select("file", "header").mapInPandas(names, "file string, columns array<string>")
 
 
 def header_counts(audit: DataFrame) -> DataFrame:
@@ -77,28 +115,29 @@ def header_counts(audit: DataFrame) -> DataFrame:
     return audit.groupBy("columns").agg(F.count(F.lit(1)).alias("n_files"), F.min("file").alias("example"))
 
 
-def concat_folder(spark: SparkSession, path: str, output_dir: str | None = None, **ids: Column) -> DataFrame:
+def concat_folder(spark: SparkSession, path: str | Sequence[str], output_dir: str | None = None, **ids: Column) -> DataFrame:
     """All CSVs below a folder, columns matched by name, file ids added.
 
-    A CSV read goes by position, so files of several headers are read as lines and
-    parsed per header; only the distinct headers come to the driver.
+    The files are read once: their lines are parsed and written as (header, fields), and each row is
+    then projected by the place its own header gives to a column. Only the distinct headers, a few
+    for any number of files, come to the driver. Columns stand in the order in which the headers, sorted, name them; a file without a
+    column gives nulls, a name that a header has twice counts where it stands first.
     """
     ids = ids or {"csv_files": file_stem()}
-    heads = cut_lineage(first_lines(spark, path))
-    headers = [r[0] for r in heads.select("header").distinct().orderBy("header").collect()]
+    rows = land(parsed_lines(file_lines(spark, path, **ids)), "lines")
+    heads = rows.filter("fields is null").select("file", F.col("header").alias("own"))
+    headers = [r[0] for r in heads.select("own").distinct().orderBy("own").collect()]
     if not headers:
         raise FileNotFoundError("No CSV files found")
-    if len(headers) == 1:
-        out = read_station_csv(spark, path, **ids)
-    else:
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).select(
-            "value", F.col("_metadata.file_path").alias("file"), *[c.alias(n) for n, c in ids.items()])
-        lines = lines.join(heads, "file").filter(F.col("value") != F.col("header"))
-        out = None
-        for h in headers:
-            schema = ", ".join(f"`{clean_header(c)}` STRING" for c in h.split(","))
-            part = lines.filter(F.col("header") == h).select(F.from_csv("value", schema).alias("r"), *ids).select("r.*", *ids)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    names = list(dict.fromkeys(c for h in headers for c in header_names(h) if c not in ids))
+    places = [(h, [own.index(c) if c in own else None for c in names]) for h, own in ((h, header_names(h)) for h in headers)]
+    data = rows.filter("fields is not null")
+    later = data.filter("header is null").drop("header").join(heads, "file").withColumnRenamed("own", "header")
+    known = data.filter("header is not null").unionByName(later)
+    placed = known.join(F.broadcast(spark.createDataFrame(places, "header string, places array<int>")), "header")  # one row per distinct header
+    # an empty cell is a missing one, as in Spark's own CSV reader
+    cell = lambda i: F.nullif(F.get("fields", F.get("places", F.lit(i))), F.lit(""))
+    out = placed.select(*[cell(i).alias(c) for i, c in enumerate(names)], *ids)
     if output_dir:
         out.write.mode("overwrite").option("header", True).csv(output_dir)
     return out
@@ -110,15 +149,19 @@ def concat_stations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def count_rows(spark: SparkSession, root: str) -> DataFrame:
-    return read_station_csv(spark, root, location=folder_name()).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+    """Data rows per folder; the order of a file's columns does not matter."""
+    lines = parsed_lines(file_lines(spark, root, location=folder_name()))
+    return lines.groupBy("location").agg(F.count("fields").alias("n"))
 
 
 def sample_file(spark: SparkSession, root: str, seed: int = 0) -> DataFrame:
     """Rows of one file drawn by seed, with location from the folder and year from the file name."""
+    files = file_lines(spark, root).select("file").distinct()
+    one = files.orderBy(F.xxhash64(F.regexp_extract("file", r"([^/]+/[^/]+)$", 1), F.lit(seed)), "file").first()
+    if one is None:
+        raise FileNotFoundError("No CSV files found")
     year = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1), F.lit("")), F.lit("unknown"))
-    rows = read_station_csv(spark, root, location=folder_name(), year=year, _file=F.col("_metadata.file_path"))
-    one = rows.select("_file").distinct().orderBy(F.xxhash64("_file", F.lit(seed)), "_file").limit(1)
-    return rows.join(one, "_file", "left_semi").drop("_file")
+    return read_station_csv(spark, one[0], location=folder_name(), year=year)
 
 
 def read_stations(spark: SparkSession, path: str, one_array: bool = True) -> DataFrame:
@@ -128,8 +171,8 @@ def read_stations(spark: SparkSession, path: str, one_array: bool = True) -> Dat
 
 
 def load_training(spark: SparkSession, path: str, numeric: Sequence[str]) -> DataFrame:
-    """Station rows with a parsed date and numbers; fails when the folder is absent."""
-    raw = read_station_csv(spark, path)
+    """Station rows with a parsed date and numbers, columns by name; fails when the folder is absent."""
+    raw = concat_folder(spark, path).drop("csv_files")
     return raw.withColumn("date", F.col("date").try_cast("date")).withColumns({c: to_double(c) for c in numeric})
 
 

@@ -45,6 +45,33 @@ def test_csv_tree(spark, tmp_path):
         files.concat_folder(spark, str(tmp_path / "none"))
 
 
+def test_csv_columns_go_by_name(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('Date,"Max, Wind",T\n2009-01-01,"1,5",7\n\n2009-01-02,,"say ""x"""\n')
+    (tmp_path / "b.csv").write_text('T,Date\n8,2009-02-01\n9,2009-02-02\n9\n')
+    (tmp_path / "c.csv").write_text('Date,Extra\n')  # a header alone: its columns count
+    (tmp_path / "empty.csv").write_text("")
+    out = files.concat_folder(spark, str(tmp_path))
+    assert set(out.columns) == {"date", "max,_wind", "t", "extra", "csv_files"}
+    got = sorted(((r.csv_files, r.date, r["max,_wind"], r.t, r.extra) for r in out.collect()), key=str)
+    assert got == sorted([("a", "2009-01-01", "1,5", "7", None), ("a", "2009-01-02", None, 'say "x"', None), ("b", "2009-02-01", None, "8", None),
+                          ("b", "2009-02-02", None, "9", None), ("b", None, None, "9", None)], key=str)
+    assert [c for r in files.header_audit(spark, str(tmp_path)).collect() for c in r.columns if r.file.endswith("a.csv")] == ["Date", "Max, Wind", "T"]
+    with pytest.raises(Exception, match="header|Header"):
+        files.read_station_csv(spark, str(tmp_path / "[ab].csv")).collect()
+    # a long file is read in blocks: rows of later blocks find the header by their file
+    long = tmp_path / "long"
+    long.mkdir()
+    (long / "x.csv").write_text("B,A\n" + "".join(f"{i},{i + 1}\n" for i in range(5000)))
+    (long / "y.csv").write_text("A,B\n" + "".join(f"{i + 1},{i}\n" for i in range(5000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = files.concat_folder(spark, str(long))
+        assert rows.count() == 10_000 and rows.filter("int(a) <> int(b) + 1 or a is null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_stations_array_and_archive(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"station_code": "S1", "station_name": "X", "latitude": 1.0, "longitude": 2.0},\n {"station_code": "S2", "station_name": "Y", "latitude": 3.0, "longitude": 4.0}]')
     assert files.read_stations(spark, str(tmp_path / "s.json")).count() == 2
