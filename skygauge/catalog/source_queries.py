@@ -9,7 +9,7 @@ from skygauge.functions import text
 from skygauge.operators import cleaning as cl
 from skygauge.operators import windows as win
 from skygauge.plans import marts
-from skygauge.session import scratch_dir
+from skygauge.session import cut_lineage, scratch_dir
 from skygauge.sources import adapters as ad
 from skygauge.sources import feeds, files
 
@@ -318,14 +318,15 @@ def pf11(spark, d):
     return ad.weather(spark, d).fillna(0.0, subset=[*ad.RAIN, ad.TARGET]).select("location", "date", ad.RAIN[0], ad.TARGET)
 
 
-@query("pf12_point_lookup", f"""WITH {SD}, req AS (SELECT location, date FROM sd WHERE day(date) % 5 = 0)
-SELECT location, date, extracted_mm, CASE WHEN year(date) <= 1999 THEN 'train_dataset' ELSE 'test_dataset' END AS feature_source
-FROM req JOIN sd USING (location, date) WHERE year(date) <= 2000""", dates=("date",))
+@query("pf12_point_lookup", f"""WITH {SD}
+SELECT location, date, CASE WHEN year(date) <= 2000 THEN extracted_mm END AS extracted_mm,
+  CASE WHEN year(date) <= 1999 THEN 'train_dataset' WHEN year(date) <= 2000 THEN 'test_dataset' END AS feature_source,
+  CASE WHEN year(date) > 2000 THEN 'no source has these keys' END AS reason FROM sd""", dates=("date",))
 def pf12(spark, d):
-    x = ad.daily(spark, d).select("location", "date", "extracted_mm")
-    req = x.filter(F.dayofmonth("date") % 5 == 0).select("location", "date")
+    """Every station-day is asked for; the later years are in no source and come back with a reason."""
+    x = cut_lineage(ad.daily(spark, d).select("location", "date", "extracted_mm"))
     train, test = x.filter(F.year("date") <= 1999), x.filter(F.year("date").between(1998, 2000))
-    return cl.first_source(req, [("train_dataset", train), ("test_dataset", test)])
+    return cl.look_up(x.select("location", "date"), [("train_dataset", train), ("test_dataset", test)])
 
 
 def _filter_sql(extra: str, col: str) -> str:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +138,64 @@ def one_dot_per_day(dots: DataFrame, plots: DataFrame, absent: DataFrame) -> tup
             placed.filter("rank > 1").select("plot_id", "day", "x", "y"))
 
 
+def free_days(dots: DataFrame, plots: DataFrame, absent: DataFrame) -> DataFrame:
+    """Every dot of a chart on a day of its own: ``plot_id, x, y, want, day``; day is null when no day is left.
+
+    From left to right a dot takes its day, or the nearest present one where that is absent, or, if a dot
+    before it has that one, the nearest day still free; of two equally near days the left one. Charts
+    are solved apart; a chart has at most as many days as its year and dots as its pixel columns. The next free day on either side is found by jumping
+    over taken days, and each jump is shortened for the next one.
+    """
+    step = (F.col("data_end") - F.col("data_start")) / (F.col("n_days") - 1)
+    want = F.greatest(F.lit(0), F.least(F.bround((F.col("x") - F.col("data_start")) / step).cast("int"), F.col("n_days") - 1))
+    d = dots.join(plots, "plot_id").select("plot_id", "n_days", F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), want.alias("want")).alias("dot"))
+    charts = d.groupBy("plot_id", "n_days").agg(F.sort_array(F.collect_list("dot")).alias("dots"))
+    gone = absent.groupBy("plot_id").agg(F.collect_set("day").alias("gone"))
+    one = charts.join(gone, "plot_id", "left").select("plot_id", "n_days", F.col("dots.x").alias("x"), F.col("dots.y").alias("y"), F.col("dots.want").alias("want"), "gone")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                gone = [] if r.gone is None else r.gone
+                present, free = FreeDays(r.n_days, gone), FreeDays(r.n_days, gone)
+                days = []
+                for w in r.want:
+                    near = present.nearest(int(w))
+                    days.append(None if near is None else free.nearest(near))
+                    if days[-1] is not None:
+                        free.take(days[-1])
+                yield pd.DataFrame({"plot_id": r.plot_id, "x": r.x, "y": r.y, "want": r.want, "day": pd.array(days, "Int32")})
+
+    return one.mapInPandas(place, "plot_id string, x double, y double, want int, day int")
+
+
+class FreeDays:
+    """Days 0..n-1, some taken; ``left[d]`` and ``right[d]`` lead towards the next free day on each side of a taken one."""
+
+    def __init__(self, n: int, taken: Iterable[int]):
+        self.n, self.left, self.right = n, list(range(-1, n)), list(range(n + 1))  # left is shifted by one, so that -1 has a place
+        for d in taken:
+            self.take(int(d))
+
+    def take(self, day: int) -> None:
+        self.left[day + 1], self.right[day] = day - 1, day + 1
+
+    def _follow(self, links: list[int], at: int, shift: int) -> int:
+        path = []
+        while links[at + shift] != at:
+            path.append(at)
+            at = links[at + shift]
+        for p in path:
+            links[p + shift] = at
+        return at
+
+    def nearest(self, day: int) -> int | None:
+        low, high = self._follow(self.left, day, 1), self._follow(self.right, day, 0)
+        if low < 0 and high >= self.n:
+            return None
+        return low if high >= self.n or (low >= 0 and day - low <= high - day) else high
+
+
 def length_check(series: DataFrame, days: DataFrame) -> DataFrame:
     """Plots whose series length differs from their calendar."""
     n = lambda df, name: df.groupBy("plot_id").agg(F.count(F.lit(1)).alias(name))

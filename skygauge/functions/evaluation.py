@@ -50,7 +50,8 @@ def error_rain_bin(mm: Column) -> Column:
             .when(mm <= 100, "heavy").when(mm > 100, "extreme"))
 
 
-def evaluation_columns(pred: Column, obs: Column, eps: float = 1.0) -> dict[str, Column]:
+def evaluation_columns(pred: Column, obs: Column, eps: float = 1.0, shift: float = 0.0) -> dict[str, Column]:
+    """Error, direction, regime, severity and text; ``shift`` is added to the relative error before it is rounded."""
     diff = pred - obs
     err = F.abs(diff)
     rel = err / F.greatest(obs, F.lit(eps)) * 100
@@ -61,7 +62,7 @@ def evaluation_columns(pred: Column, obs: Column, eps: float = 1.0) -> dict[str,
         .otherwise(F.when(rel <= 20, "low").when(rel <= 50, "moderate").when(rel > 50, "high")))
     text_key = F.when(obs <= 5, F.concat(F.lit("drizzle/"), severity)).otherwise(severity)
     return {
-        "absolute_error_mm": err, "relative_error_pct": F.bround(rel, 1),
+        "absolute_error_mm": err, "relative_error_pct": F.bround(rel + shift, 1),
         "direction": direction, "regime": regime, "severity": severity,
         "insight_text": F.concat_ws(" ", lookup(SEVERITY_TEXT, text_key), lookup(DIRECTION_TEXT, direction),
                                     lookup(REGIME_TEXT, regime)),
@@ -92,6 +93,24 @@ def sample_weight(y: Column, q90: Column, q95: Column, q99: Column, q995: Column
             .when(y > q95, 5.0).when(y > q90, 3.0).otherwise(1.0))
 
 
+FORECAST_DAYS = 14
+
+
+def forecast_reason(date: Column, today: Column) -> Column:
+    """Why a forecast cannot be given for a date; null where it can."""
+    last = F.date_add(today, FORECAST_DAYS)
+    text = F.format_string("Forecast date must be between %s and %s", today.cast("string"), last.cast("string"))
+    return F.when(date.isNull(), "date required").when(~date.between(today, last), text)
+
+
+def forecast_response(location: Column, date: Column, pred: Column) -> Column:
+    return response(F.lit("forecast"), location, date, pred, F.lit("open_meteo"), F.lit("Forecast limited to short-term weather window"))
+
+
+def scenario_response(location: Column, date: Column, pred: Column) -> Column:
+    return response(F.lit("random"), location, date, pred, F.lit("random_user_input"), F.lit("Scenario-based prediction"))
+
+
 def response(mode: Column, location: Column, date: Column, pred: Column, source: Column, notes: Column,
              obs: Column | None = None) -> Column:
     """Nested answer of a prediction request; ``comparison`` is null without an observation."""

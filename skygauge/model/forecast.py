@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions import evaluation as ev
-from skygauge.operators.cleaning import first_source
+from skygauge.operators.cleaning import first_source, validate_requests
 from skygauge.operators.joins import neighbor_target_lags
 from skygauge.operators.windows import lag_rolling, last_rows
-from skygauge.session import cut_lineage
+from skygauge.session import cut_lineage, land
 
 # Row lags of the target.
 TARGET_LAGS = (1, 2, 3, 7, 14, 28, 60, 91)
@@ -50,18 +50,30 @@ def recursive_forecast(history: DataFrame, future: DataFrame, predict: Callable[
     return done
 
 
-def evaluate_requests(requests: DataFrame, sources: Sequence[tuple[str, DataFrame]], score: Callable[[DataFrame], DataFrame],
-                      observed: DataFrame, pred: str = "predicted_daily_rainfall_mm") -> DataFrame:
-    """Answer many (location, date) requests: best source, prediction, observed value and error.
+def answer_requests(requests: DataFrame, sources: Sequence[tuple[str, DataFrame]], score: Callable[[DataFrame], DataFrame],
+                    observed: DataFrame, pred: str = "predicted_daily_rainfall_mm") -> DataFrame:
+    """Every request once: the given columns, and either ``response`` or the ``reason`` why there is none.
 
-    ``observed`` has location, date, observed_mm; requests without an observation are left out.
+    ``requests`` has location and date as text, as they came in; ``observed`` has location, date,
+    observed_mm. A request is rejected when it is malformed, when no source has its features, and when
+    nothing was observed. Repeated requests are answered each; a key is scored once.
     """
-    rows = score(first_source(requests, sources))
+    numbered = land(requests.withColumn("_request", F.monotonically_increasing_id()), "requests")
+    good, bad = validate_requests(numbered)
+    rows = score(first_source(good, sources))
     note = F.when(F.col("feature_source") == "open_meteo", "Recent evaluation using Open-Meteo features").otherwise(
         "Historical evaluation using best available features")
-    j = rows.join(observed.select("location", "date", "observed_mm"), ["location", "date"]).filter("observed_mm IS NOT NULL")
-    return j.select(ev.response(F.lit("evaluation"), F.col("location"), F.col("date"), F.col(pred), F.col("feature_source"),
-                                note, F.col("observed_mm")).alias("response"))
+    mm = observed.select("location", "date", "observed_mm").dropna()
+    answer = ev.response(F.lit("evaluation"), F.col("location"), F.col("date"), F.col(pred), F.col("feature_source"), note, F.col("observed_mm"))
+    known = rows.join(mm, ["location", "date"], "left").select(
+        "location", "date", F.when(F.col("observed_mm").isNotNull(), answer).alias("response"),
+        F.when(F.col("observed_mm").isNull(), "Observed rainfall not available for this date").alias("_why"), F.lit(True).alias("_found"))
+    tried = good.select("_request", "location", "date").join(known, ["location", "date"], "left")
+    why = F.when(F.col("_found").isNull(), "No features for this location and date").otherwise(F.col("_why"))
+    done = tried.select("_request", "response", why.alias("reason"))
+    rejected = bad.select("_request", F.col("reason").alias("_bad"))
+    out = numbered.join(done, "_request", "left").join(rejected, "_request", "left")
+    return out.withColumn("reason", F.coalesce("_bad", "reason")).drop("_request", "_bad")
 
 
 def nearest_gauge_rain(stations: DataFrame, totals: DataFrame, nearest: DataFrame) -> DataFrame:

@@ -73,17 +73,24 @@ def split_by_date(df: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
 def first_source(requests: DataFrame, sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("location", "date")) -> DataFrame:
     """Rows of the first source that has the requested key, with the source's name.
 
-    Each source is reduced to the requested keys before the sources meet.
+    The sources meet first and are reduced to the requested keys at once.
     """
     keys = list(keys)
-    wanted = requests.select(*keys).distinct()
-    parts = [df.join(wanted, keys, "left_semi").withColumns({"feature_source": F.lit(name), "_prio": F.lit(i)})
-             for i, (name, df) in enumerate(sources)]
+    parts = [df.withColumns({"feature_source": F.lit(name), "_prio": F.lit(i)}) for i, (name, df) in enumerate(sources)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
+    wanted = out.join(requests.select(*keys), keys, "left_semi")
     w = Window.partitionBy(*keys).orderBy("_prio")
-    return out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_prio")
+    return wanted.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_prio")
+
+
+def look_up(requests: DataFrame, sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("location", "date")) -> DataFrame:
+    """Every request once, with the row of its first source, or with a ``reason`` where no source has its key."""
+    keys = list(keys)
+    found = first_source(requests, sources, keys)
+    out = requests.join(found, keys, "left")
+    return out.withColumn("reason", F.when(F.col("feature_source").isNull(), "no source has these keys"))
 
 
 def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

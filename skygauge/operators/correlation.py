@@ -14,33 +14,34 @@ from skygauge.operators.ordering import with_ordinal
 from skygauge.session import cut_lineage
 
 BLOCK = 64
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _dense(slots: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Values and presence of packed rows as matrices of rows by BLOCK."""
+    n = slots.map(len).to_numpy()
+    row, col = np.repeat(np.arange(len(n)), n), np.concatenate(slots.to_numpy())
+    x, m = np.zeros((len(n), BLOCK)), np.zeros((len(n), BLOCK))
+    x[row, col], m[row, col] = np.concatenate(values.to_numpy()), 1.0
+    return x, m
 
 
 def _gram_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum the products of two value blocks over the rows of one task."""
-    acc: dict[tuple, list] = {}
-
-    def dense(entries):
-        v, m = np.zeros(BLOCK), np.zeros(BLOCK)
-        for e in entries:
-            v[e["slot"]], m[e["slot"]] = e["v"], 1.0
-        return v, m
-
-    def flush():
-        for (k, bi, bj), (n, sx, sy, sxx, syy, sxy) in acc.items():
-            i, j = np.nonzero(n)
-            yield pd.DataFrame({"k": k, "i": bi * BLOCK + i, "j": bj * BLOCK + j, "n": n[i, j], "sx": sx[i, j],
-                                "sy": sy[i, j], "sxx": sxx[i, j], "syy": syy[i, j], "sxy": sxy[i, j]})
+    """Matrix products of two blocks of columns, summed over the rows of one task."""
+    acc: dict[tuple, np.ndarray] = {}
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for (k, bi, bj), sums in acc.items():
+            i, j = np.nonzero(sums[0])
+            yield pd.DataFrame({"k": k, "i": bi * BLOCK + i, "j": bj * BLOCK + j} | {c: v[i, j] for c, v in zip(SUMS, sums)})
         acc.clear()
 
     for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            (x, mx), (y, my) = dense(r.a), dense(r.b)
-            parts = (np.outer(mx, my), np.outer(x, my), np.outer(mx, y), np.outer(x * x, my),
-                     np.outer(mx, y * y), np.outer(x, y))
-            have = acc.setdefault((r.k, r.bi, r.bj), [np.zeros((BLOCK, BLOCK)) for _ in parts])
-            for h, p in zip(have, parts):
-                h += p
+        for key, part in pdf.groupby(["k", "bi", "bj"], sort=False):
+            x, mx = _dense(part.si, part.vi)
+            y, my = (x, mx) if key[1] == key[2] else _dense(part.sj, part.vj)
+            both = np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+            acc[key] = acc[key] + both if key in acc else both
         if len(acc) > 256:  # sums are additive: hand over and start again
             yield from flush()
     yield from flush()
@@ -66,13 +67,15 @@ def correlation_matrix(df: DataFrame, row: str, col: str, value: str, key: str |
     slots = vals.join(names, ["k", "c"]).select(
         "k", "r", F.floor(F.col("id") / BLOCK).alias("blk"),
         F.struct((F.col("id") % BLOCK).cast("int").alias("slot"), (F.col("v") - F.col("mean")).alias("v")).alias("e"))
-    packed = slots.groupBy("k", "r", "blk").agg(F.collect_list("e").alias("e"))
-    left = packed.select("k", "r", F.col("blk").alias("bi"), F.col("e").alias("a"))
-    right = packed.select("k", "r", F.col("blk").alias("bj"), F.col("e").alias("b"))
-    pairs = left.join(right, ["k", "r"]).filter("bi <= bj").select("k", "bi", "bj", "a", "b")
-    sums = pairs.mapInPandas(
-        _gram_blocks, "k string, i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
-    s = sums.groupBy("k", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    packed = slots.groupBy("k", "r", "blk").agg(F.collect_list("e").alias("e")).select("k", "r", "blk", F.col("e.slot").alias("s"), F.col("e.v").alias("v"))
+    one_block = names.agg((F.max("id") < BLOCK).alias("one")).scalar()
+    left = packed.select("k", "r", F.col("blk").alias("bi"), F.col("s").alias("si"), F.col("v").alias("vi"))
+    # a block meets itself without a join; only tables of several blocks join their rows
+    own = left.select("k", "bi", F.col("bi").alias("bj"), "si", "vi", F.col("si").alias("sj"), F.col("vi").alias("vj"))
+    right = packed.filter(~one_block).select("k", "r", F.col("blk").alias("bj"), F.col("s").alias("sj"), F.col("v").alias("vj"))
+    pairs = own.unionByName(left.filter(~one_block).join(right, ["k", "r"]).filter("bi < bj").drop("r"))
+    sums = pairs.mapInPandas(_gram_blocks, "k string, i long, j long, " + ", ".join(f"{c} double" for c in SUMS))
+    s = sums.groupBy("k", "i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")

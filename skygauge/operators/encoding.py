@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions import evaluation as ev
-from skygauge.operators.ordering import attach_row, global_quantiles
+from skygauge.operators.ordering import attach_row, column_quantiles
 
 QUANTILES = {"q90": 0.90, "q95": 0.95, "q99": 0.99, "q995": 0.995, "q999": 0.999, "max": 1.0}
 
@@ -19,12 +19,9 @@ def location_medians(df: DataFrame, cols: Sequence[str], group: str = "location"
 
 
 def global_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact medians of whole columns as one row, by distributed rank."""
-    out = None
-    for c in cols:
-        m = global_quantiles(df, c, [0.5], [f"{c}_all"])
-        out = m if out is None else attach_row(out, m)
-    return out
+    """Exact medians of whole columns as one row; all columns share one sort."""
+    q = column_quantiles(df, cols, [0.5])
+    return q.agg(*[F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"{c}_all") for c in cols])
 
 
 def impute_medians(df: DataFrame, cols: Sequence[str], local: DataFrame, overall: DataFrame,

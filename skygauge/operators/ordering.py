@@ -73,6 +73,26 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Seq
     return ranked.agg(*aggs)
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear quantiles of many columns: ``column, q``, ``q`` as an array in the order of ``probs``.
+
+    The columns are melted and counted by value, sorted once by (column, value), and ranked within
+    their column by the running count less what stands before the column. Nulls and NaN are left out; a column without values has no row.
+    """
+    melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("e")).select("e.*")
+    counts = melted.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = cut_lineage(prefix_sums(counts, ["column", "_v"], {"_hi": "_n"}))
+    spans = cum.groupBy("column").agg(F.sum("_n").alias("_total"), F.min(F.col("_hi") - F.col("_n")).alias("_before"))
+    ranked = cum.join(spans, "column").withColumn("_hi", F.col("_hi") - F.col("_before"))
+    aggs = []
+    for p in probs:
+        pos = (F.col("_total") - 1) * F.lit(float(p))
+        at = lambda k: F.max(F.when((k >= F.col("_hi") - F.col("_n")) & (k < F.col("_hi")), F.col("_v")))
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        aggs.append(lo + (hi - lo) * F.max(pos - F.floor(pos)))
+    return ranked.groupBy("column").agg(F.array(*aggs).alias("q"))
+
+
 def with_halo(df: DataFrame, ordinal: str, back: int, size: int = 100_000) -> DataFrame:
     """Cut the order into chunks and copy the last ``back`` rows of each into the next one.
 

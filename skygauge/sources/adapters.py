@@ -104,6 +104,12 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (103.6 + F.col("s_suppkey") % 5 * 0.05 + F.col("s_suppkey") % 11 * 0.002).alias("longitude"))
 
 
+def gauge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gauge_id, date, daily_rainfall_total_mm``: each gauge's own readings of a day."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("gauge_id"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("daily_rainfall_total_mm"))
+
+
 def monthly_index(spark: SparkSession, sf_dir: str, name: str = "ONI") -> DataFrame:
     """One value per order month, -9999 where missing (every 11th month).
 

@@ -5,11 +5,14 @@ State is bounded by the watermark: closed windows leave it, later rows are dropp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygauge.session import scratch_dir
+from skygauge.streaming.sink import UpsertTable
 
 READING_SCHEMA = T.StructType([
     T.StructField("station_id", T.StringType()), T.StructField("timestamp", T.TimestampType()),
@@ -63,33 +66,35 @@ def running_metrics(errors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+def daily_metrics(errors: DataFrame) -> DataFrame:
+    """The same per station and day of the observation, once the day is closed.
+
+    Stands on the joined stream in the same query: the watermarks of predictions and observations pass through the join
+    into the day's aggregate, so the state of both is bounded.
+    """
+    e = F.col("error_mm")
+    return errors.groupBy("station_id", F.window("timestamp", "1 day").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias")).select(
+        "station_id", F.to_date("day.start").alias("date"), "n", "mae", "rmse", "bias")
+
+
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None) -> DataFrame:
     """Run a stream over what has landed and return the sink's content.
 
-    Complete mode keeps the last batch; update mode merges every batch into the table by ``keys``.
-    Each batch writes a version of its own from the one before, so a repeated batch changes nothing.
+    Append mode writes files; complete mode replaces the table with every batch, update mode upserts each batch by ``keys``. With a
+    ``folder`` sink and progress stay there, and a later drain of the same stream goes on where this one ended.
     """
     spark = stream.sparkSession
-    out, state = scratch_dir(spark, "sink"), scratch_dir(spark, "state")
-    w = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    folder = folder or scratch_dir(spark, "sink")
+    w = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", out).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
+        w.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys of the result")
-    versions = []
-
-    def keep(df: DataFrame, batch: int) -> None:
-        older = [v for v in versions if v < batch]
-        if mode == "update" and older:
-            last = spark.read.schema(stream.schema).parquet(f"{out}/{older[-1]}")
-            df = last.join(df.select(*keys), list(keys), "left_anti").unionByName(df)
-        df.write.mode("overwrite").parquet(f"{out}/{batch}")
-        if batch not in versions:
-            versions.append(batch)
-
-    w.outputMode(mode).foreachBatch(keep).start().awaitTermination()
-    if not versions:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{out}/{versions[-1]}")
+    if mode == "update":
+        table = UpsertTable(spark, f"{folder}/rows", stream.schema, keys)
+        w.foreachBatch(table.upsert).start().awaitTermination()
+        return table.read()
+    w.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

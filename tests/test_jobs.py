@@ -17,6 +17,7 @@ from skygauge.plans import marts
 from skygauge.sources import adapters as ad
 from skygauge.sources import feeds, files
 from skygauge.streaming import live
+from skygauge.streaming.sink import UpsertTable
 from tests.conftest import SMALL
 
 SMALL_TREES = {"maxIter": 2, "maxDepth": 2}
@@ -226,6 +227,71 @@ def test_update_mode_equals_complete(spark, tmp_path):
         live.drain(live.running_metrics(errors(1)), mode="update")
 
 
+def test_joined_stream_feeds_metrics(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s%d" % (i % 3), t0 + dt.timedelta(minutes=20 * i), float(i % 11)) for i in range(300)]
+    spark.createDataFrame(rows, live.READING_SCHEMA).repartition(4).write.parquet(str(tmp_path / "r"))
+    read = lambda: live.read_readings(spark, str(tmp_path / "r"))
+    pred = read().select("station_id", (F.col("timestamp") - F.expr("interval 5 minutes")).alias("made_at"), (F.col("rainfall_mm") * 1.5).alias("predicted_mm"))
+    errors = live.drain(live.error_stream(pred, read()), folder=str(tmp_path / "errors"))
+    assert errors.count() == 300
+    # the landed join is the next stream, a file a batch: update equals complete equals the batch aggregate
+    errors.repartition(5).write.parquet(str(tmp_path / "again"))
+    stream = lambda: live.running_metrics(spark.readStream.schema(errors.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "again")))
+    show = lambda df: sorted((r.station_id, r.n, round(r.mae, 9), round(r.rmse, 9), round(r.bias, 9)) for r in df.collect())
+    want = show(live.running_metrics(errors))
+    assert len(want) == 3 and show(live.drain(stream(), mode="update", keys=("station_id",))) == show(live.drain(stream(), mode="complete")) == want
+    # one query from both streams to the closed days
+    closed = errors.filter(F.to_date("timestamp") < F.lit("2024-01-05"))
+    daily = live.drain(live.daily_metrics(live.error_stream(pred, read())))
+    batch = closed.groupBy("station_id", F.to_date("timestamp").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error_mm"), 6).alias("bias"))
+    assert sorted(map(tuple, daily.select("station_id", "date", "n", F.round("bias", 6)).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_restarted_drain_goes_on(spark, tmp_path):
+    folder, t0 = str(tmp_path / "r"), dt.datetime(2024, 1, 1)
+    metrics = lambda: live.running_metrics(live.read_readings(spark, folder).select("station_id", F.col("rainfall_mm").alias("error_mm")))
+    drain = lambda: {r.station_id: r.n for r in live.drain(metrics(), mode="update", keys=("station_id",), folder=str(tmp_path / "sink")).collect()}
+    for names, want in ((["A", "B"], {"A": 1, "B": 1}), (["B", "C"], {"A": 1, "B": 2, "C": 1}), ([], {"A": 1, "B": 2, "C": 1})):
+        if names:
+            spark.createDataFrame([(s, t0, 1.0) for s in names], live.READING_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        assert drain() == want
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v int").schema
+    t = UpsertTable(spark, str(tmp_path / "t"), schema, ["k"], parts=8)
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    t.upsert(rows(*((i, 0) for i in range(40))), 0)
+    first = t._manifest()
+    t.upsert(rows((3, 9), (100, 1)), 4)
+    second = t._manifest()
+    assert 0 < sum(second[p] == 4 for p in second) <= 2 and all(second[p] in (first.get(p), 4) for p in second)
+    t.upsert(rows((3, 9), (100, 1)), 4)  # a repeated batch
+    t.upsert(rows(), 5)
+    assert {r.k: r.v for r in t.read().collect()} == {i: 0 for i in range(40)} | {3: 9, 100: 1}
+    assert UpsertTable(spark, str(tmp_path / "t"), schema, ["k"], parts=8).read().count() == 41
+    assert UpsertTable(spark, str(tmp_path / "none"), schema, ["k"]).read().count() == 0
+
+
+def test_every_request_is_answered_or_rejected_once(spark):
+    day = lambda n: dt.date(2020, 1, n)
+    train = spark.createDataFrame([("a", day(1), 1.0), ("a", day(2), 2.0)], "location string, date date, t double")
+    test = spark.createDataFrame([("a", day(2), 20.0), ("a", day(3), 30.0)], "location string, date date, t double")
+    feed = spark.createDataFrame([("a", day(4), 4.0, 1)], "location string, date date, t double, more int")
+    seen = spark.createDataFrame([("a", day(1), 1.5), ("a", day(2), 2.5), ("a", day(4), 0.0), ("a", day(3), None)], "location string, date date, observed_mm double")
+    asked = [("a", "2020-01-01"), ("a", "2020-01-02"), ("a", "2020-01-02"), ("a", "2020-01-03"), ("a", "2020-01-04"), ("b", "2020-01-01"), (None, "2020-01-01"), ("a", None), ("a", "01/01/2020")]
+    out = fc.answer_requests(spark.createDataFrame(asked, "location string, date string"), [("train_dataset", train), ("test_dataset", test), ("open_meteo", feed)],
+                             lambda df: df.withColumn("predicted_daily_rainfall_mm", F.col("t")), seen).collect()
+    assert sorted(map(str, ((r.location, r.date) for r in out))) == sorted(map(str, asked))
+    assert all((r.response is None) != (r.reason is None) for r in out)
+    got = {(r.location, r.date): r.reason or (r.response.prediction.daily_rainfall_mm, r.response.comparison.error_mm, r.response.meta.feature_source) for r in out}
+    assert got == {
+        ("a", "2020-01-01"): (1.0, -0.5, "train_dataset"), ("a", "2020-01-02"): (2.0, -0.5, "train_dataset"), ("a", "2020-01-04"): (4.0, 4.0, "open_meteo"),
+        ("a", "2020-01-03"): "Observed rainfall not available for this date", ("b", "2020-01-01"): "No features for this location and date",
+        (None, "2020-01-01"): "location required", ("a", None): "date required", ("a", "01/01/2020"): "date is not yyyy-MM-dd"}
+
+
 def test_late_reading_is_dropped(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     folder = str(tmp_path / "r")

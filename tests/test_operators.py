@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from skygauge.operators import metrics as m
 from skygauge.operators import ordering as od
 from skygauge.operators import spines as sp
 from skygauge.operators import validation as va
+from skygauge.operators import wide
 from skygauge.operators import windows as win
 
 D = dt.date
@@ -256,3 +258,72 @@ def test_histogram_with_zero_maximum_has_one_bin(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 2.0), ("b", 0.2)], "g string, v double")
     got = sorted((r["g"], r["bin"], r["n"], r["label"]) for r in m.histogram(df, ["g"], "v").collect())
     assert got == [("a", 0, 1, "0.0–1.0"), ("b", 0, 1, "0.0–1.0"), ("b", 1, 1, "1.0–2.0")]
+
+
+def test_column_quantiles_of_one_sort(spark):
+    rng = random.Random(6)
+    rows = [(float(rng.randint(0, 9)), rng.choice([None, float("nan"), rng.random()]), None, i) for i in range(301)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int").repartition(5)
+    got = {r.column: r.q for r in od.column_quantiles(df, ["a", "b", "c", "d"], [0, 0.25, 0.5, 0.9, 1]).collect()}
+    assert set(got) == {"a", "b", "d"}  # c holds nothing
+    for k, c in enumerate("abd"):
+        vals = sorted(v for r in rows for v in [r["abcd".index(c)]] if v is not None and v == v)
+        for p, q in zip([0, 0.25, 0.5, 0.9, 1], got[c]):
+            pos = (len(vals) - 1) * p
+            lo, hi = vals[math.floor(pos)], vals[math.ceil(pos)]
+            assert q == pytest.approx(lo + (hi - lo) * (pos - math.floor(pos)))
+    one = en.global_medians(df, ["a", "c"]).first()
+    assert one.a_all == pytest.approx(got["a"][2]) and one.c_all is None
+    plan = od.column_quantiles(df, ["a", "b", "d"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # the one sort is written before
+
+
+def test_correlation_of_many_columns(spark, monkeypatch):
+    rng = random.Random(1)
+    n_cols, data = 200, {}
+    for r in range(40):
+        base = rng.random()
+        for c in range(n_cols):
+            if rng.random() < 0.7:
+                data[r, c] = base * (c % 3 - 1) + rng.random()
+    df = spark.createDataFrame([(r, f"c{c:03d}", v) for (r, c), v in data.items()], "r int, c string, v double")
+    got = {(x.a, x.b): (x.n, x["corr"]) for x in co.correlation_matrix(df, "r", "c", "v").collect()}
+    wide_ = pd.DataFrame([(r, f"c{c:03d}", v) for (r, c), v in data.items()], columns=["r", "c", "v"]).pivot(index="r", columns="c", values="v")
+    want, both = wide_.corr(min_periods=2), wide_.notna().astype(int)
+    both = both.T @ both
+    for a in wide_.columns:
+        for b in wide_.columns:
+            n, corr = got.get((a, b), (0, None))
+            assert n == both.loc[a, b]
+            assert (corr is None and pd.isna(want.loc[a, b])) or corr == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_pivot_by_position(spark):
+    rows = [("x", f"k{i}", i, float(i)) for i in range(0, 300, 2)] + [("y", "k1", 0, 5.0), ("y", "k1", 0, 7.0), ("z", None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "r string, c string, i int, v double")
+    names = wide.column_dictionary(df, "c")
+    at = {r.name: r.position for r in names.collect()}
+    assert sorted(at, key=at.get) == sorted({r[1] for r in rows if r[1]})  # a null is no column
+    out = wide.pivot_positions(df, "r", "c", F.sum("v"), names)
+    got = {r.r: r.cells for r in out.collect()}
+    assert set(got) == {"x", "y"} and all(len(c) == 151 for c in got.values())
+    assert got["y"][at["k1"]] == 12 and sum(v is not None for v in got["y"]) == 1 and got["x"][at["k298"]] == 298
+    back = sorted(map(tuple, wide.unpivot_positions(out, "r", names).collect()))
+    assert back == sorted([(r, c, v) for r, c, _, v in rows[:150]] + [("y", "k1", 12.0)])
+
+
+def test_look_up_keeps_every_request(spark):
+    x = spark.createDataFrame([("a", D(2020, 1, k), float(k)) for k in (1, 2, 3)], "location string, date date, v double")
+    asked = spark.createDataFrame([("a", D(2020, 1, 1)), ("a", D(2020, 1, 3)), ("a", D(2020, 1, 3)), ("b", D(2020, 1, 1)), (None, None)], "location string, date date")
+    out = cl.look_up(asked, [("first", x.filter("v < 3")), ("second", x.filter("v > 1"))]).collect()
+    got = sorted(((r.location, str(r.date), r.v, r.feature_source, r.reason) for r in out), key=str)
+    none = (None, None, "no source has these keys")
+    assert got == sorted([("a", "2020-01-01", 1.0, "first", None), *[("a", "2020-01-03", 3.0, "second", None)] * 2, ("b", "2020-01-01", *none), (None, "None", *none)], key=str)
+
+
+def test_forecast_window(spark):
+    today = D(2020, 2, 20)
+    df = spark.createDataFrame([(None,), (D(2020, 2, 19),), (today,), (D(2020, 3, 5),), (D(2020, 3, 6),)], "d date")
+    got = [r[0] for r in df.select(ev.forecast_reason(F.col("d"), F.lit(today))).collect()]
+    text = "Forecast date must be between 2020-02-20 and 2020-03-05"
+    assert got == ["date required", text, None, None, text]
