@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from skygauge.llm.chain import Chain
 from skygauge.llm.dom import Block, leaf_blocks
 from skygauge.llm.labelled_pages import ROLES, WHOLE, page
-from skygauge.llm.rules import with_columns
+from skygauge.llm.columns import with_columns
 
 _PART = re.compile(r"[a-z]+(?:-hidden)?")
 
@@ -93,8 +92,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     model = trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(text=[main_text(h, model) for h in pdf["html"]])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"text": [main_text(h, model) for h in pdf["html"]]})
 
-    return with_columns(pages.drop("n_chars"), run, "text string").withColumn("n_chars", F.length("text").cast("long"))
+    return with_columns(pages.drop("n_chars"), run, "text string", ["html"]).withColumn("n_chars", F.length("text").cast("long"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.rules import with_columns
+from skygauge.llm.columns import with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest candidate segment.
@@ -321,37 +321,36 @@ def find(docs: DataFrame) -> DataFrame:
     """
     field = trained()
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            base, spans, n = [], [], np.zeros((len(pdf), len(KINDS)), np.int64)
-            for i, text in enumerate(pdf["text"]):
-                own, every = all_spans(text, field)
-                for _, k, _ in own:
-                    n[i, k] += 1
-                base.append(hashlib.sha256(_joined(own).encode()).hexdigest())
-                spans.append(_joined(every))
-            out = pdf.copy()
-            for k, kind in enumerate(KINDS):
-                out[f"n_{kind}"] = n[:, k]
-            yield out.assign(base_sha256=base, spans=spans)
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, spans, n = [], [], np.zeros((len(pdf), len(KINDS)), np.int64)
+        for i, text in enumerate(pdf["text"]):
+            own, every = all_spans(text, field)
+            for _, k, _ in own:
+                n[i, k] += 1
+            base.append(hashlib.sha256(_joined(own).encode()).hexdigest())
+            spans.append(_joined(every))
+        return pd.DataFrame({f"n_{kind}": n[:, k] for k, kind in enumerate(KINDS)}).assign(base_sha256=base, spans=spans)
 
-    return with_columns(docs, search, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_columns(docs, search, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", ["text"])
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one, named after the first."""
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one, named after the first.
+
+    Null and empty texts, and texts without spans, stay as they are. Repeated rows are masked alike. An empty table
+    gives no rows. All other columns stay, whatever their names.
+    """
     field = trained()
 
-    def hide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for text in pdf["text"]:
-                parts, end = [], 0
-                for a, k, b in all_spans(text, field)[1]:
-                    if a >= end:
-                        parts += [text[end:a], f"[{KINDS[k].upper()}]"]
-                    end = max(end, b)
-                texts.append("".join([*parts, text[end:]]) if parts else text)
-            yield pdf.assign(_masked=texts)
-
-    return with_columns(docs, hide, "_masked string").withColumn("text", F.col("_masked")).select(*docs.columns)
+    def hide(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = []
+        for text in pdf["text"]:
+            parts, end = [], 0
+            for a, k, b in all_spans(text, field)[1]:
+                if a >= end:
+                    parts += [text[end:a], f"[{KINDS[k].upper()}]"]
+                end = max(end, b)
+            texts.append("".join([*parts, text[end:]]) if parts else text)
+        return pd.DataFrame({"text": texts})
+
+    return with_columns(docs, hide, "text string", ["text"]).select(*docs.columns)

@@ -11,9 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skygauge.llm.columns import with_columns
+from skygauge.llm.storage import land
+
 SYMBOLS = "#*$%&|<>"
-LANGUAGES = ("en", "de", "fr", "es")
-N_COMMON = 50
+#: Common words of a reference, and the least words (of documents that pass the base rules) that make one.
+N_COMMON, LEAST_WORDS = 50, 5_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,15 @@ def class_histogram(text: str) -> np.ndarray:
     return np.bincount(_TABLE[np.minimum(points, 0x250)], minlength=len(CLASSES))
 
 
+def script(text: str, classes: np.ndarray) -> str:
+    """Where most of a text's letters come from: the Latin blocks, or else the commonest block of 256 code points, East Asian ideographs and syllables as one."""
+    if classes[-1] <= classes[[0, 1, 8, 9]].sum():
+        return "latin"
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    block = int(np.bincount(points[points >= 0x250] >> 8).argmax())
+    return "east" if 0x2E <= block <= 0x9F or 0xAC <= block <= 0xD7 or 0x200 <= block <= 0x323 else f"block {block}"
+
+
 def base_counts(text: str | None) -> tuple[tuple[int, int, int, int, int], list[bytes]]:
     """((n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), words) of a whole text."""
     if not text:
@@ -67,56 +79,65 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 @dataclass
 class Reference:
-    """Counts of one language: character classes, its common words, all words."""
+    """Counts of one language: character classes, its common words, all words, and its script."""
 
     classes: np.ndarray = field(default_factory=lambda: np.zeros(len(CLASSES)))
     common: dict[bytes, float] = field(default_factory=dict)
     n_words: float = 0.0
+    script: str = ""
 
+def references(docs: DataFrame, n_common: int = N_COMMON, least_words: int = LEAST_WORDS) -> dict[str, Reference]:
+    """A reference for every value of ``lang`` whose documents that pass the base rules have ``least_words`` words together.
 
-def references(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, n_common: int = N_COMMON) -> dict[str, Reference]:
-    """References from all documents that pass the base rules; "" pools all of them.
-
-    Words are counted in each task and summed; only the ``n_common`` most frequent words of each of
-    the named languages and of the pool, and their class counts, come to the driver.
+    Words are counted in each task and summed; only the ``n_common`` most frequent words of a
+    language and its class counts come to the driver, for languages with a reference only.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
+        scripts: dict[str, Counter] = {}
 
         def flush() -> Iterator[pd.DataFrame]:
             for lang, c in held.items():
                 yield pd.DataFrame({"lang": lang, "kind": "word", "item": list(c), "n": list(c.values())})
                 yield pd.DataFrame({"lang": lang, "kind": "all", "item": b"", "n": [sum(c.values())]})
                 yield pd.DataFrame({"lang": lang, "kind": "class", "item": [str(i).encode() for i in range(len(CLASSES))], "n": classes[lang]})
-            held.clear()
-            classes.clear()
+                yield pd.DataFrame({"lang": lang, "kind": "script", "item": [k.encode() for k in scripts[lang]], "n": list(scripts[lang].values())})
+            for x in (held, classes, scripts):
+                x.clear()
 
         for pdf in batches:
             for lang, text in zip(pdf.lang, pdf.text):
+                if lang is None:
+                    continue
                 (n, _, _, _, again), words = base_counts(text)
                 if base_failed(n, again):
                     continue
-                lang = lang if lang in languages else ""
                 held.setdefault(lang, Counter()).update(words)
-                classes[lang] = classes.get(lang, 0) + class_histogram(text)
-            if sum(map(len, held.values())) > 400_000:
-                yield from flush()
+                own = class_histogram(text)
+                classes[lang] = classes.get(lang, 0) + own
+                scripts.setdefault(lang, Counter())[script(text, own)] += len(text)
+                if sum(map(len, held.values())) > 400_000:
+                    yield from flush()
         yield from flush()
 
     counted = docs.select("lang", "text").mapInPandas(count, "lang string, kind string, item binary, n long")
     total = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
+    top = land(total.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n_common), "references")
+    spoken = top.where((F.col("kind") == "all") & (F.col("n") >= least_words)).select("lang")
     out: dict[str, Reference] = {}
-    for r in total.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n_common).collect():
+    for r in top.join(spoken, "lang", "left_semi").collect():
         ref = out.setdefault(r["lang"], Reference())
         if r["kind"] == "class":
             ref.classes[int(r["item"])] = r["n"]
         elif r["kind"] == "word":
             ref.common[bytes(r["item"])] = float(r["n"])
-        else:
+        elif r["kind"] == "all":
             ref.n_words = float(r["n"])
+        elif r["place"] == 1:
+            ref.script = bytes(r["item"]).decode()
     return out
 
 
@@ -134,68 +155,65 @@ def _over(length: np.ndarray, distance: np.ndarray, limits: tuple) -> np.ndarray
     return np.any([(length >= least) & (distance > most) for least, most in limits], axis=0)
 
 
-def judge(docs: DataFrame, limits: Limits = Limits(), languages: tuple[str, ...] = LANGUAGES, n_common: int = N_COMMON) -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = Limits(), n_common: int = N_COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
     common_distance, base_failed and kept.
 
-    Words are runs of other characters than the six ASCII white spaces. A text that passes the base
-    rules is rejected if its character classes or its common words are farther (Jensen-Shannon) from
-    every language reference than ``limits`` allow for its length; shorter texts have no verdict and
-    stay. A text of a language that is not named is judged by character classes only, one without a
-    language like any other. If no named language occurs, all documents make the reference.
+    Words are runs of other characters than the six ASCII white spaces. Every value of ``lang`` with
+    ``least_words`` words has a reference, made from all its documents that pass the base rules. A text that passes them is
+    rejected if its character classes or its common words are farther (Jensen-Shannon) from the
+    reference of its own language than ``limits`` allow for its length, and, since labels of languages err, from
+    every other reference of the same script as well; shorter texts have no verdict and stay. So do
+    texts of a language without a reference (distances null). A text without a language is
+    held against the classes of the nearest reference of its script, if there is one, and never against words.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. An
-    empty table gives no rows. Columns of the same names are replaced, others stay.
+    empty table gives no rows. Columns of the same names are replaced, others stay as they are.
     """
-    refs = references(docs, languages, n_common)
-    named = [r for k, r in sorted(refs.items()) if k and r.n_words] or [r for r in refs.values() if r.n_words]
-    lookup = {w: i for i, w in enumerate(sorted({w for r in named for w in r.common}))}
-    bases = []
-    for r in named:
-        own = np.array([lookup[w] for w in r.common], np.int64)
-        counts = np.array(list(r.common.values()))
-        bases.append((r.classes, own, np.append(counts, max(r.n_words - counts.sum(), 0.0))))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            base, classes, common = [], np.zeros((len(pdf), len(CLASSES))), np.zeros((len(pdf), len(lookup)))
-            for i, text in enumerate(pdf["text"]):
-                counts, words = base_counts(text)
-                base.append(counts)
-                if words:
-                    classes[i] = class_histogram(text)
-                    for w in words:
-                        if (j := lookup.get(w)) is not None:
-                            common[i, j] += 1
-            base = np.array(base, np.int64).reshape(-1, 5)
-            n = base[:, 0]
-            by_class, by_word = np.zeros(len(pdf)), np.zeros(len(pdf))
-            if bases:
-                by_class = np.min([divergence(classes, c) for c, _, _ in bases], axis=0)
-                by_word = np.min([divergence(np.column_stack([common[:, own], n - common[:, own].sum(axis=1)]), q) for _, own, q in bases], axis=0)
-            failed = (n < 10) | (100 * base[:, 4] > 20 * n)
-            strange = pdf["lang"].notna().to_numpy() & ~pdf["lang"].isin(languages).to_numpy()
-            far = _over(classes.sum(axis=1), by_class, limits.classes) | (~strange & _over(n, by_word, limits.common))
-            out = pdf.copy()
-            for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
-                out[name] = base[:, k]
-            yield out.assign(class_distance=by_class, common_distance=by_word, base_failed=failed, kept=~failed & ~far)
+    refs = references(docs, n_common, least_words)
+    places = {lang: {w: i for i, w in enumerate(r.common)} for lang, r in refs.items()}
+    others = {lang: np.append(list(r.common.values()), max(r.n_words - sum(r.common.values()), 0.0)) for lang, r in refs.items()}
+
+    def common(words: list[bytes], lang: str) -> np.ndarray:
+        place = places[lang]
+        found = np.bincount([*map(place.__getitem__, filter(place.__contains__, words)), len(place)], minlength=len(place) + 1)
+        found[-1] = len(words) - found[:-1].sum()
+        return found.astype(float)
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, classes, scripts = [], np.zeros((len(pdf), len(CLASSES))), []
+        counted: dict[str, list[tuple[int, np.ndarray]]] = {}
+        for i, (lang, text) in enumerate(zip(pdf["lang"], pdf["text"])):
+            counts, words = base_counts(text)
+            base.append(counts)
+            if not words:
+                continue
+            classes[i] = class_histogram(text)
+            if lang is None:
+                scripts.append((i, script(text, classes[i])))
+            elif lang in refs:
+                counted.setdefault(lang, []).append((i, common(words, lang)))
+        base = np.array(base, np.int64).reshape(-1, 5)
+        n = base[:, 0]
+        by_class, by_word = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        for lang, rows in counted.items():
+            own = [i for i, _ in rows]
+            by_class[own] = divergence(classes[own], refs[lang].classes)
+            by_word[own] = divergence(np.stack([x for _, x in rows]), others[lang])
+        for i, kind in scripts:
+            near = [divergence(classes[i : i + 1], r.classes)[0] for r in refs.values() if r.script == kind]
+            by_class[i] = min(near, default=np.nan)
+        failed = (n < 10) | (100 * base[:, 4] > 20 * n)
+        chars = classes.sum(axis=1)
+        far = _over(chars, by_class, limits.classes) | _over(n, by_word, limits.common)
+        for i in np.flatnonzero(far & ~failed & ~np.isnan(by_word)):
+            words = base_counts(pdf["text"].iloc[i])[1]
+            near = [k for k, r in refs.items() if r.script == refs[pdf["lang"].iloc[i]].script]
+            by_class[i] = min(divergence(classes[i : i + 1], refs[k].classes)[0] for k in near)
+            by_word[i] = min(divergence(common(words, k)[None], others[k])[0] for k in near)
+        far = _over(chars, by_class, limits.classes) | _over(n, by_word, limits.common)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return pd.DataFrame({name: base[:, k] for k, name in enumerate(names)}).assign(class_distance=by_class, common_distance=by_word, base_failed=failed, kept=~failed & ~far)
 
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, common_distance double, base_failed boolean, kept boolean"
-    return with_columns(docs, measure, added)
-
-
-def with_columns(docs: DataFrame, fn, added: str) -> DataFrame:
-    """``docs`` mapped by ``fn``, which adds the columns ``added`` to its frames; columns of those names are replaced.
-
-    Whole numbers travel as text, because pandas would turn a column with nulls into floats.
-    """
-    from pyspark.sql import types as T
-
-    names = {x.split()[0] for x in added.split(", ")}
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    whole = {f.name: f.dataType for f in kept if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType))}
-    sent = docs.select(*[F.col(f.name).cast("string").alias(f.name) if f.name in whole else F.col(f.name) for f in kept])
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in kept] + list(T._parse_datatype_string(added).fields))
-    back = sent.mapInPandas(fn, schema)
-    return back.withColumns({k: F.col(k).cast(t) for k, t in whole.items()}) if whole else back
+    return with_columns(docs, measure, added, ["lang", "text"])

@@ -67,6 +67,76 @@ def test_rules_reject_junk_and_keep_prose(spark):
     assert all(r.kept for r in good) and sum(not r.kept for r in bad) > 0.9 * len(bad)
 
 
+RUSSIAN = "Утром мы вышли из дома и пошли к реке, потому что погода была хорошая и никто не спешил. На берегу стояли лодки, а рыбаки говорили о том, что вода в этом году поднялась выше обычного. Мы сидели на траве, пили чай и смотрели, как дети бегают по песку и смеются. Вечером стало холодно, и все вернулись в деревню, где уже горел свет и пахло свежим хлебом."
+GREEK = "Το πρωί βγήκαμε από το σπίτι και πήγαμε προς το ποτάμι, γιατί ο καιρός ήταν καλός και κανείς δεν βιαζόταν. Στην όχθη υπήρχαν βάρκες και οι ψαράδες έλεγαν ότι το νερό φέτος ανέβηκε πιο πολύ από άλλες χρονιές. Καθίσαμε στο γρασίδι, ήπιαμε καφέ και κοιτούσαμε τα παιδιά να τρέχουν στην άμμο και να γελούν μέχρι το βράδυ."
+CHINESE = "早上 我们 离开 家 走 到 河边 ， 因为 天气 很好 ， 没有 人 着急 。 岸边 停着 几条 小船 ， 渔民 说 今年 的 水位 比 往年 高 。 我们 坐在 草地 上 喝茶 ， 看 孩子们 在 沙滩 上 跑 。"
+ITALIAN = "La mattina siamo usciti di casa e siamo andati verso il fiume, perché il tempo era bello e nessuno aveva fretta. Sulla riva c'erano alcune barche e i pescatori dicevano che quest'anno l'acqua era salita più del solito. Ci siamo seduti sull'erba, abbiamo bevuto il tè e guardato i bambini che correvano sulla sabbia e ridevano fino a sera."
+
+
+@pytest.mark.parametrize("beside", [True, False])
+def test_prose_of_any_language_stays(spark, beside):
+    prose = [(t, lang) for t, own in ((RUSSIAN, "ru"), (GREEK, "el"), (CHINESE, "zh"), (ITALIAN, "it")) for lang in (own, None)]
+    rows = spark.createDataFrame([(-i - 1, t, lang) for i, (t, lang) in enumerate(prose)], "doc_id long, text string, lang string")
+    every = rows.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*rows.columns)) if beside else rows
+    got = {r.doc_id: r for r in rules.judge(every).where("doc_id < 0").collect()}
+    for i, (text, lang) in enumerate(prose):
+        assert got[-i - 1].kept and not got[-i - 1].base_failed, (text[:20], lang)
+        if lang is not None:
+            assert got[-i - 1].class_distance is None and got[-i - 1].common_distance is None
+
+
+def test_verdict_equals_a_plain_loop(spark):
+    """References and distances by dictionaries, per language."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = table.collect() + [T.Row(doc_id=-1, text=ITALIAN, lang="it"), T.Row(doc_id=-2, text=None, lang="en"), T.Row(doc_id=-3, text="# $ % " * 60 + "a b c d e f g h", lang=None)]
+    more = spark.createDataFrame(rows, table.schema)
+    passed = {}
+    for r in rows:
+        n, _, _, _, again = brute_base(r.text)
+        passed.setdefault(r.lang, []).append(r.text) if not (n < 10 or 100 * again > 20 * n) and r.lang else None
+
+    def distance(p, q):
+        a, b, total = sum(p.values()), sum(q.values()), 0.0
+        for k in {*p, *q}:
+            x, y = p.get(k, 0) / a, q.get(k, 0) / b
+            total += (x * np.log2(2 * x / (x + y)) if x else 0) + (y * np.log2(2 * y / (x + y)) if y else 0)
+        return np.sqrt(max(total, 0) / 2)
+
+    kind = lambda t: Counter(rules.CLASSES[rules._TABLE[min(ord(c), 0x250)]] for c in t)
+    refs = {}
+    for lang, texts in passed.items():
+        w = Counter(x for t in texts for x in words(t))
+        if sum(w.values()) >= rules.LEAST_WORDS:
+            top = dict(sorted(w.items(), key=lambda x: (-x[1], x[0]))[: rules.N_COMMON])
+            refs[lang] = sum((kind(t) for t in texts), Counter()), top | {"": sum(w.values()) - sum(top.values())}
+    assert set(refs) == {"en", "de", "fr", "es"}
+    got = {r.doc_id: r for r in rules.judge(more).collect()}
+    for r in rows:
+        n, _, _, _, again = brute_base(r.text)
+        kept = not (n < 10 or 100 * again > 20 * n)
+        if kept:
+            length = len(r.text)
+            if r.lang in refs:
+                far = lambda a, b: (length >= 300 and a > 0.28) or (n >= 100 and b > 0.36) or (n >= 300 and b > 0.32)  # noqa: B023, E731
+                to = {k: (distance(kind(r.text), c), distance(Counter(x if x in w else "" for x in words(r.text)), w)) for k, (c, w) in refs.items()}
+                by_class, by_word = to[r.lang] if not far(*to[r.lang]) else (min(a for a, _ in to.values()), min(b for _, b in to.values()))
+                assert got[r.doc_id].class_distance == pytest.approx(by_class) and got[r.doc_id].common_distance == pytest.approx(by_word)
+                kept = not far(by_class, by_word)
+            elif r.lang is None:
+                kept = not (length >= 300 and min(distance(kind(r.text), c) for c, _ in refs.values()) > 0.28)
+        assert got[r.doc_id].kept == kept
+    assert not got[-3].kept and got[-1].kept
+
+
+def test_other_columns_stay_as_they_are(spark):
+    rows = [(1, "one two three", "en", float("nan"), None, [1, None], True, None, 2.5), (2, None, None, 1.5, 7, None, None, "k", float("nan"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, size int, list array<int>, flag boolean, kept string, _masked double")
+    show = lambda d: sorted(map(str, d.select("doc_id", "score", "size", "list", "flag", "_masked").collect()))
+    for made in (rules.judge(df), pii.find(df), pii.mask(df)):
+        assert show(made) == show(df)
+    assert sorted(map(str, pii.mask(df).collect())) == sorted(map(str, df.collect()))
+
+
 def test_divergence():
     same = np.array([[1.0, 3.0], [0.0, 0.0], [4.0, 0.0]])
     assert np.allclose(rules.divergence(same, np.array([2.0, 6.0])), [0, 0, rules.divergence(same, np.array([2.0, 6.0]))[2]])
