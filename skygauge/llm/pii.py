@@ -76,32 +76,43 @@ def base_spans(text: str | None) -> list[Span]:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 #: What a text must hold near a candidate: a digit, an @, or a spelt-out sign of an address.
-_TRIGGER = re.compile(r"[0-9]|@|[(\[{]\s?(?:at|dot)\s?[)\]}]|\s(?:dot|DOT)\s")
+_TRIGGER = re.compile(r"[0-9]|@|(?i:[(\[{]\s?(?:at|dot)\s?[)\]}]|\sdot\s)")
 _NEAR = 80  # characters around triggers that form one window
 Token = tuple[str, int, int]
 
 
+# Words that a shape keeps: signs of addresses and phones, and common top-level domains.
+_KNOWN = frozenset(("at", "dot", "x", "ext", "tel", "com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "it", "uk", "eu", "io"))
+
+
 def _shape(tok: str) -> str:
     if tok.isdigit():
         return f"d{min(len(tok), 20)}"
     if tok.isalpha() and tok.isascii():
-        return tok.lower() if tok.lower() in ("at", "dot", "x", "ext", "com", "org", "net", "tel") else "w"
+        return tok.lower() if tok.lower() in _KNOWN else "w"
     return tok
 
 
 def candidates(tokens: list[Token]) -> list[tuple[int, int]]:
-    """Segments of at most LONGEST tokens that hold a digit or a sign of an address and start and end like an entity."""
-    marks = [t[0].isdigit() or t[0] in ("@", "at", "dot", "AT", "DOT") for t in tokens]
+    """Segments of at most LONGEST tokens that hold a digit or a sign of an address and start and end like an entity.
+
+    A bracket or plus must open a number, and letters need a sign of an address (or mark an extension), so
+    that no segment is an address without its user or a piece of a hexadecimal code.
+    """
+    signs = [t[0].lower() in ("@", "at", "dot") for t in tokens]
+    digit = [t[0].isdigit() for t in tokens]
+    letters = [t[0].isalpha() and not s and t[0].lower() not in ("x", "ext") for t, s in zip(tokens, signs)]
     out = []
     for i, (tok, start, _) in enumerate(tokens):
-        if not (tok[0].isalnum() or tok in "+("):
+        if not (tok[0].isalnum() or (tok in "+(" and i + 1 < len(tokens) and (digit[i + 1] or tokens[i + 1][0] == "("))):
             continue
-        held, prev = False, start
+        numbers = address = words = False
+        prev = start
         for j in range(i, min(len(tokens), i + LONGEST)):
             if tokens[j][1] - prev > 1:  # more than one character of white space ends every segment
                 break
-            held, prev = held or marks[j], tokens[j][2]
-            if held and tokens[j][0][0].isalnum():
+            numbers, address, words, prev = numbers or digit[j], address or signs[j], words or letters[j], tokens[j][2]
+            if (address if words else numbers or address) and tokens[j][0][0].isalnum():
                 out.append((i, j + 1))
     return out
 
@@ -129,9 +140,15 @@ def features(text: str, tokens: list[Token], i: int, j: int) -> list[str]:
     if len(groups) == 4 and span.count(".") == 3 and not letters:
         out.append(f"octets:{all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if 7 <= len(digits) <= 15 and not letters:
+        lead = span[0] if span[0] in "+(" else "0" if digits[0] == "0" else "1-9"
         out.append(f"phone groups:{'-'.join(str(len(g)) for g in groups[-3:])}:{span[0] in '+('}")
+        out.append(f"phone lead:{lead}:{len(groups)}:{len(groups[0])}")
+        out.append(f"phone lead:{lead}:{len(digits)}:{''.join(sorted({s for s in shapes if not s[0].isalnum()}))}")
     if at:
         tail = shapes[-2:] if len(shapes) > 1 else shapes
+        user = next(k for k, s in enumerate(shapes) if s in ("@", "at"))
+        out.append(f"user:{min(user, 6)}:{shapes[0] if not shapes[0].isalnum() or shapes[0] in ('at', 'dot') else 'w'}")
+        out.append(f"top:{tokens[j - 1][0].isalpha()}:{min(len(tokens[j - 1][0]), 5)}:{shapes[-2] if len(shapes) > 1 else ''}")
         out.append(f"address:{shapes.count('@') + shapes.count('at')}:{'dot' in shapes or '.' in shapes}:{'-'.join(tail)}")
     return out
 
@@ -226,11 +243,28 @@ class SpanField:
 
 # ---------------------------------------------------------------- labelled examples by rule
 
+# Ordinary words of the made lines.
+NAMES = ("Anna", "Ben", "Carla", "David", "Elena", "Frank", "Greta", "Hugo", "Ines", "Jonas", "Karin", "Lukas", "Marie", "Nora", "Oscar", "Paula",
+         "Quentin", "Rosa", "Simon", "Tanja", "Ulrich", "Vera", "Walter", "Xenia", "Yves", "Zoe", "Baker", "Fischer", "Garcia", "Hansen", "Martin", "Weber")
+COMMON = ("a", "about", "address", "and", "ask", "before", "by", "contact", "day", "for", "from", "he", "house", "if", "in", "is", "it", "later", "list", "look", "me",
+          "more", "my", "new", "now", "of", "office", "on", "or", "order", "our", "page", "people", "please", "question", "read", "reply", "room", "send", "she", "shop", "that",
+          "the", "their", "them", "then", "they", "this", "to", "under", "us", "was", "we", "week", "were", "with", "write", "you", "your")
+HOSTS = ("acme", "bigcity", "company", "club", "firm", "garden", "mailbox", "museum", "office", "school", "shop", "web")
+
+
 def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
     """One labelled line: words, at most two entities or look-alikes. Forms that the base patterns know and forms that they miss."""
     pick = lambda *x: x[rng.integers(len(x))]
     num = lambda n: "".join(str(rng.integers(10)) for _ in range(n))
-    word = lambda: "".join(pick(*"aeiou") + pick(*"bcdfghklmnprstvz") for _ in range(rng.integers(1, 5)))[rng.integers(2) :]
+    made = lambda: "".join(pick(*"aeiou") + pick(*"bcdfghklmnprstvz") for _ in range(rng.integers(1, 5)))[rng.integers(2) :]
+
+    def word() -> str:
+        w = made() if rng.random() < 0.4 else pick(*COMMON)
+        return w.capitalize() if rng.random() < 0.15 else w
+
+    def name() -> str:
+        w = made() if rng.random() < 0.3 else pick(*NAMES)
+        return w.lower() if rng.random() < 0.7 else w
 
     def card() -> str:
         body = pick("4", "5", "37", "60") + num(rng.integers(10, 14))
@@ -241,12 +275,17 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return sign.join(x[k : k + 4] for k in range(0, len(x), 4))
 
     def email() -> str:
-        user = pick(word(), word() + "." + word(), word() + "." + num(2), word() + "_" + word() if rng.random() < 0.1 else word() + num(2))
-        host, top = word(), pick("com", "org", "net", "de", "fr")
-        return pick(f"{user}@{host}.example.{top}", f"{user}@{host}.{top}", f"{user} [at] {host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user} at {host} dot {top}", f"{user}[at]{host}[dot]{top}", f"{user} @ {host}.{top}")
+        user = pick(name(), name(), name() + pick(".", "_", "-") + name(), name() + "." + num(2), name() + num(2), name()[0] + "." + name())
+        host, top = pick(made(), pick(*HOSTS), pick(*HOSTS) + "-" + made()), pick("com", "org", "net", "de", "fr", pick("edu", "gov", "info", "es", "it", "uk", "eu", "io"))
+        at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), ("(AT)", "(DOT)"), ("[AT]", "[DOT]"))
+        return pick(f"{user}@{host}.example.{top}", f"{user}@{host}.{top}", f"{user} {at} {host}.{top}", f"{user} {at} {host} {dot} {top}", f"{user}{at}{host}{dot}{top}",
+                    *[f"{user} {x} {host} {y} {top}" for x, y in (("at", "dot"), ("at", "dot"), ("AT", "DOT"))], f"{user} @ {host}.{top}", f"{user} @ {host}.{top}")
 
     def phone() -> str:
-        return pick(f"+1 ({num(3)}) 555-{num(4)}", f"+{num(2)} {num(2)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"+1-{num(3)}-{num(3)}-{num(4)}", f"+{num(11)}")
+        return pick(f"+1 ({num(3)}) 555-{num(4)}", f"+{num(2)} {num(2)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}",
+                    f"{num(3)}.{num(3)}.{num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"+1-{num(3)}-{num(3)}-{num(4)}", f"+{num(11)}",
+                    f"0{num(2)} {num(7)}", f"0{num(3)} {num(6)}", f"0{num(3)}/{num(7)}", f"0{num(2)}-{num(7)}", " ".join(["0" + num(1), *(num(2) for _ in range(4))]),
+                    f"(0{num(2)}) {num(3)} {num(2)} {num(2)}", f"(0{num(2)}) {num(7)}", f"{rng.integers(2, 10)}{num(2)} {num(3)} {num(4)}")
 
     def ip() -> str:
         return ".".join(str(rng.integers(1, 256)) for _ in range(4))
@@ -256,11 +295,11 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         c = card()
         wrong = c[:-1] + str((int(c[-1]) + 1 + rng.integers(9)) % 10)
         hexed = "".join(pick(*"0123456789abcdef") for _ in range(pick(18, 40)))
-        return pick(y, f"{y}-0{rng.integers(1, 9)}-{rng.integers(10, 29)}", f"{rng.integers(1, 28)}.{rng.integers(1, 12)}.{y}", f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(1)}", f"{num(1)},{num(3)},{num(3)}", f"${num(3)}.{num(2)}", f"{num(2)}%", num(rng.integers(1, 9)), f'token = "{hexed}"', f"password={hexed}", "AKIA" + "".join(pick(*"ABCDEFGHKLMNPQRSTUVWXYZ234567") for _ in range(16)), wrong, split(wrong, " "), f"{rng.integers(300, 999)}.{num(3)}.{num(3)}.{num(3)}", f"{y}-{y[:2]}{num(2)}", f"{num(2)}:{num(2)}", f"at {num(2)} {word()}", f"{word()} at the {word()}", f"{num(3)}-{num(4)}", f"no. {num(5)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"@{word()}", f"the dot {word()}", f"{num(1)} dot {word()}", f"{num(rng.integers(20, 30))}", f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", f"{word()}{num(2)}", f"{num(2)} {num(2)} {num(2)}", f"{num(3)} {num(3)} {num(3)} {num(3)}")
+        return pick(y, f"{y}-0{rng.integers(1, 9)}-{rng.integers(10, 29)}", f"{rng.integers(1, 28)}.{rng.integers(1, 12)}.{y}", f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(1)}", f"{num(1)},{num(3)},{num(3)}", f"${num(3)}.{num(2)}", f"{num(2)}%", num(rng.integers(1, 9)), f'token = "{hexed}"', f"password={hexed}", "AKIA" + "".join(pick(*"ABCDEFGHKLMNPQRSTUVWXYZ234567") for _ in range(16)), wrong, split(wrong, " "), f"{rng.integers(300, 999)}.{num(3)}.{num(3)}.{num(3)}", f"{y}-{y[:2]}{num(2)}", f"{num(2)}:{num(2)}", f"at {num(2)} {word()}", f"{word()} at the {word()}", f"{num(3)}-{num(4)}", f"no. {num(5)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"@{word()}", f"the dot {word()}", f"{num(1)} dot {word()}", f"{word()}. At {word()}", f"{word()}. At {word()}", f"{word()} {word()} at. {word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at the dot of {word()}", f"at {word()}", f"@ {word()}", f"{num(rng.integers(20, 30))}", f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", f"{word()}{num(2)}", f"{num(2)} {num(2)} {num(2)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", f"{rng.integers(1, 10)} {num(3)} {num(3)}", f"{rng.integers(10, 99)} {num(3)} {num(3)}", f"0.{num(7)}", f"{num(4)}/{num(4)}", f"{num(3)}/{num(3)}", f"{num(1)} {num(1)} {num(1)} {num(1)} {num(1)}", f"{num(4)} {num(4)}", f"{num(3)} {num(4)}", f"{word()} AT {word()}")
 
     text, spans = "", []
     for _ in range(rng.integers(1, 3)):
-        text += " ".join([*(word() for _ in range(rng.integers(0, 4))), *([pick("call", "tel", "mail", "card", "ip", "from", "nr.")] if rng.random() < 0.2 else [])])
+        text += " ".join([*(word() for _ in range(rng.integers(0, 4))), *([pick("call", "tel", "mail", "card", "ip", "from", "nr.", "Contact:", "Tel.:", "E-mail:", "write to")] if rng.random() < 0.3 else [])])
         text += " " if text else ""
         kind = int(rng.integers(0, 8))
         item = (email, ip, lambda: pick(lambda c: c, lambda c: split(c, " "), lambda c: split(c, "-"), lambda c: split(c, "."))(card()), phone)[kind]() if kind < 4 else other()
@@ -271,7 +310,7 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n_examples: int = 700, seed: int = 5) -> SpanField:
+def trained(n_examples: int = 1000, seed: int = 5) -> SpanField:
     """The field, fitted on ``n_examples`` lines made and labelled by rule; no row of a table is used."""
     rng = np.random.default_rng(seed)
     return SpanField().fit([_example(rng) for _ in range(n_examples)])

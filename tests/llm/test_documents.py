@@ -367,3 +367,59 @@ def test_boosting_learns_and_traverses():
 
 def test_text_type_of_ids_survives(docs):
     assert dict(rules.judge(docs).dtypes)["doc_id"] == "bigint" and isinstance(pii.find(docs).schema["size"].dataType, T.LongType)
+
+
+# Written for the test: none of these names, hosts or sentences are in the lines that the field is trained on.
+USERS = ("john", "mary", "peter.smith", "Susan", "t.miller", "robert22", "olivia_brown", "james", "emily.clark", "Thomas", "k.jones", "linda")
+PLACES = ("example", "northwind", "contoso", "uni-koeln", "library", "bakery", "sunrise", "mountain")
+BEFORE = ("", "Contact: ", "please write to ", "You can reach me under ", "Questions go to ", "our editor is ")
+AFTER = ("", " for more.", " or come by.", " today", ".", ", thanks")
+
+
+@pytest.mark.parametrize("form", ["{u} (at) {h} (dot) {t}", "{u} (AT) {h} (DOT) {t}", "{u} [at] {h}.{t}", "{u} @ {h}.{t}", "{u} at {h} dot {t}", "{u} AT {h} DOT {t}", "{u}[at]{h}[dot]{t}"])
+def test_spelt_out_addresses(form):
+    model, rng = pii.trained(), np.random.default_rng(77)
+    pick = lambda x: x[rng.integers(len(x))]
+    right = 0
+    for _ in range(200):
+        address, lead = form.format(u=pick(USERS), h=pick(PLACES), t=pick(("com", "org", "net", "de", "fr"))), pick(BEFORE)
+        right += pii.all_spans(lead + address + pick(AFTER), model)[1] == [(len(lead), 0, len(lead) + len(address))]
+    assert right >= 190
+
+
+@pytest.mark.parametrize("number", ["030 1234567", "0171/2345678", "06 12 34 56 78", "(030) 123 45 67", "212 555 0199", "0221 987654", "415-555-0133"])
+def test_national_phones(number):
+    for lead in ("", "Tel. ", "call ", "Phone: ", "ring us on "):
+        for tail in AFTER:
+            assert pii.all_spans(lead + number + tail, pii.trained())[1] == [(len(lead), 3, len(lead) + len(number))]
+
+
+@pytest.mark.parametrize("text", [
+    "The year 1999 was good, and 2004 too.", "On 12 May 2004 we met at the dot of noon.", "It cost 1 234 567 euro in 2001.", "Section 3.2.1 of version 4.5.6", "between 10:30 and 11:45, room 204",
+    "He scored 12 23 31 points", "see pages 120 130 140", "a total of 4567 8910 units", "look at 20 people at the shop", "0.1234567 percent", "population 82 345 678", "It ended in 1988. At noon we left."])
+def test_clean_lines_have_no_spans(text):
+    assert pii.all_spans(text, pii.trained())[1] == []
+
+
+def test_segments_are_the_best_of_all(monkeypatch):
+    """Every cut of short lines into outside tokens and typed segments, scored one by one."""
+    model, rng = pii.trained(), np.random.default_rng(31)
+    for _ in range(25):
+        text = pii._example(rng)[0][:40]
+        tokens = [(m[0], m.start(), m.end()) for m in pii._TOKEN.finditer(text)][:9]
+        segments = {}
+        for i, j in pii.candidates(tokens):
+            segments.setdefault(i, []).append((j, model.scores(pii.features(text, tokens, i, j)) - 1.0))
+
+        def best(i):
+            if i == len(tokens):
+                return 0.0, []
+            score, rest = best(i + 1)
+            top = (score + model.outside.get(pii._shape(tokens[i][0]), 0.0), rest)  # noqa: B023
+            for j, scores in segments.get(i, ()):  # noqa: B023
+                score, rest = best(j)
+                for k, s in enumerate(scores):
+                    top = max(top, (score + s, [(tokens[i][1], k, tokens[j - 1][2]), *rest]), key=lambda x: x[0])  # noqa: B023
+            return top
+
+        assert model.decode(text, tokens) == best(0)[1]
