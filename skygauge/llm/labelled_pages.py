@@ -17,6 +17,10 @@ NAMES = {
     "share": ["share", "social", "social-links", "share-buttons", "follow", "sharing"],
     "content": ["content", "article", "post", "entry", "entry-content", "post-content", "article-body", "main", "story", "text", "body", "main-content", "post-body", "page-content", "wrapper", "container", ""],
 }
+#: Names of parts of an article that hold words of other parts.
+MISLEADING = ["read-more-content", "more-content", "header-image-caption", "article-header", "entry-header", "post-footer-text", "story-side-note", "ad-free-content", "top-story-text", "search-result-story", "post-comment-text"]
+#: Marks of whole pages.
+PAGE_MARKS = ["", "", "", "has-sidebar single-post", "page-with-comments", "home blog sidebar-right", "no-js ads-enabled", "search-open", "header-fixed footer-dark", "post-template", "menu-closed"]
 #: Keyword groups that a name is reduced to, looked up in parts of class, id and role.
 ROLES = {
     "menu": ["nav", "menu", "breadcrumb", "pagination", "pager", "toc", "tab", "skip", "navigation", "topbar"],
@@ -48,6 +52,11 @@ def page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
     def sentences(a: int, b: int) -> str:
         return " ".join(words(3, 14).capitalize() + pick(". . . . ? !".split()) for _ in range(rng.integers(a, b)))
 
+    def odd() -> str:
+        """Text that an article may hold as well: columns, marks, numbers."""
+        sign = pick([" | ", "*** ", " # ", "; ", " 12 ", "%%% ", " - "])
+        return sign.join(words(1, 2) for _ in range(rng.integers(2, 9))).capitalize() + pick(["", sign.rstrip(), "."])
+
     def block(tag: str, text: str, label: int, inner: str | None = None) -> str:
         gold.append((text, label))
         return f"<{tag}>{inner or text}" + ("" if tag in ("p", "li") and maybe(0.15) else f"</{tag.split()[0]}>")
@@ -55,7 +64,7 @@ def page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
     def link_list(label: int, a: int = 2, b: int = 8) -> str:
         rows = []
         for _ in range(rng.integers(a, b)):
-            t = words(1, 4)
+            t = pick([words(1, 4), words(1, 4).capitalize(), words(1, 3).capitalize() + pick(".?!")])
             rows.append(block("li", t, label, f'<a href="/x">{t}</a>'))
         return f"<ul>{''.join(rows)}</ul>"
 
@@ -90,17 +99,28 @@ def page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
             return named(role, text, ("div", "div", "section", "p"))
         return named(role, block("p", text, 0), ("div", "div", "section"))
 
+    def unmarked(side: bool) -> str:
+        """A column of links or a label that nothing names."""
+        if side:
+            return "<div>" + (block(pick(["h3", "h4", "p"]), words(1, 3), 0) if maybe(0.5) else "") + link_list(0, 2, 6) + "</div>"
+        return block(pick(["div", "p"]), pick(["Sponsored", "Advertisement", "Read more", "Share this", "Back to top", "Related", "Print this page"]), 0)
+
+    bare = maybe(0.25)  # a page of little but its text
+
     def body() -> str:
         parts = [block("h1", words(2, 10), 1) if maybe(0.8) else ""]
         for _ in range(rng.integers(1, 9)):
             kind = rng.random()
+            if bare and kind >= 0.88:
+                kind = 0.3
             if kind < 0.66:
-                text = sentences(1, 9) if maybe(0.9) else words(1, 5) + "."
+                text = sentences(1, 9) if maybe(0.85) else words(1, 5).capitalize() + "." if maybe(0.5) else odd()
                 inner = text
                 if maybe(0.2) and " " in text:
                     head, tail = text.split(" ", 1)
                     inner = f"<{pick(['b', 'i', 'em', 'strong'])}>{head} {tail}<br>" if maybe(0.4) else f'<a href="/y">{head}</a> {tail}'
-                parts.append(block("p", text, 1, inner))
+                part = block("p", text, 1, inner)
+                parts.append(f'<div class="{pick(MISLEADING)}">{part}</div>' if maybe(0.06) else f"<div>{part}</div>" if maybe(0.06) else part)
             elif kind < 0.76:
                 parts.append(block(pick(["h2", "h3"]), words(1, 7), 1))
             elif kind < 0.83:
@@ -110,26 +130,34 @@ def page(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
             elif kind < 0.91:
                 parts.append("<table>" + "".join("<tr>" + "".join(block("td", words(1, 4), 1) for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>")
             else:
-                parts.append(boiler(pick(["advert", "share", "side", "form", "notice"])))
+                parts.append(boiler(pick(["advert", "share", "side", "form", "notice"])) if maybe(0.85) else unmarked(False))
         if maybe(0.25):
             parts.append(boiler("comments"))
         return "".join(parts)
 
     out = []
     for role, p in (("notice", 0.3), ("head", 0.4), ("menu", 0.8), ("advert", 0.4), ("side", 0.15), ("form", 0.2)):
-        if maybe(p):
+        if maybe(0 if bare else p):
             out.append(boiler(role))
-    shell = pick(["article", "article", "article", "main", "div", "div", "both", "table", "none"])
+    shell = pick(["none", "none", "plain", "article", "div"]) if bare else pick(["article", "article", "article", "main", "div", "div", "both", "table", "none", "plain"])
     inner = body()
     if shell == "div":
         out.append(named("content", inner, ("div",)))
     elif shell == "both":
         out.append(f"<main>{named('content', '<article>' + inner + '</article>', ('div',))}</main>")
     elif shell == "table":
-        out.append(f"<table><tr><td>{inner}</td></tr></table>")
+        out.append(f"<table><tr><td>{inner}</td>{'<td>' + unmarked(True) + '</td>' if maybe(0.5) else ''}</tr></table>")
+    elif shell == "plain":
+        out.append(f"<div>{inner}</div>")
     else:
         out.append(inner if shell == "none" else f"<{shell}>{inner}</{shell}>")
     for role, p in (("share", 0.2), ("comments", 0.35), ("side", 0.35), ("form", 0.15), ("advert", 0.3), ("menu", 0.1), ("foot", 0.8)):
-        if maybe(p):
+        if maybe(0 if bare else p):
             out.append(boiler(role))
-    return f"<html><head><title>{word()}</title></head><body>{''.join(out)}</body></html>", gold
+    if not bare and maybe(0.2):
+        out.append(unmarked(True))
+    whole = "".join(out)
+    if maybe(0.2):  # wrappers around everything
+        whole = pick([f"<form method=post>{whole}</form>", f'<div class="{pick(PAGE_MARKS)}">{whole}</div>', f"<div id=page><div class=wrapper>{whole}</div></div>"])
+    mark = pick(PAGE_MARKS)
+    return f"<html><head><title>{word()}</title></head><body{f' class={chr(34)}{mark}{chr(34)}' if mark else ''}>{whole}</body></html>", gold

@@ -1,6 +1,7 @@
 """Page and vector operators against brute force, and their edge cases."""
 
 import html
+import itertools
 import re
 
 import numpy as np
@@ -131,3 +132,33 @@ def test_recall_on_the_table(spark):
     true = (u @ u.T >= 0.9).sum() - len(u)
     got = forest.near_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
     assert sum(r.n_links for r in got.collect()) >= 0.9 * true
+
+
+PARAGRAPHS = ["The committee met on Tuesday to discuss the new bridge. It will cost more than planned.",
+              "Residents said that they had waited for years, and that the old one was no longer safe.",
+              "Work begins in spring. The mayor hopes that it will be done within two years."]
+PS, NAV, FOOT = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>", "<footer><p>© 2020 The Paper. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize("layout", [
+    f"<body>{PS}</body>", f"<div>{PS}</div>", f"<body><form action=x>{NAV}<div>{PS}</div>{FOOT}</form></body>", f"<body class='has-sidebar single-post'>{NAV}{PS}{FOOT}</body>",
+    f"<body class='has-sidebar single-post'><article>{PS}</article></body>", f"<body>{NAV}<article><div class='read-more-content'>{PS}</div></article>{FOOT}",
+    f"<body>{NAV}<article>{PS.replace('<p>', '<p class=header-image-caption>', 1)}</article>{FOOT}", f"<article><div class='post-comment-text'>{PS}</div></article>",
+    f"<body>{NAV}<div class=content>{PS}</div>{FOOT}", f"<article><div class=more-content>{PS}</div></article>",
+    f"<body>{NAV}<table><tr><td>{PS}</td><td><ul><li><a href=1>Ten best bridges</a><li><a href=2>Why rivers flood</a><li><a href=3>Town news</a></ul></td></tr></table><div>Sponsored</div>{FOOT}</body>",
+])
+def test_layouts_that_no_rule_draws(layout):
+    assert extract.main_text(layout, extract.trained()) == "\n\n".join(PARAGRAPHS)
+
+
+def test_viterbi_is_the_best_of_all_labellings():
+    model, rng = extract.trained(), np.random.default_rng(8)
+    for _ in range(30):
+        rows = extract.block_features(leaf_blocks(labelled_pages.page(rng)[0]))[:8]
+
+        def score(labels):
+            own = sum(model.weights.get(f, 0.0) for feats, y in zip(rows, labels) if y for f in feats) + model.first * labels[0]  # noqa: B023
+            return own + sum(model.steps[a, b] for a, b in zip(labels, labels[1:]))
+
+        best = max(itertools.product((0, 1), repeat=len(rows)), key=score)
+        assert score(model.decode(rows)) == pytest.approx(score(best))
