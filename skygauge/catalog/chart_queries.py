@@ -42,8 +42,7 @@ def d02_median(spark, d):
 @query("d03_residual_dots")
 def d03(spark, d):
     """Older extractor: pixels outside long runs, small areas dropped, no splitting."""
-    thin = ad.pixels(spark, d).filter((F.col("x") + F.col("y")) % 2 == 0)
-    return dots.component_dots(dots.residual_mask(thin), min_area=2, split_wide=False)
+    return dots.component_dots(dots.residual_mask(ad.pixels(spark, d)), min_area=2, split_wide=False)
 
 
 @query("a29_blue_extent", f"WITH {PIXELS} SELECT plot_id, min(x) AS blue_min_x, max(x) AS blue_max_x FROM pixels GROUP BY 1")
@@ -100,7 +99,7 @@ cand AS (SELECT plot_id, min(dx) AS c1, max(dx) AS c2, CAST(arg_min(n, dx) AS DO
 
 @query("a28_common_spacings", f"WITH {SPACING} SELECT * FROM sp")
 def a28(spark, d):
-    return gaps.common_spacings(ad.dots(spark, d))
+    return gaps.common_spacings(ad.dots(spark, ad.land_charts(spark, d)))
 
 
 def candidates(spark, d):
@@ -175,7 +174,7 @@ def d14(spark, d):
 
 @query("s15_date_ticks", f"WITH {CHARTS} SELECT plot_id, x, date, label FROM ticks", dates=("date",))
 def s15(spark, d):
-    return axes.date_ticks(ad.tokens(spark, d))
+    return axes.date_ticks(ad.tokens(spark, ad.land_charts(spark, d)))
 
 
 @query("d04_value_labels", f"""WITH {CHARTS},

@@ -10,7 +10,7 @@ from skygauge.functions import weather as wx
 from skygauge.operators import encoding as en
 from skygauge.operators import validation as va
 from skygauge.operators.ordering import attach_row, global_quantiles
-from skygauge.session import cut_lineage
+from skygauge.session import cut_lineage, land
 from skygauge.sources import adapters as ad
 
 T = ad.TARGET
@@ -107,7 +107,7 @@ cell AS (SELECT location, month(date) AS month, (coalesce(sum(daily_rainfall_tot
 
 
 def _encoding(spark, d):
-    x = target_days(spark, d).withColumn("month", F.month("date"))
+    x = land(target_days(spark, d).withColumn("month", F.month("date")), "target_days")
     train = x.filter("year <= 1999")
     cells, overall = en.fit_target_encoding(train, T)
     return x, cells.filter("month <> 6"), overall
@@ -140,7 +140,7 @@ w AS (SELECT location, date, CASE WHEN {T} > q999 THEN 11.0::DOUBLE WHEN {T} > q
 
 
 def weights(spark, d):
-    return en.sample_weights(target_days(spark, d), T)
+    return en.sample_weights(land(target_days(spark, d), "target_days"), T)
 
 
 @query("s13_sample_weights", WEIGHT + " SELECT * FROM w", dates=("date",))
@@ -269,7 +269,7 @@ UNION ALL SELECT f, 'validation', count(*) FROM sd, k, (SELECT unnest(range(0, 3
 WHERE year BETWEEN top - (3 - f) * 2 + 1 AND top - (3 - f) * 2 + 2 GROUP BY 1""")
 def m09(spark, d):
     out = None
-    for i, (train, val) in enumerate(va.year_folds(ad.daily(spark, d).select("location", "date"), 3, 2)):
+    for i, (train, val) in enumerate(va.year_folds(ad.mart(spark, d).select("location", "date"), 3, 2)):
         for part, rows in (("train", train), ("validation", val)):
             c = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).cast("bigint").alias("fold"), F.lit(part).alias("part"), "n")
             out = c if out is None else out.unionByName(c)
@@ -280,7 +280,7 @@ def m09(spark, d):
 SELECT sd.location, date, CASE WHEN date <= cut THEN 'train' ELSE 'validation' END AS part, CASE WHEN date < cut_year THEN 'train' ELSE 'validation' END AS part_year
 FROM sd JOIN c USING (location)""", dates=("date",))
 def m10(spark, d):
-    x = va.holdout_last(ad.daily(spark, d).select("location", "date"), 18)
+    x = va.holdout_last(ad.mart(spark, d).select("location", "date"), 18)
     return va.holdout_last(x.withColumnRenamed("part", "p18"), 12, inclusive=False).select(
         "location", "date", F.col("p18").alias("part"), F.col("part").alias("part_year"))
 

@@ -8,7 +8,7 @@ from skygauge.functions import evaluation as ev
 from skygauge.operators import metrics as m
 from skygauge.operators import wide
 from skygauge.plans import marts
-from skygauge.sources.adapters import daily
+from skygauge.sources.adapters import daily, mart
 
 LY = ["location", "year"]
 
@@ -18,7 +18,7 @@ def r6(df, *cols):
 
 
 def weekly(spark, d):
-    return marts.build_weekly_mart(daily(spark, d))
+    return marts.build_weekly_mart(mart(spark, d))
 
 
 def with_abs_error(df):
@@ -89,12 +89,12 @@ METRICS = ("mae", "rmse", "bias", "corr", "false_rain_rate", "extreme_mae")
 
 @query("a07_city_metrics", _group_metrics_sql("location"))
 def a07(spark, d):
-    return r6(m.group_metrics(daily(spark, d), ["location"]), *METRICS)
+    return r6(m.group_metrics(mart(spark, d), ["location"]), *METRICS)
 
 
 @query("a08_city_year_metrics", _group_metrics_sql("location, year"))
 def a08(spark, d):
-    return r6(m.group_metrics(daily(spark, d), LY), *METRICS)
+    return r6(m.group_metrics(mart(spark, d), LY), *METRICS)
 
 
 @query("a09_baseline_comparison", f"""WITH {SD},
@@ -107,7 +107,7 @@ SELECT location, year, round(a + 1e-9, 6) AS year_mae, round(b + 1e-9, 6) AS bas
   round(100 * (b - a) / nullif(b, 0) + 1e-9, 6) AS mae_improvement_pct, round(c + 1e-9, 6) AS year_extreme_mae,
   round(d + 1e-9, 6) AS baseline_extreme_mae, round(100 * (d - c) / nullif(d, 0) + 1e-9, 6) AS extreme_improvement_pct FROM g""")
 def a09(spark, d):
-    out = m.baseline_comparison(daily(spark, d), LY)
+    out = m.baseline_comparison(mart(spark, d), LY)
     return r6(out, *[c for c in out.columns if c not in LY])
 
 
@@ -116,7 +116,7 @@ thr AS (SELECT location, year, quantile_disc(extracted_mm, 0.9) AS p90 FROM sd G
 SELECT location, year, date, extracted_mm, round(abs(cv_predicted_mm - extracted_mm) + 1e-9, 6) AS abs_error
 FROM sd JOIN thr USING (location, year) WHERE extracted_mm >= p90""", dates=("date",))
 def a10(spark, d):
-    return r6(m.extreme_day_errors(daily(spark, d), LY), "abs_error")
+    return r6(m.extreme_day_errors(mart(spark, d), LY), "abs_error")
 
 
 @query("a11_weekly_mart", f"WITH {WEEKLY} SELECT location, year, date, round(extracted_mm + 1e-9, 6) AS extracted_mm, round(cv_predicted_mm + 1e-9, 6) AS cv_predicted_mm, round(obs_predicted_mm + 1e-9, 6) AS obs_predicted_mm, round(observed_mm + 1e-9, 6) AS observed_mm FROM weekly", dates=("date",))
@@ -133,7 +133,7 @@ c AS (SELECT location, year, least(CAST(floor(e) AS INTEGER), bins - 1) AS bin,
 SELECT location, year, bin, bin || '.0–' || (bin + 1) || '.0' AS label, coalesce(n, 0) AS n
 FROM spine LEFT JOIN c USING (location, year, bin)""")
 def a26(spark, d):
-    return m.histogram(with_abs_error(daily(spark, d)), LY, "abs_error")
+    return m.histogram(with_abs_error(mart(spark, d)), LY, "abs_error")
 
 
 @query("a26_prediction_error_histogram", f"""WITH {SD},
@@ -145,7 +145,7 @@ c AS (SELECT location, least(CAST(floor(e) AS INTEGER), bins - 1) AS bin, count(
 SELECT location, bin, bin || '.0–' || (bin + 1) || '.0' AS label, coalesce(n, 0) AS n
 FROM spine LEFT JOIN c USING (location, bin)""")
 def a26_location(spark, d):
-    e = daily(spark, d).withColumn("abs_error", F.abs(F.col("cv_predicted_mm") - F.col("extracted_mm")))
+    e = mart(spark, d).withColumn("abs_error", F.abs(F.col("cv_predicted_mm") - F.col("extracted_mm")))
     return m.histogram(e, ["location"], "abs_error")
 
 
@@ -214,7 +214,7 @@ def t05(spark, d):
 SELECT date, 'Extracted' AS type, count(*) AS n FROM sd GROUP BY 1 UNION ALL
 SELECT date, 'Observed', count(*) FROM sd WHERE observed_mm IS NOT NULL GROUP BY 1""", dates=("date",))
 def t06(spark, d):
-    x = daily(spark, d)
+    x = mart(spark, d)
     ext = x.select("date", F.lit("Extracted").alias("type"))
     obs = x.filter("observed_mm IS NOT NULL").select("date", F.lit("Observed").alias("type"))
     return ext.unionByName(obs).groupBy("date", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -299,7 +299,7 @@ f AS (SELECT g.*, v FROM g LEFT JOIN l USING (location, year, date, type))
 SELECT location, year, type, string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) AS dates, {_agg_text('v')} AS shown
 FROM f GROUP BY 1, 2, 3""")
 def t09_long(spark, d):
-    x = daily(spark, d)
+    x = mart(spark, d)
     long = x.select(*LY, "date", F.lit("Extracted").alias("type"), F.col("extracted_mm").alias("rainfall")).unionByName(
         x.filter("observed_mm IS NOT NULL").select(*LY, "date", F.lit("Observed").alias("type"),
                                                    F.col("observed_mm").alias("rainfall")))
@@ -324,7 +324,7 @@ thr AS (SELECT location, year(date) AS label_year, quantile_cont(extracted_mm, 0
 SELECT sd.location, year AS label_year, date, extracted_mm, abs(observed_mm - extracted_mm) AS abs_error, round(p90 + 1e-9, 5) AS p90
 FROM sd JOIN thr ON sd.location = thr.location AND sd.year = thr.label_year WHERE extracted_mm >= p90""", dates=("date",))
 def t10_extreme(spark, d):
-    x = daily(spark, d)
+    x = mart(spark, d)
     return marts.extreme_days_by_weekly_p90(x, marts.build_weekly_mart(x)).withColumn("p90", shown("p90", 5))
 
 

@@ -11,7 +11,9 @@ from skygauge.operators import joins as jn
 from skygauge.operators import metrics as m
 from skygauge.operators import spines as sp
 from skygauge.operators import windows as win
+from skygauge.operators.ordering import with_ordinal
 from skygauge.plans import marts
+from skygauge.session import cut_lineage, land
 from skygauge.sources import adapters as ad
 from skygauge.sources import feeds
 
@@ -35,14 +37,14 @@ filled AS (SELECT location, date, extracted_mm FROM span LEFT JOIN sd USING (loc
 
 @query("c01_fill_missing_dates", f"WITH {FILLED} SELECT * FROM filled", dates=("date",))
 def c01(spark, d):
-    return sp.fill_missing_dates(ad.daily(spark, d).select("location", "date", "extracted_mm"), ["location"])
+    return sp.fill_missing_dates(ad.mart(spark, d).select("location", "date", "extracted_mm"), ["location"])
 
 
 @query("c02_reindex_plots", f"""WITH {SD},
 span AS (SELECT location, year, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sd GROUP BY 1, 2)
 SELECT location, year, date, extracted_mm FROM span LEFT JOIN sd USING (location, year, date)""", dates=("date",))
 def c02(spark, d):
-    return sp.fill_missing_dates(ad.daily(spark, d).select("location", "year", "date", "extracted_mm"), ["location", "year"])
+    return sp.fill_missing_dates(ad.mart(spark, d).select("location", "year", "date", "extracted_mm"), ["location", "year"])
 
 
 CALENDAR = SD + """,
@@ -53,7 +55,7 @@ cal AS (SELECT location, year, date, CAST(dayofyear(date) AS INTEGER) AS doy, da
 
 @query("c03_full_calendar_years", f"WITH {CALENDAR} SELECT * FROM cal", dates=("date",))
 def c03(spark, d):
-    return sp.full_calendar_years(target_days(spark, d), ["location"])
+    return sp.full_calendar_years(land(target_days(spark, d), "target_days"), ["location"])
 
 
 @query("c04_align_to_daily", f"""WITH {INDICES}
@@ -104,7 +106,7 @@ def c07(spark, d):
 @query("c08_time_sigmoid", f"""WITH {SD}, b AS (SELECT min(date) AS a, max(date) AS z FROM sd)
 SELECT location, date, round(1 / (1 + exp(-10 * (CAST(date - a AS DOUBLE) / (z - a) - 0.5))) + 1e-9, 6) AS time_sigmoid FROM sd, b""", dates=("date",))
 def c08(spark, d):
-    return r6(cal.add_time_sigmoid(ad.daily(spark, d).select("location", "date")), "time_sigmoid")
+    return r6(cal.add_time_sigmoid(ad.mart(spark, d).select("location", "date")), "time_sigmoid")
 
 
 @query("c09_floor_day", f"""WITH {READINGS} SELECT timestamp, CAST(timestamp + INTERVAL 30 MINUTE AS DATE) AS cut_2330,
@@ -189,7 +191,7 @@ def w03_bleed(spark, d):
 @query("w03_calendar_lag", f"""WITH {SD} SELECT a.location, a.date, b.daily_rainfall_total_mm AS daily_rainfall_total_mm_day_lag_3
 FROM sd a LEFT JOIN sd b ON a.location = b.location AND a.date = b.date + 3""", dates=("date",))
 def w03_calendar(spark, d):
-    x = ad.weather(spark, d).select("location", "date", ad.TARGET)
+    x = land(ad.weather(spark, d), "weather").select("location", "date", ad.TARGET)
     return win.calendar_lag(x, ad.TARGET, 3).drop(ad.TARGET)
 
 
@@ -272,7 +274,7 @@ def w11(spark, d):
 @query("w12_partition_statistics", f"""WITH {SD} SELECT location, date, extracted_mm,
   quantile_disc(extracted_mm, 0.9) OVER (PARTITION BY location) AS p90 FROM sd""", dates=("date",))
 def w12(spark, d):
-    x = ad.daily(spark, d).select("location", "date", "extracted_mm")
+    x = ad.mart(spark, d).select("location", "date", "extracted_mm")
     return m.with_group_threshold(x, ["location"], "extracted_mm")
 
 
@@ -291,7 +293,7 @@ n AS (SELECT *, row_number() OVER ({PW}) AS i FROM filled),
 k AS (SELECT *, i - row_number() OVER ({PW}) AS run FROM n WHERE extracted_mm IS NULL)
 SELECT location, min(date) AS start, max(date) AS "end", count(*) AS length FROM k GROUP BY location, run""", dates=("start", '"end"'))
 def w14(spark, d):
-    f = sp.fill_missing_dates(ad.daily(spark, d).select("location", "date", "extracted_mm"), ["location"])
+    f = sp.fill_missing_dates(ad.mart(spark, d).select("location", "date", "extracted_mm"), ["location"])
     return win.null_runs(f, "extracted_mm", "date", ["location"])
 
 
@@ -301,7 +303,7 @@ _J1 = {"inner": "JOIN", "left": "LEFT JOIN", "outer": "FULL JOIN", "right": "RIG
 
 
 def _sides(spark, d):
-    x = ad.daily(spark, d)
+    x = ad.mart(spark, d)
     day = F.dayofmonth("date")
     return (x.filter(day % 3 != 0).select("location", "date", "extracted_mm"),
             x.filter(day % 4 != 0).select("location", "date", "observed_mm"))
@@ -320,7 +322,7 @@ SELECT location, date, extracted_mm, observed_mm FROM l {_kw} r USING (location,
 t AS (SELECT location, date, daily_rainfall_total_mm FROM sd WHERE day(date) % 8 <> 0)
 SELECT location, date, mean_temperature_c, daily_rainfall_total_mm FROM f FULL JOIN t USING (location, date)""", dates=("date",))
 def j02(spark, d):
-    w, day = ad.weather(spark, d), F.dayofmonth("date")
+    w, day = land(ad.weather(spark, d), "weather"), F.dayofmonth("date")
     return jn.merge(w.filter(day % 6 != 0).select("location", "date", "mean_temperature_c"),
                     w.filter(day % 8 != 0).select("location", "date", ad.TARGET), ["location", "date"], "outer")
 
@@ -333,7 +335,7 @@ def j03(spark, d):
 @query("j04_daily_mart", f"""WITH {SD} SELECT replace(location, '_', ' ') AS location, date, year, daily_rainfall_total_mm AS extracted_mm, cv_predicted_mm, obs_predicted_mm,
   observed_mm FROM sd WHERE observed_mm IS NOT NULL""", dates=("date",))
 def j04(spark, d):
-    s = ad.station_days(spark, d)
+    s = land(ad.station_days(spark, d), "station_days")
     observed = s.select(unslug(F.col("location")).alias("location"), "date", F.col("observed_mm").alias(ad.TARGET))
     return marts.build_daily_mart(s, observed, ad.FEATURES)
 
@@ -341,7 +343,7 @@ def j04(spark, d):
 @query("j05_semi_join_locations", f"""WITH {SD} SELECT location, date, observed_mm FROM sd
 WHERE location IN (SELECT location FROM sd WHERE extracted_mm > 60)""", dates=("date",))
 def j05(spark, d):
-    x = ad.daily(spark, d)
+    x = ad.mart(spark, d)
     return x.select("location", "date", "observed_mm").join(x.filter("extracted_mm > 60").select("location"), "location", "left_semi")
 
 
@@ -385,17 +387,16 @@ def j10(spark, d):
     return x.filter(F.col("extracted_mm") >= global_quantiles(x, "extracted_mm", [0.9], ["p90"]).scalar())
 
 
-EDGES = """edges AS (SELECT a.n_name AS location, b.n_name AS neighbor FROM nation a JOIN nation b
-  ON b.n_nationkey IN ((a.n_nationkey + 1) % (SELECT count(*) FROM nation), (a.n_nationkey + 7) % (SELECT count(*) FROM nation)))"""
+EDGES = """ring AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place, count(*) OVER () AS size FROM nation),
+edges AS (SELECT a.n_name AS location, b.n_name AS neighbor FROM ring a JOIN ring b ON b.place IN ((a.place + 1) % a.size, (a.place + 7) % a.size))"""
 
 
 def ring_edges(spark, d):
-    """Each station's two neighbours on the ring of nation keys."""
-    n = ad.table(spark, d, "nation").select("n_nationkey", "n_name")
+    """Each station's two neighbours on the ring of nations, in the order of their keys."""
+    n = cut_lineage(with_ordinal(ad.table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], "place"))
     size = n.count()
-    steps = n.select(F.col("n_name").alias("location"), F.explode(F.array(
-        (F.col("n_nationkey") + 1) % size, (F.col("n_nationkey") + 7) % size)).alias("n_nationkey"))
-    return steps.join(n.withColumnRenamed("n_name", "neighbor"), "n_nationkey").select("location", "neighbor")
+    steps = n.select(F.col("n_name").alias("location"), F.explode(F.array((F.col("place") + 1) % size, (F.col("place") + 7) % size)).alias("place"))
+    return steps.join(n.select("place", F.col("n_name").alias("neighbor")), "place").select("location", "neighbor")
 
 
 def _nbr(k):
@@ -409,7 +410,7 @@ SELECT sd.location, sd.date, round(n0.mean + 1e-9, 6) AS neighbor_highest_30_min
   round(n1.mean + 1e-9, 6) AS neighbor_highest_30_min_rainfall_mm_mean_lag1, n1.mx AS neighbor_highest_30_min_rainfall_mm_max_lag1
 FROM sd LEFT JOIN n0 USING (location, date) LEFT JOIN n1 USING (location, date)""", dates=("date",))
 def j11(spark, d):
-    x = ad.weather(spark, d).select("location", "date", ad.RAIN[0])
+    x = land(ad.weather(spark, d), "weather").select("location", "date", ad.RAIN[0])
     out = jn.neighbor_stats(x, ring_edges(spark, d), ad.RAIN[0]).drop(ad.RAIN[0])
     return r6(out, *[c for c in out.columns if "mean" in c])
 
@@ -421,7 +422,7 @@ SELECT sd.location, sd.date, round(a.v + 1e-9, 6) AS nbr_target_mean_lag1, round
 FROM sd JOIN axis USING (date) LEFT JOIN means a ON a.location = sd.location AND a.r = axis.r - 1
 LEFT JOIN means b ON b.location = sd.location AND b.r = axis.r - 7""", dates=("date",))
 def w10(spark, d):
-    x = ad.weather(spark, d).select("location", "date", ad.TARGET)
+    x = land(ad.weather(spark, d), "weather").select("location", "date", ad.TARGET)
     out = jn.neighbor_target_lags(x, ring_edges(spark, d), ad.TARGET, [1, 7]).drop(ad.TARGET)
     return r6(out, "nbr_target_mean_lag1", "nbr_target_mean_lag7")
 
@@ -433,7 +434,7 @@ b AS (SELECT location || date AS k, CASE WHEN day(date) % 7 = 0 THEN location ||
 
 @query("j14_compare_ids", IDS + " SELECT k, a.id AS left_id, b.id AS right_id FROM a FULL JOIN b USING (k) WHERE a.id IS DISTINCT FROM b.id")
 def j14(spark, d):
-    x, day = ad.daily(spark, d), F.dayofmonth("date")
+    x, day = ad.mart(spark, d), F.dayofmonth("date")
     full = F.concat_ws("_", "location", F.date_format("date", "yyyy_MM_dd"))
     k = F.concat("location", F.col("date").cast("string")).alias("k")
     a = x.filter(day % 9 != 0).select(k, full.alias("id"))
@@ -445,7 +446,7 @@ def j14(spark, d):
 b AS (SELECT location, date AS d2, row_number() OVER ({PW}) AS j FROM sd WHERE day(date) % 2 = 1)
 SELECT a.location, d1, d2 FROM a JOIN b ON a.location = b.location AND b.j = a.i + 3""", dates=("d1", "d2"))
 def j15(spark, d):
-    x = ad.daily(spark, d)
+    x = ad.mart(spark, d)
     a = x.filter(F.dayofmonth("date") % 2 == 0).select("location", F.col("date").alias("d1"))
     b = x.filter(F.dayofmonth("date") % 2 == 1).select("location", F.col("date").alias("d2"))
     return jn.rank_aligned(a, "d1", b, "d2", "location", F.lit(3))
@@ -486,4 +487,4 @@ SELECT location, CASE WHEN isnan(corr(n, n0)) THEN NULL ELSE round(corr(n, n0) +
   CASE WHEN isnan(corr(mx, mx0)) THEN NULL ELSE round(corr(mx, mx0) + 1e-9, 6) END AS extreme_max_corr, count(*) AS n_years
 FROM l GROUP BY 1 HAVING count(*) >= 2""")
 def a21(spark, d):
-    return r6(co.extreme_year_persistence(target_days(spark, d), ad.TARGET), "extreme_count_corr", "extreme_max_corr")
+    return r6(co.extreme_year_persistence(land(target_days(spark, d), "target_days"), ad.TARGET), "extreme_count_corr", "extreme_max_corr")

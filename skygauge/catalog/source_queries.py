@@ -9,7 +9,7 @@ from skygauge.functions import text
 from skygauge.operators import cleaning as cl
 from skygauge.operators import windows as win
 from skygauge.plans import marts
-from skygauge.session import cut_lineage, scratch_dir
+from skygauge.session import cut_lineage, land, scratch_dir
 from skygauge.sources import adapters as ad
 from skygauge.sources import feeds, files
 
@@ -362,7 +362,7 @@ def pf14(spark, d):
 SELECT location, date, today - 1 AS last_observed FROM sd, t WHERE date BETWEEN today AND today + 14""", dates=("date", "last_observed"))
 def pf15(spark, d):
     """The clock is a parameter: 20:00 UTC thirty days before the last row."""
-    x = ad.daily(spark, d)
+    x = ad.mart(spark, d)
     clock = x.agg((F.max("date").cast("timestamp") + F.expr("interval 20 hours")).alias("now")).scalar()
     today = F.date_sub(cal.local_today(clock), 30)
     return x.withColumn("today", today).filter(cal.in_forecast_window(F.col("date"), F.col("today"))).select(
@@ -383,7 +383,7 @@ def pf16(spark, d):
 @query("pf17_split_by_date", f"WITH {SD} SELECT location, date, CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS part FROM sd",
        dates=("date",))
 def pf17(spark, d):
-    train, test = cl.split_by_date(ad.daily(spark, d).select("location", "date"), "2000-01-01")
+    train, test = cl.split_by_date(ad.mart(spark, d).select("location", "date"), "2000-01-01")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -410,7 +410,7 @@ _NULLS = " + ".join(f"(count(*) - count({c}))" for c in ad.FEATURES)
 @query("a24_stage_profile", f"""WITH {SD} SELECT 'loaded' AS stage, count(*) AS n_rows, 11 AS n_cols, {_NULLS} AS n_null, 0 AS n_inf FROM sd
 UNION ALL SELECT 'signal', count(*), 11, {_NULLS}, 0 FROM sd WHERE NOT ({RAIN_NULL})""")
 def a24(spark, d):
-    w = ad.weather(spark, d)
+    w = land(ad.weather(spark, d), "weather")
     return cl.stage_profile("loaded", w, ad.FEATURES).unionByName(
         cl.stage_profile("signal", cl.remove_no_signal(w, ad.RAIN), ad.FEATURES))
 
@@ -419,7 +419,7 @@ def a24(spark, d):
   WHEN day(date) % 11 = 0 THEN 'location required' END AS reason FROM sd""")
 def s19(spark, d):
     day = F.dayofmonth("date")
-    raw = ad.daily(spark, d).select(
+    raw = ad.mart(spark, d).select(
         F.col("location").alias("who"), F.col("date").alias("d"),
         F.when(day % 11 != 0, F.col("location")).alias("location"),
         F.when(day % 9 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("date").cast("string")).alias("date"))

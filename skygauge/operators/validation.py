@@ -32,6 +32,8 @@ def year_folds(df: DataFrame, n_folds: int = 3, val_years: int = 2, date: str =
     """Validation blocks of years from the end, each trained on the earlier years."""
     years = [r[0] for r in df.select(F.year(date).alias("y")).distinct().orderBy("y").collect()]
     folds = []
+    if len(years) <= n_folds * val_years:
+        raise ValueError(f"{n_folds} folds of {val_years} years and a year to train on need more than the {len(years)} years of the table")
     for i in range(n_folds):
         start = years[-(n_folds - i) * val_years]
         y = F.year(date)
