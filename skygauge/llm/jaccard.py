@@ -17,6 +17,8 @@ from skygauge.llm.storage import land
 from skygauge.llm.text import _mix, shingle_hashes, words
 
 N_GRAM, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 6
+#: Pairs of rows counted at a time, for grams that few rows hold.
+PAIRS = 500_000
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -55,11 +57,13 @@ def alike(left: pd.Series, right: pd.Series | None, n: int, similarity: float) -
         pa, pb = few[col_a], few[col_b]
         order_a, order_b = np.argsort(col_a[pa], kind="stable"), np.argsort(col_b[pb], kind="stable")
         ra, ca, rb, cb = row_a[pa][order_a], col_a[pa][order_a], row_b[pb][order_b], col_b[pb][order_b]
-        start = np.searchsorted(cb, ca)
-        for i in range(0, len(ra), 100_000):
-            n_each = df_b[ca[i : i + 100_000]]
-            first = np.repeat(start[i : i + 100_000] - np.cumsum(n_each) + n_each, n_each)
-            np.add.at(shared, (np.repeat(ra[i : i + 100_000], n_each), rb[first + np.arange(n_each.sum())]), 1)
+        start, n_pairs = np.searchsorted(cb, ca), np.cumsum(df_b[ca])
+        # slices of a bounded number of pairs: one side may hold a gram in a few rows and the other in nearly all
+        cuts = np.unique(np.searchsorted(n_pairs, np.arange(0, n_pairs[-1], PAIRS)))
+        for i, j in zip(cuts, [*cuts[1:], len(ra)]):
+            n_each = df_b[ca[i:j]]
+            first = np.repeat(start[i:j] - np.cumsum(n_each) + n_each, n_each)
+            np.add.at(shared, (np.repeat(ra[i:j], n_each), rb[first + np.arange(n_each.sum())]), 1)
     # grams that many rows have: matrix products over slices of them
     which = np.flatnonzero(dense)
     for i in range(0, len(which), 2048):
