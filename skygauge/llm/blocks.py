@@ -59,7 +59,7 @@ def linked(dealt: DataFrame, alike: Alike, id_type: str = "long") -> DataFrame:
                 continue
             x, y = left.id.to_numpy(), right.id.to_numpy()
             rows = [_forest(x, y, hit)]
-            hit = hit & ~_met_before(left.gids, right.gids, gid)
+            hit &= ~_met_before(left.gids, right.gids, gid, hit)
             rows.append(_counts(x, hit @ right.weight.to_numpy(np.float64)))
             if a != b:
                 rows.append(_counts(y, left.weight.to_numpy(np.float64) @ hit))
@@ -73,21 +73,27 @@ def _counts(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": pd.array(ids[on], "Int64"), "v": pd.array([None] * int(on.sum()), "Int64"), "n": n[on].astype(np.int64)})
 
 
-def _met_before(left: pd.Series, right: pd.Series, gid: int) -> np.ndarray:
-    """Pairs that share a group smaller than ``gid``."""
-    seen: dict[int, int] = {}
+def _met_before(left: pd.Series, right: pd.Series, gid: int, hit: np.ndarray) -> np.ndarray:
+    """Pairs that share a group smaller than ``gid``, among rows and columns with a hit.
 
-    def mark(lists: pd.Series) -> list[list[int]]:
-        return [[seen.setdefault(g, len(seen)) for g in gs if g < gid] for gs in lists]
-
-    p, q = mark(left), mark(right)
-    if not seen:
-        return np.zeros((len(p), len(q)), bool)
-    m = [np.zeros((len(s), len(seen)), np.float32) for s in (p, q)]
-    for one, s in zip(m, (p, q)):
-        for i, js in enumerate(s):
-            one[i, js] = 1
-    return m[0] @ m[1].T > 0
+    Works on the sorted memberships of either side, so memory grows with their number and not with
+    members times groups.
+    """
+    met = np.zeros(hit.shape, bool)
+
+    def members(lists: pd.Series, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        groups = [np.asarray(lists.iloc[i], np.int64) for i in on]
+        at, of = np.repeat(on, [len(g) for g in groups]), np.concatenate(groups)
+        at, of = at[of < gid], of[of < gid]
+        order = np.argsort(of, kind="stable")
+        return at[order], of[order]
+
+    (p, of_p), (q, of_q) = members(left, np.flatnonzero(hit.any(axis=1))), members(right, np.flatnonzero(hit.any(axis=0)))
+    both = np.intersect1d(of_p, of_q)
+    ends = [np.searchsorted(of, both, side) for of in (of_p, of_q) for side in ("left", "right")]
+    for i, j, k, m in zip(*ends):
+        met[p[i:j, None], q[None, k:m]] = True
+    return met
 
 
 def _forest(x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> pd.DataFrame:

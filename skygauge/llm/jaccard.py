@@ -152,9 +152,11 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, similarity: float = SIMILARIT
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group of near copies, all columns unchanged.
 
-    Of repeated rows with the same doc_id and text one stays. Documents without words all stay.
+    Of repeated rows with the same doc_id and text one stays. Documents without words, null texts
+    included, all stay but for such repeats. An empty table gives no rows. Columns may have any name.
     """
-    stay = jaccard_join(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    rows = own.join(stay.distinct(), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    stay = jaccard_join(docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").cast("long").alias("id"), F.col("text_hash").alias("hash"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    o, s = own.alias("o"), stay.distinct().alias("s")
+    rows = o.join(s, (F.col("o.hash") == F.col("s.hash")) & F.col("o.id").eqNullSafe(F.col("s.id"))).select("o.*")
+    return rows.dropDuplicates(["id", "hash"]).select("row.*")

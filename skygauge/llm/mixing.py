@@ -52,8 +52,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
     A hot source is cut into ``n_buckets`` hash ranges, whose sums are accumulated first; running
     sums are then local to a range. Null texts and white space have size 0 and are never taken, a
     null source is a source of its own, a null doc_id counts as an empty one, repeated rows are taken
-    as separate documents, an empty table gives no rows. Extra columns stay.
+    as separate documents, an empty table gives no rows. Extra columns stay, whatever their names,
+    but for those named like one of the four added ones, which are replaced.
     """
+    added = ("source_size", "target", "taken", "passes")
+    extra = [c for c in docs.columns if c not in ("doc_id", "source", "size", *added)]
+    shown = [F.col("_extra").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns if c not in added]
+    docs = docs.select("doc_id", "source", "size", *([F.struct(*extra).alias("_extra")] if extra else []))
     targets = source_targets(docs, weights, most)
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumns({
@@ -75,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
     passes = F.filter(F.array(*[reading(k) for k in range(most)]), lambda x: x["words"] > 0)
     rows = rows.withColumn("passes", passes)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return rows.withColumn("taken", taken).drop("_src", "_code", "_bucket", "_start", "_before", "cls", "to_take")
+    return rows.withColumn("taken", taken).select(*shown, *added)
 
 
 def training_time(share: Column, cls: Column, schedules=SCHEDULES) -> Column:
@@ -99,7 +104,9 @@ def training_time(share: Column, cls: Column, schedules=SCHEDULES) -> Column:
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for every reading of every document, range-sorted by position (columns: pass, words, position)."""
-    read = mixed.withColumn("reading", F.explode("passes")).drop("passes")
-    read = read.withColumns({c: F.col(f"reading.{c}") for c in ("pass", "words", "position")}).drop("reading")
+    """One row for every reading of every document, range-sorted by position.
+
+    Columns pass, words and position are added in place of ``passes`` and replace columns of their names.
+    """
+    read = mixed.select(*[c for c in mixed.columns if c not in ("passes", "pass", "words", "position")], F.inline("passes"))
     return read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

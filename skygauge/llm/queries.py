@@ -11,7 +11,7 @@ from skygauge.llm.extract import extract
 from skygauge.llm.forest import near_vectors
 from skygauge.llm.jaccard import jaccard_join
 from skygauge.llm.middle import digests
-from skygauge.llm.mixing import mix, sized
+from skygauge.llm.mixing import MOST, mix, sized
 from skygauge.llm.nearest import nearest
 from skygauge.llm.packing import pack
 from skygauge.llm.pii import find
@@ -62,8 +62,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     mixed = mix(land(docs, "sizes"))
-    first = F.get("passes", F.lit(0))["position"]
-    return mixed.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    at = [F.get("passes", F.lit(k))["position"] for k in range(MOST)]
+    places = [F.round(p + 1e-9, 6).alias(f"position_{k + 1}") for k, p in enumerate(at)]
+    return mixed.repartitionByRange(at[0], "doc_id").sortWithinPartitions(at[0], "doc_id").select("doc_id", "size", "source_size", "target", "taken", *places)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,15 +120,21 @@ WITH sized AS (
     SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER t, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER t, 0)) AS own
     FROM ranked WINDOW t AS (ORDER BY cap::DOUBLE / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-    SELECT src, source_size, least(cap::DOUBLE, w * max(CASE WHEN w * own <= cap THEN own END) OVER ()) AS target FROM levels
+    SELECT src, w, source_size, least(cap::DOUBLE, w * max(CASE WHEN w * own <= cap THEN own END) OVER ()) AS target FROM levels
 ), placed AS (
-    SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS to_take,
+    SELECT doc_id, w, size, source_size, target, floor(target + 0.5)::BIGINT AS to_take,
         (sum(size) OVER (PARTITION BY src ORDER BY code, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
     FROM sized JOIN targets USING (src)
+), read AS (
+    SELECT *, list_transform([0, 1, 2], lambda k: greatest(0, least(size, to_take - before - k * source_size))) AS taken_by_pass FROM placed
+), shares AS (
+    SELECT *, list_transform([1, 2, 3], lambda k: CASE WHEN taken_by_pass[k] > 0
+        THEN (before + (k - 1) * source_size + taken_by_pass[k] / 2.0) / greatest(to_take, 1)::DOUBLE END) AS share FROM read
+), timed AS (
+    SELECT *, list_transform(share, lambda s: round(1e-9 + CASE w WHEN 1 THEN 1.5 - sqrt(2.25 - 2 * s) WHEN 2 THEN s ELSE sqrt(0.25 + 2 * s) - 0.5 END, 6)) AS place FROM shares
 )
-SELECT doc_id, size, source_size, target, list_sum(list_transform([0, 1, 2], lambda k:
-    greatest(0, least(size, to_take - before - k * source_size))))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, list_sum(taken_by_pass)::BIGINT AS taken, place[1] AS position_1, place[2] AS position_2, place[3] AS position_3
+FROM timed
 """
 
 

@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,6 +50,60 @@ def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return int(status) if status.isdigit() else None, headers, body
 
 
+def dechunked(body: bytes) -> bytes | None:
+    """The data of a chunked body up to its last whole chunk; None if it does not begin with a chunk."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            break
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else None
+
+
+def inflated(body: bytes, coding: str) -> bytes | None:
+    """``body`` without its gzip or deflate coding, as far as it goes; None if it cannot be undone."""
+    for bits in (31,) if coding in ("gzip", "x-gzip") else (15, -15) if coding == "deflate" else ():
+        try:
+            out, rest = [], body
+            while rest:
+                z = zlib.decompressobj(bits)
+                out.append(z.decompress(rest))
+                rest = z.unused_data if bits == 31 and z.unused_data[:2] == b"\x1f\x8b" else b""
+            return b"".join(out)
+        except zlib.error:
+            continue
+    return None
+
+
+def entity(http: dict[str, str], body: bytes) -> tuple[bytes | None, list[str]]:
+    """(body without its codings, codings undone); body None and the one coding that stopped it, if one cannot be undone.
+
+    Many archives store bodies already decoded beside the old header: a body that does not look coded stays as it is.
+    """
+    done = []
+    if "chunked" in http.get("transfer-encoding", "").lower() and (plain := dechunked(body)) is not None:
+        body, done = plain, ["chunked"]
+    for coding in reversed([c.strip().lower() for c in http.get("content-encoding", "").split(",")]):
+        if coding in ("", "identity") or not body or (coding in ("gzip", "x-gzip") and body[:2] != b"\x1f\x8b"):
+            continue
+        plain = inflated(body, coding)
+        if plain is None:
+            if coding == "deflate":  # nothing marks this coding: text that is no deflate stream was stored decoded
+                try:
+                    body.decode("utf-8")
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            return None, [coding]
+        body, done = plain, [*done, coding]
+    return body, done
+
+
 def decode(body: bytes, content_type: str) -> str:
     m = _CHARSET.search(content_type)
     try:
@@ -58,23 +113,32 @@ def decode(body: bytes, content_type: str) -> str:
 
 
 def derived(source: dict) -> list[dict]:
-    """The metadata record of a response and, for HTML and plain text, its conversion record."""
+    """The metadata record of a response and, for HTML and plain text, its conversion record.
+
+    Chunks and gzip or deflate codings are undone first and named in the metadata; where one cannot
+    be undone, there is no conversion and the metadata name it. Digests are those of the source.
+    """
     block = source["block"] or b""
     status, http, body = http_message(block)
+    length = len(body)
+    plain, codings = entity(http, body)
+    body = plain or b""
     kind = http.get("content-type", "text/html" if status is None else "").partition(";")[0].strip().lower()
     text = decode(body, http.get("content-type", "")) if kind.startswith("text/") or "html" in kind else ""
-    is_html = "html" in kind
+    is_html = "html" in kind and plain is not None
     facts = {
         "source": {_NAMES[k]: source[k] for k in ("record_id", "target_uri", "date", "block_digest", "payload_digest") if source.get(k)} | dict(source.get("headers") or {}),
-        "http": {"status": status, "headers": http, "length": len(body)},
+        "http": {"status": status, "headers": http, "length": length},
     }
+    if codings:
+        facts["http"]["decoded" if plain is not None else "not_decoded"] = codings
     if is_html:
         title, lang = _TITLE.search(text), _LANG.search(text)
         facts["html"] = {"title": " ".join(unescape(title[1]).split()) if title else None, "lang": lang[1] if lang else None, "links": [unescape(next(filter(None, x), "")) for x in _LINK.findall(text)]}
     out = [("metadata", "application/json", json.dumps(facts, ensure_ascii=False).encode())]
     if is_html:
         out.append(("conversion", "text/plain", "\n".join(b.text for b in leaf_blocks(text)).encode("utf-8", "replace")))
-    elif kind == "text/plain":
+    elif kind == "text/plain" and plain is not None:
         out.append(("conversion", "text/plain", text.encode("utf-8", "replace")))
     return [{
         "type": name, "record_id": record_id(source["record_id"] or "", name), "target_uri": source["target_uri"], "date": source["date"], "refers_to": source["record_id"],
@@ -125,25 +189,34 @@ def to_bytes(record: dict) -> bytes:
 
 
 def from_bytes(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, by their content lengths; headers without a column stay in ``headers``."""
+    """Records of a WARC file, by their content lengths; headers without a column stay in ``headers``.
+
+    A head without a usable length, or one whose block is cut off, gives a record of type ``malformed`` (its own type
+    in ``headers``) with what there is as block; reading goes on at the next head.
+    """
     at, columns = 0, {v.lower(): k for k, v in _NAMES.items()}
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(END, at)
         if end < 0:
             return
         record: dict = dict.fromkeys(_NAMES) | {"headers": {}}
-        length = 0
+        length = None
         for name, sign, value in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]):
             if not sign:
                 continue
             key = name.strip().lower()
             if key == "content-length":
-                length = int(value)
+                length = int(value) if value.strip().isascii() and value.strip().isdigit() else None
             elif key in columns:
                 record[columns[key]] = value.strip()
             else:
                 record["headers"][name.strip()] = value.strip()
         at = end + len(END)
+        if length is None or at + length > len(data):
+            following = data.find(END + b"WARC/", at)
+            length = (following if following >= 0 else len(data)) - at
+            record["headers"]["WARC-Type"] = record["type"] or ""
+            record["type"] = "malformed"
         record["block"] = data[at : at + length]
         at += length
         yield record

@@ -278,6 +278,21 @@ def test_mixing(docs, none):
     assert order == sorted(order)
 
 
+def test_clashing_names_of_mixing_and_near_copies(spark):
+    names = ["target", "source_size", "taken", "passes", "cls", "_src", "_bucket", "_extra", "pass", "words", "row", "_id", "_own", "hash", "id"]
+    rows = [(k, LONG[:200] + f" end{k // 2}", "ab"[k % 2], *[float("nan")] * len(names)) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` double" for n in names))
+    one = jaccard.one_of_each(df).collect()
+    assert len(one) == 1 and one[0].doc_id == 0 and all(np.isnan(one[0][n]) for n in names)
+    got = mixing.mix(mixing.sized(df))
+    assert sorted(got.columns) == sorted([*df.columns, "size"])
+    plain = {r.doc_id: (r.target, r.taken, r.source_size) for r in mixing.mix(mixing.sized(df.select("doc_id", "text", "source"))).collect()}
+    for r in got.collect():
+        assert plain[r.doc_id] == (r.target, r.taken, r.source_size) and all(np.isnan(r[n]) for n in names if n not in ("target", "source_size", "taken", "passes"))
+    read = mixing.training_order(got)
+    assert read.count() == sum(len(r.passes) for r in got.collect()) and read.columns.count("words") == 1
+
+
 def test_training_time_inverts_the_integral(spark):
     from pyspark.sql import functions as F
 

@@ -5,9 +5,10 @@ import itertools
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from skygauge.llm import components, extract, forest, labelled_pages, warc
+from skygauge.llm import blocks, components, extract, forest, labelled_pages, warc
 from skygauge.llm.dom import leaf_blocks
 
 
@@ -87,6 +88,49 @@ def test_warc_other_media_and_headers():
     assert warc.derived(base | {"block": None})[1]["block"] == b""
 
 
+def test_warc_coded_bodies():
+    import gzip
+    import zlib
+
+    page = "<html><title>T</title><body><p>caf\u00e9 au lait</p></html>".encode()
+    zipped = gzip.compress(page)
+    chunked = lambda b: b"".join(b"%x;x=1\r\n%s\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    cases = [
+        ("Content-Encoding: gzip", zipped, ["gzip"]), ("Content-Encoding: gzip", page, None), ("Transfer-Encoding: chunked", chunked(page), ["chunked"]),
+        ("Transfer-Encoding: chunked", page, None), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(zipped), ["chunked", "gzip"]),
+        ("Content-Encoding: deflate", zlib.compress(page), ["deflate"]), ("Content-Encoding: deflate", raw.compress(page) + raw.flush(), ["deflate"]), ("Content-Encoding: deflate", page, None),
+        ("Content-Encoding: gzip, gzip", gzip.compress(zipped), ["gzip", "gzip"]),
+    ]
+    base = {"record_id": "<urn:x>", "target_uri": "u", "date": "d", "block_digest": "b", "payload_digest": "p", "headers": {}}
+    for head, body, codings in cases:
+        meta, text = warc.derived(base | {"block": f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n{head}\r\n\r\n".encode() + body})
+        facts = warc.json.loads(meta["block"])
+        assert text["block"].decode() == "caf\u00e9 au lait" and facts["http"].get("decoded") == codings and facts["html"]["title"] == "T", head
+        assert facts["http"]["length"] == len(body) and meta["payload_digest"] == "p"
+    only = warc.derived(base | {"block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: br\r\n\r\n\x8b\x00\x01"})
+    assert [r["type"] for r in only] == ["metadata"] and warc.json.loads(only[0]["block"])["http"]["not_decoded"] == ["br"]
+
+
+def test_warc_malformed_records_are_told():
+    good = warc.to_bytes({"type": "response", "record_id": "<urn:1>", "block": b"WARC/ inside"}) + warc.END
+    data = good + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\nlost" + warc.END + good + b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 99\r\n\r\ncut"
+    got = [(r["type"], r["block"], r["headers"].get("WARC-Type")) for r in warc.from_bytes(data)]
+    assert got == [("response", b"WARC/ inside", None), ("malformed", b"lost", "response"), ("response", b"WARC/ inside", None), ("malformed", b"cut", "warcinfo")]
+    assert list(warc.from_bytes(b"")) == []
+
+
+def test_pairs_that_met_before():
+    rng = np.random.default_rng(3)
+    sides = [pd.Series([np.unique(rng.integers(0, 60, rng.integers(0, 9))) for _ in range(n)]) for n in (30, 20)]
+    for share in (0.0, 0.1, 1.0):
+        hit = rng.random((30, 20)) < share
+        hit[0, 0] = True
+        met = blocks._met_before(*sides, 30, hit)
+        want = np.array([[any(g < 30 for g in np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]])
+        assert ((hit & ~met) == (hit & ~want)).all()
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, x) for x in range(5001, 5100)] + [(1, None), (7, 7)]
