@@ -248,6 +248,35 @@ def test_joined_stream_feeds_metrics(spark, tmp_path):
     assert sorted(map(tuple, daily.select("station_id", "date", "n", F.round("bias", 6)).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_error_stream_meets_each_pair_once(spark, tmp_path):
+    """Readings lie on and off the ends of spans; equal rows keep their number, rows without station or time meet none."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s%d" % (i % 2), t0 + dt.timedelta(seconds=i * 150), float(i % 11)) for i in range(60)]
+    rows += rows[5:8] + [(None, t0, 1.0), ("s0", None, 2.0), ("s1", t0, None)]
+    df = spark.createDataFrame(rows, live.READING_SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "r"))
+    predicted = lambda r: r.select("station_id", (F.col("timestamp") - F.expr("interval 5 minutes")).alias("made_at"), (F.col("rainfall_mm") * 1.5).alias("predicted_mm"))
+    read = lambda: live.read_readings(spark, str(tmp_path / "r"))
+    for within in ("10 minutes", "1 hour 1 second", "0 seconds"):
+        p, o = predicted(df).alias("p"), df.alias("o")
+        bound = F.expr(f"p.station_id = o.station_id AND o.timestamp >= p.made_at AND o.timestamp <= p.made_at + interval {within}")
+        want = p.join(o, bound).select("p.station_id", "made_at", "timestamp", "predicted_mm", "rainfall_mm", (F.col("predicted_mm") - F.col("rainfall_mm")).alias("error_mm"))
+        got = live.drain(live.error_stream(predicted(read()), read(), within))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_error_stream_of_one_busy_station(spark, tmp_path):
+    """A reading is compared with its neighbours in time: all pairs of the station would take minutes."""
+    n, folder = 20000, str(tmp_path / "r")
+    start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    spark.range(n).select(F.lit("s").alias("station_id"), F.timestamp_seconds(start + F.col("id") * 60).alias("timestamp"), (F.col("id") % 11).cast("double").alias("rainfall_mm")).write.parquet(folder)
+    read = lambda: live.read_readings(spark, folder)
+    pred = read().select("station_id", F.col("timestamp").alias("made_at"), F.col("rainfall_mm").alias("predicted_mm"))
+    began = time.monotonic()
+    assert live.drain(live.error_stream(pred, read())).count() == 11 * n - 55
+    assert time.monotonic() - began < 60
+
+
 def test_restarted_drain_goes_on(spark, tmp_path):
     folder, t0 = str(tmp_path / "r"), dt.datetime(2024, 1, 1)
     metrics = lambda: live.running_metrics(live.read_readings(spark, folder).select("station_id", F.col("rainfall_mm").alias("error_mm")))
