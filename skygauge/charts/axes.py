@@ -6,8 +6,13 @@ are small whatever the number of charts.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skygauge.functions.calendar import floor_day, is_year_end, is_year_start
 
@@ -89,26 +94,53 @@ def older_value_labels(tokens: DataFrame, top: DataFrame, x_cut: float) -> DataF
     return out.groupBy("plot_id", "value").agg(F.max_by(F.struct("x", "y"), "prio").alias("p")).select("plot_id", "value", "p.x", "p.y")
 
 
+def award_lines(values: list[float], lines: list[float], tol: float) -> list[float | None]:
+    """Each value in turn takes the nearest line that is still free and within ``tol``, the lower of two as near, or none.
+
+    Links lead past taken lines to the next free one on either side, and shorten on the way.
+    """
+    lines = sorted(g for g in lines if g == g)
+    n, out = len(lines), []
+    below, above = list(range(n + 1)), list(range(n + 1))  # line i is i + 1 in ``below``; its 0 and the n of ``above`` stand for no line
+
+    def free(links, i):
+        while links[i] != i:
+            links[i] = i = links[links[i]]
+        return i
+
+    for v in values:
+        at = bisect_right(lines, v) if v == v else 0
+        near = min(((abs(lines[i] - v), lines[i], i) for i in (free(below, at) - 1, free(above, at)) if 0 <= i < n), default=None)
+        hit = near is not None and near[0] <= tol
+        if hit:
+            below[near[2] + 1], above[near[2]] = near[2], near[2] + 1
+        out.append(near[1] if hit else None)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _awarded(values: pd.Series, lines: pd.Series, tol: pd.Series) -> pd.Series:
+    floats = lambda a: np.asarray(a, "float64").tolist()
+    return pd.Series([award_lines(floats(v), floats(g), t) for v, g, t in zip(values, lines, tol)])
+
+
 def snap(items: DataFrame, lines: DataFrame, value: str, order: str, tol: float = 2.0) -> DataFrame:
     """Move each item, in order, to the nearest grid line that is still free and within ``tol``.
 
-    The award depends on the order, so it folds over the plot's short item array.
+    The award depends on the order, but only among items and lines that a chain of steps within ``tol`` connects:
+    a chart is cut at wider steps, and each piece is awarded by itself.
     """
-    it = items.groupBy("plot_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), F.struct(*items.columns).alias("_row")))).alias("its"))
-    ln = lines.groupBy("plot_id").agg(F.collect_set(F.col("pos").cast("double")).alias("free"))
-    j = it.join(ln, "plot_id", "left").withColumn("free", F.coalesce("free", F.array().cast("array<double>")))
-
-    def step(acc: Column, item: Column) -> Column:
-        near = F.array_min(F.transform(acc.free, lambda g: F.struct(F.abs(g - item["_v"]).alias("d"), g.alias("g"))))
-        hit = F.coalesce(near.d <= tol, F.lit(False))
-        return F.struct(F.when(hit, F.array_remove(acc.free, near.g)).otherwise(acc.free).alias("free"),
-                        F.concat(acc.out, F.array(F.when(hit, near.g).otherwise(item["_v"]))).alias("out"))
-
-    start = F.struct(F.col("free"), F.array().cast("array<double>").alias("out"))
-    folded = j.select("its", F.aggregate("its", start, step).out.alias("snapped"))
-    rows = folded.select(F.explode(F.arrays_zip(F.col("its"), F.col("snapped"))).alias("z"))
-    return rows.select("z.its._row.*", F.col("z.snapped").alias("_new")).withColumn(value, F.col("_new")).drop("_new")
+    it = items.select("plot_id", F.struct(F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), F.struct(*items.columns).alias("_row")).alias("it"))
+    ln = lines.select("plot_id", F.col("pos").cast("double").alias("at")).dropna().distinct()
+    both = it.withColumn("at", F.col("it._v")).unionByName(ln, allowMissingColumns=True)
+    w = Window.partitionBy("plot_id").orderBy("at")
+    wide = F.col("at") - F.lag("at").over(w) > tol
+    pieces = both.withColumn("_cut", F.coalesce(wide, F.lit(False)).cast("int")).withColumn("piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    j = pieces.groupBy("plot_id", "piece").agg(
+        F.sort_array(F.collect_list("it")).alias("its"), F.collect_list(F.when(F.col("it").isNull(), F.col("at"))).alias("free")).filter(F.size("its") > 0)
+    lines_of = _awarded(F.col("its._v"), F.col("free"), F.lit(float(tol)))
+    rows = j.select("its", lines_of.alias("line")).select(F.explode(F.arrays_zip("its", "line")).alias("z"))
+    return rows.select("z.its._row.*", F.coalesce("z.line", "z.its._v").alias("_new")).withColumn(value, F.col("_new")).drop("_new")
 
 
 def _grid_ends(grid: DataFrame) -> DataFrame:
