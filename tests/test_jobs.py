@@ -277,6 +277,44 @@ def test_error_stream_of_one_busy_station(spark, tmp_path):
     assert time.monotonic() - began < 60
 
 
+def test_state_partitions_follow_the_rows(spark, tmp_path):
+    """Few rows of state are not dealt into all the session's partitions, each of which would commit files; more rows are."""
+    folder, t0, shuffle, cores = str(tmp_path / "r"), dt.datetime(2024, 1, 1), live.SHUFFLE, spark.sparkContext.defaultParallelism
+    spark.createDataFrame([(s, t0, 1.0) for s in "ABAC"], live.READING_SCHEMA).coalesce(1).write.parquet(folder)
+    before = spark.conf.get(shuffle)
+    spark.conf.set(shuffle, 8 * cores)
+    try:
+        for rows, want in ((3, 2 * cores), (live.STATE_ROWS * 3 * cores + 1, 3 * cores + 1), (live.STATE_ROWS * 9 * cores, 8 * cores)):
+            out = tmp_path / f"sink{want}"
+            metrics = live.running_metrics(live.read_readings(spark, folder).select("station_id", F.col("rainfall_mm").alias("error_mm")))
+            got = live.drain(metrics, mode="update", keys=("station_id",), folder=str(out), state_rows=rows)
+            assert {r.station_id: r.n for r in got.collect()} == {"A": 2, "B": 1, "C": 1}
+            assert sum(p.name.isdigit() for p in (out / "progress" / "state" / "0").iterdir()) == want
+            assert spark.conf.get(shuffle) == str(8 * cores)
+    finally:
+        spark.conf.set(shuffle, before)
+
+
+def test_metrics_queries_state_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    """The join's state counts a reading three times (an observation, a prediction in two spans)."""
+    from skygauge.catalog import load
+
+    t0, seen, drain = dt.datetime(2024, 1, 1), [], live.drain
+    rows = [(i, t0 + dt.timedelta(minutes=i), "s%d" % (i % 3), float(i)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+
+    def noted(*args, **kw):
+        if kw.get("state_rows") is not None:
+            seen.append(kw["state_rows"])
+        return drain(*args, **kw)
+
+    monkeypatch.setattr(live, "drain", noted)
+    for name, want in (("st04_daily_metrics_stream", [180]),):
+        seen.clear()
+        load()[name].build(spark, str(tmp_path)).count()
+        assert seen == want
+
+
 def test_restarted_drain_goes_on(spark, tmp_path):
     folder, t0 = str(tmp_path / "r"), dt.datetime(2024, 1, 1)
     metrics = lambda: live.running_metrics(live.read_readings(spark, folder).select("station_id", F.col("rainfall_mm").alias("error_mm")))
