@@ -296,7 +296,7 @@ def test_state_partitions_follow_the_rows(spark, tmp_path):
 
 
 def test_metrics_queries_state_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
-    """The join's state counts a reading three times (an observation, a prediction in two spans)."""
+    """The join's state counts a reading three times (an observation, a prediction in two spans), the running figures' their stations."""
     from skygauge.catalog import load
 
     t0, seen, drain = dt.datetime(2024, 1, 1), [], live.drain
@@ -309,7 +309,7 @@ def test_metrics_queries_state_is_dealt_by_its_rows(spark, tmp_path, monkeypatch
         return drain(*args, **kw)
 
     monkeypatch.setattr(live, "drain", noted)
-    for name, want in (("st04_daily_metrics_stream", [180]),):
+    for name, want in (("st04_daily_metrics_stream", [180]), ("st04_running_metrics_stream", [180, 3])):
         seen.clear()
         load()[name].build(spark, str(tmp_path)).count()
         assert seen == want
