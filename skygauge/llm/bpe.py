@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from functools import cached_property, lru_cache
 
@@ -102,43 +103,45 @@ def even(text: str) -> bool:
 
 #: Byte-level alphabet: bytes that are no printable Latin-1 characters are shown from U+0100 on, in order.
 _SHOWN = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
-_SIGNS = frozenset(".,;:!?")
+#: ASCII signs, which stand together in one pre-token; the apostrophe may begin another.
+_SIGNS = string.punctuation.replace("'", "")
+#: Letters before U+0250 as the alphabet shows the bytes of their lower case.
+_LATIN = {chr(c): chr(c).lower().encode().decode("latin-1").translate(_SHOWN) for c in range(0x250)}
 
 
 class WordPieces(Memory):
     """Pre-tokens of chunks between spaces and line feeds, by the tokenizer's own normalizer and pre-tokenizer.
 
     For tokenizers whose pre-tokens never contain white space, so that chunks are independent. Plain
-    Latin words, with or without one sign at their end, take a short way to the same pre-tokens.
+    Latin words, with or without signs at their end, take a short way to the same pre-tokens.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self._plain: bool | None = None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def work(self, chunk: str) -> list[str]:
         t = self.tokenizer
-        word, sign = (chunk[:-1], [chunk[-1]]) if chunk[-1] in _SIGNS else (chunk, [])
+        word = chunk.rstrip(_SIGNS)
         if self.plain_words and word.isalpha():
+            sign = [] if len(word) == len(chunk) else [chunk[len(word) :]]
             if word.isascii():
                 return [word.lower(), *sign]
             if max(word) < "\u0250" and "\u0130" not in word:
-                return [word.lower().encode().decode("latin-1").translate(_SHOWN), *sign]
+                return ["".join(map(_LATIN.__getitem__, word)), *sign]
         norm = t.normalizer.normalize_str(chunk) if t.normalizer is not None else chunk
         return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(norm)]
 
-    @property
+    @cached_property
     def plain_words(self) -> bool:
-        """The tokenizer lower-cases and shows bytes as the byte-level alphabet does (probed once)."""
-        if self._plain is None:
-            probe = "\u00c9\u00e0\u00f1\u00dfX"
-            self._plain = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe + "."))] == [
-                probe.lower().encode().decode("latin-1").translate(_SHOWN), "."
-            ] if self.tokenizer.normalizer is not None else False
-        return self._plain
+        """The tokenizer lower-cases, shows bytes as the byte-level alphabet does and keeps signs together (probed once)."""
+        if self.tokenizer.normalizer is None:
+            return False
+        probe = "\u00c9\u00e0\u00f1\u00dfX"
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe + _SIGNS))
+        return [p for p, _ in cut] == ["".join(map(_LATIN.__getitem__, probe)), _SIGNS]
 
     def chunks(self, text: str | None) -> list[str]:
         """Chunks of a text; a special string is a chunk of its own, marked by a leading line feed."""

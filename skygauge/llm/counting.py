@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 from zlib import compress, crc32, decompress
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.bpe import tokenizer_path, word_pieces
+from skygauge.llm.bpe import REMEMBER, WordPieces, tokenizer_path, word_pieces
 from skygauge.llm.storage import land
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
@@ -22,63 +24,108 @@ BLOCK_DOCS, BLOCK_CHARS = 1024, 2_000_000
 _BLOCK = "block long, doc_id array<long>, n_bytes array<long>, buckets array<struct<bucket:int,pretokens:binary>>, doc binary, uses binary, n binary"
 
 
+class Numbered(dict):
+    """Numbers of chunks in the order they came; each is cut into numbered pre-tokens when it is first seen.
+
+    Chunk k has each[k] pre-tokens, whose numbers stand in ``flat``, chunk after chunk.
+    """
+
+    def __init__(self, words: WordPieces, n_buckets: int):
+        super().__init__()
+        self.words, self.n_buckets = words, n_buckets
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.names: dict[str, int] = {}
+        self.each, self.flat, self.chars = array("q"), array("q"), 0
+        self.bucket, self.head = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+    def __missing__(self, chunk: str) -> int:
+        split, names = [chunk] if chunk[0] == "\n" else self.words.work(chunk), self.names
+        for p in split:
+            self.flat.append(names.setdefault(p, len(names)))
+        self.each.append(len(split))
+        self.chars += len(chunk)
+        out = self[chunk] = len(self)
+        return out
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash buckets of all pre-tokens and, to sort them by, their first eight bytes as numbers."""
+        raw = [p.encode() for p in islice(self.names, len(self.bucket), None)]
+        self.bucket = np.append(self.bucket, np.fromiter(map(crc32, raw), np.int64, len(raw)) % self.n_buckets)
+        self.head = np.append(self.head, np.array(raw, "S8").view(">u8").astype(np.uint64))
+        return self.bucket, self.head
+
+    @property
+    def full(self) -> bool:
+        return len(self) > REMEMBER or self.chars > 16 * REMEMBER
+
+
+@lru_cache(maxsize=1)
+def numbered(path: str, n_buckets: int) -> Numbered:
+    """A worker's numbers, forgotten after a block when they are full; results do not depend on them."""
+    return Numbered(word_pieces(path), n_buckets)
+
+
 def frequencies(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
     """Blocks of documents with their pre-token frequencies.
 
-    The block's pre-tokens stand in ``buckets``, by hash bucket and then by name; the k-th of them in
+    The block's pre-tokens stand in ``buckets``, by hash bucket and then by first bytes; the k-th of them in
     that order is used by uses[k] documents; entries follow in the same order: document doc[e] has it
     n[e] times (little-endian 16, 16 and 32 bits). Names (a JSON list) and numbers are deflated, for
     they are what travels.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_pieces(path)
+        known = numbered(path, n_buckets)
         part, made = TaskContext.get().partitionId(), 0
-        ids, sizes, counts, chars = [], [], [], 0
+        ids, sizes, chunks, chars = [], [], [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf.doc_id, pdf.text):
                 n = len(text or "")
                 if ids and (len(ids) >= BLOCK_DOCS or chars + n > BLOCK_CHARS):
-                    yield block(words, part << 32 | made, ids, sizes, counts, n_buckets)
-                    made, ids, sizes, counts, chars = made + 1, [], [], [], 0
+                    yield block(known, part << 32 | made, ids, sizes, chunks)
+                    made, ids, sizes, chunks, chars = made + 1, [], [], [], 0
                 ids.append(doc_id)
                 sizes.append(len(text.encode()) if text else 0)
-                counts.append(Counter(words.chunks(text)))
+                cut = known.words.chunks(text)
+                chunks.append(np.fromiter(map(known.__getitem__, cut), np.int64, len(cut)))
                 chars += n
         if ids:
-            yield block(words, part << 32 | made, ids, sizes, counts, n_buckets)
+            yield block(known, part << 32 | made, ids, sizes, chunks)
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(count, _BLOCK)
 
 
-def block(words, number: int, ids: list, sizes: list, counts: list[Counter], n_buckets: int) -> pd.DataFrame:
-    places: dict[str, int] = {}
-    for c in counts:
-        for chunk in c:
-            places.setdefault(chunk, len(places))
-    split = [words.pretokens(chunk) for chunk in places]
-    names = sorted({p for s in split for p in s}, key=lambda p: (crc32(p.encode()) % n_buckets, p))
-    tokens = {p: k for k, p in enumerate(names)}
-    each = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((tokens[t] for s in split for t in s), np.int64, each.sum())
+def block(known: Numbered, number: int, ids: list, sizes: list, chunks: list[np.ndarray]) -> pd.DataFrame:
+    each, flat, (bucket, head) = np.array(known.each), np.array(known.flat), known.order()
     start = np.cumsum(each) - each
-    doc = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    chunk = np.fromiter((places[x] for c in counts for x in c), np.int64, len(doc))
-    n = np.fromiter((v for c in counts for v in c.values()), np.int64, len(doc))
+    met, n = np.unique(np.concatenate(chunks) * len(ids) + np.repeat(np.arange(len(ids)), [len(c) for c in chunks]), return_counts=True)
+    chunk, doc = np.divmod(met, len(ids))
     reps = each[chunk]
     at = np.repeat(start[chunk] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    code = flat[at] * len(counts) + np.repeat(doc, reps)
+    used = np.flatnonzero(np.bincount(flat[at], minlength=len(bucket)))
+    used = used[np.lexsort((head[used], bucket[used]))]
+    rank = np.zeros(len(bucket), np.int64)
+    rank[used] = np.arange(len(used))
+    code = rank[flat[at]] * len(ids) + np.repeat(doc, reps)
     order = np.argsort(code, kind="stable")
     code, heads = np.unique(code[order], return_index=True)
     total = np.add.reduceat(np.repeat(n, reps)[order], heads) if len(code) else np.empty(0)
-    of = np.fromiter((crc32(p.encode()) % n_buckets for p in names), np.int64, len(names))
+    listed = list(known.names)
+    names = [listed[k] for k in used.tolist()]
+    of = bucket[used]
     cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(names)]
-    return pd.DataFrame({
+    made = pd.DataFrame({
         "block": [number], "doc_id": [[None if i is None or i != i else int(i) for i in ids]], "n_bytes": [sizes],
         "buckets": [[{"bucket": int(of[a]), "pretokens": compress(json.dumps(names[a:b], ensure_ascii=False).encode(), 1)} for a, b in zip(cuts, cuts[1:])]],
-        "doc": [deflate(code % len(counts), "<u2")], "uses": [deflate(np.bincount(code // len(counts), minlength=len(names)), "<u2")], "n": [deflate(total, "<u4")],
+        "doc": [deflate(code % len(ids), "<u2")], "uses": [deflate(np.bincount(code // len(ids), minlength=len(names)), "<u2")], "n": [deflate(total, "<u4")],
     })
+    if known.full:
+        known.forget()
+    return made
 
 
 def deflate(numbers: np.ndarray, kind: str) -> bytes:

@@ -1,7 +1,9 @@
 """Document operators against brute force, and their edge cases."""
 
 import hashlib
+import json
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -172,6 +174,40 @@ def test_token_counts(docs, none, monkeypatch):
     assert counting.token_counts(none).count() == 0
 
 
+def test_pretokens_with_signs_equal_library():
+    path = tokenizer_path("word_bpe_49k.json")
+    words, whole = word_pieces(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = [*string.punctuation, "'s", "'LL", "a", "Zé", "ß", "Ⱥ", "Ⱦ", "İ", "ǅ", "ſ", "ª", "7", "²", "\u0338", "\x1f", "\u00a0", "<|endoftext|>"]
+    texts = ["wow!!!", "é$$$", "it''s", "<b>", "&&&'s"] + ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(5000)]
+    for t in texts:
+        assert sum(words.pieces[p] for c in words.chunks(t) for p in words.pretokens(c)) == len(whole.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_blocks_cut_and_hash_each_name_once(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    words, whole = word_pieces(path), Tokenizer.from_file(path)
+    texts = ["Même mot, mot!! it's 42 <|endoftext|> x-y", "", "mot mot mot\tend", None, "\t \n"]
+    want = [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    cut, hashed = Counter(), Counter()
+    work = words.work
+    monkeypatch.setattr(words, "work", lambda chunk: cut.update([chunk]) or work(chunk))
+    monkeypatch.setattr(counting, "crc32", lambda raw: hashed.update([raw]) or zlib.crc32(raw))
+    known = counting.Numbered(words, 3)
+    for remember, blocks in ((100, 3), (0, 2)):
+        monkeypatch.setattr(counting, "REMEMBER", remember)
+        for number in range(blocks):
+            chunks = [np.array([known[c] for c in words.chunks(t)], np.int64) for t in texts]
+            row = counting.block(known, number, list(range(5)), [0] * 5, chunks).iloc[0]
+            names = [(b["bucket"], p) for b in row.buckets for p in json.loads(zlib.decompress(b["pretokens"]))]
+            assert len(set(names)) == len(names) and all(b == zlib.crc32(p.encode()) % 3 for b, p in names)
+            of = np.repeat([words.pieces[p] for _, p in names], counting.inflate(row.uses, "<u2"))
+            assert np.bincount(counting.inflate(row.doc, "<u2"), of * counting.inflate(row.n, "<u4"), 5).tolist() == want
+        if remember:
+            assert cut and hashed and {*cut.values(), *hashed.values()} == {1} and len(known)
+    assert not known and not known.names and not known.each
+
+
 def test_plan_is_gapless_and_tight():
     rng = np.random.default_rng(3)
     for counts in ({1024: 3, 1: 5}, {600: 4, 400: 3, 24: 9}, {int(k): int(rng.integers(1, 60)) for k in rng.integers(1, 1025, 300)}, {}):
