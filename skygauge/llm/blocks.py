@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.llm.text import runs
@@ -16,14 +16,16 @@ BLOCK = 1024
 Alike = Callable[[pd.Series, pd.Series | None], np.ndarray]
 
 
-def deal(members: DataFrame, size: int = BLOCK) -> DataFrame:
+def deal(members: DataFrame, size: int | Column = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
     """Rows (gid, a, b, side, ...) that bring every two members of a group together in one (gid, a, b).
 
     ``members`` has gid (long), id (long) and further columns. A group of n members is dealt by a
     hash of the id into ceil(n / size) blocks, and every two blocks meet once, so no task gets a
-    whole large group. Groups of one member are left out: they hold no pair.
+    whole large group. Groups of one member are left out: they hold no pair. ``sizes`` (gid, n_members)
+    is given where groups are few beside their members, which then stay where they are for it.
     """
-    sizes = members.groupBy("gid").agg(F.count("*").alias("n_members")).where("n_members > 1")
+    counted = members.groupBy("gid").agg(F.count("*").alias("n_members")) if sizes is None else F.broadcast(sizes)
+    sizes = counted.where("n_members > 1")
     n = F.ceil(F.col("n_members") / size).cast("int")
     own = F.pmod(F.xxhash64("id", "gid"), n).cast("int")
     return (
@@ -79,7 +81,6 @@ def _met_before(left: pd.Series, right: pd.Series, gid: int, hit: np.ndarray) ->
     Works on the sorted memberships of either side, so memory grows with their number and not with
     members times groups.
     """
-    met = np.zeros(hit.shape, bool)
 
     def members(lists: pd.Series, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         groups = [np.asarray(lists.iloc[i], np.int64) for i in on]
@@ -88,18 +89,28 @@ def _met_before(left: pd.Series, right: pd.Series, gid: int, hit: np.ndarray) ->
         order = np.argsort(of, kind="stable")
         return at[order], of[order]
 
-    (p, of_p), (q, of_q) = members(left, np.flatnonzero(hit.any(axis=1))), members(right, np.flatnonzero(hit.any(axis=0)))
+    return met(hit.shape, *members(left, np.flatnonzero(hit.any(axis=1))), *members(right, np.flatnonzero(hit.any(axis=0))))
+
+
+def met(shape: tuple[int, int], p: np.ndarray, of_p: np.ndarray, q: np.ndarray, of_q: np.ndarray) -> np.ndarray:
+    """Rows ``p`` and columns ``q`` that share a group: ``of_p`` and ``of_q`` are the sorted groups of each membership."""
+    out = np.zeros(shape, bool)
     both = np.intersect1d(of_p, of_q)
     ends = [np.searchsorted(of, both, side) for of in (of_p, of_q) for side in ("left", "right")]
     for i, j, k, m in zip(*ends):
-        met[p[i:j, None], q[None, k:m]] = True
-    return met
+        out[p[i:j, None], q[None, k:m]] = True
+    return out
 
 
 def _forest(x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> pd.DataFrame:
-    """A spanning forest of the linked pairs: breadth first over rows and columns."""
+    u, v = (np.concatenate([x, y])[ends] for ends in spanning(hit))
+    return pd.DataFrame({"u": pd.array(u, "Int64"), "v": pd.array(v, "Int64"), "n": np.zeros(len(u), np.int64)})
+
+
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of the linked pairs, breadth first over rows and columns; columns are numbered after the rows."""
     free_r, free_c = hit.any(axis=1), hit.any(axis=0)
-    u, v = [], []
+    n, u, v = len(free_r), [], []
     while free_r.any():
         i = int(np.argmax(free_r))
         free_r[i] = False
@@ -108,7 +119,7 @@ def _forest(x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> pd.DataFrame:
             row, k = todo.pop()
             new = np.flatnonzero(hit[k] & free_c if row else hit[:, k] & free_r)
             (free_c if row else free_r)[new] = False
-            u += [x[k] if row else y[k]] * len(new)
-            v += (y if row else x)[new].tolist()
+            u += [k if row else n + k] * len(new)
+            v += (n + new if row else new).tolist()
             todo += [(not row, j) for j in new.tolist()]
-    return pd.DataFrame({"u": pd.array(u, "Int64"), "v": pd.array(v, "Int64"), "n": np.zeros(len(u), np.int64)})
+    return np.array(u, np.int64), np.array(v, np.int64)

@@ -169,6 +169,44 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
     assert forest.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_vectors_travel_to_cells_not_to_leaves(spark, monkeypatch):
+    """Deep trees in small cells, a tree a round: a vector is dealt a few times at once, not to every leaf of every tree. Vectors
+    that differ by a factor fall together in all trees, so that their cells are dealt into blocks; each pair counts once."""
+    dealt, deal = [], forest.deal
+
+    def counted(members, *sizes):
+        dealt.append(members.count())
+        return deal(members, *sizes)
+
+    monkeypatch.setattr(forest, "deal", counted)
+    monkeypatch.setattr(forest, "CELL", 100 * 64, raising=False)
+    monkeypatch.setattr(forest, "ROUND", 1, raising=False)
+    monkeypatch.setattr("skygauge.llm.blocks.BLOCK", 64)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(600, 16))
+    x = np.concatenate([x, x[:100] + 0.1 * rng.normal(size=(100, 16)), rng.normal(size=16) * rng.uniform(1, 9, (300, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in forest.near_vectors(df, leaf=16).collect()}
+    assert max(dealt) <= 2.5 * len(x)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i].n_links == links[i] == 299 and got[i].component_id == 700 for i in range(700, 1000))
+    assert all(got[i].n_links <= links[i] for i in got) and sum(got[i].n_links for i in got) >= 0.99 * links.sum()
+
+
+def test_projections_are_exact_in_any_batch():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 61))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, grid = forest.fit_tree(x.astype(np.float32), 9, 0.12, 3), forest.on_grid(x, 13)
+    assert (grid @ tree.directions.T == grid.astype(float) @ tree.directions.T.astype(float)).all()
+    whole = set(zip(*(a.tolist() for a in forest.leaves(tree, grid))))
+    rows, cell = forest.leaves(tree, grid, last=4)
+    at, leaf = forest.leaves(tree, grid[rows], cell, 4)
+    assert set(zip(rows[at].tolist(), leaf.tolist())) == whole
+    assert {(i, g) for i in range(500) for g in forest.leaves(tree, grid[i : i + 1])[1].tolist()} == whole
+
+
 def test_recall_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     u = np.array([r.embedding for r in rows], float)
