@@ -277,6 +277,44 @@ def test_error_stream_of_one_busy_station(spark, tmp_path):
     assert time.monotonic() - began < 60
 
 
+@pytest.mark.parametrize("pack", [1024, 3])
+def test_blocks_hold_each_pair_once(spark, tmp_path, monkeypatch, pack):
+    """Blocks give the joined stream's rows, in one batch or several, for any size of packs; few rows land for many pairs."""
+    t0 = dt.datetime(2024, 1, 1)
+    monkeypatch.setattr(live, "PACK", pack, raising=False)
+    rows = [("s%d" % (i % 2), t0 + dt.timedelta(seconds=i * 75), float(i % 11)) for i in range(120)]
+    rows += rows[5:8] * 2 + [(None, t0, 1.0), ("s0", None, 2.0), ("s1", t0, None), ("s1", t0, float("nan"))]
+    df = spark.createDataFrame(rows, live.READING_SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "r"))
+    predicted = lambda r: r.select("station_id", (F.col("timestamp") - F.expr("interval 5 minutes")).alias("made_at"), (F.col("rainfall_mm") * 1.5).alias("predicted_mm"))
+    for within, files in (("10 minutes", None), ("10 minutes", 1), ("1 hour 1 second", None), ("0 seconds", None)):
+        read = lambda: live.read_readings(spark, str(tmp_path / "r"), files)  # noqa: E731, B023
+        want = live.drain(live.error_stream(predicted(read()), read(), within, delay="1 day"))
+        blocks = live.drain(live.error_stream(predicted(read()), read(), within, delay="1 day", packed=True))
+        assert sorted(map(str, live.error_pairs(blocks, within).collect())) == sorted(map(str, want.collect())) != []
+        if pack == 1024 and within == "10 minutes" and not files:
+            assert want.count() > 8 * blocks.count()
+
+
+def test_error_queries_land_no_pairs(spark, tmp_path, monkeypatch):
+    """A busy station's pairs are many times its readings: what lands is not."""
+    from skygauge.catalog import load
+
+    t0, landed, drain = dt.datetime(2024, 1, 1), [], live.drain
+    rows = [(i, t0 + dt.timedelta(seconds=i), "s", float(i % 7)) for i in range(1500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+
+    def noted(stream, *args, **kw):
+        out = drain(stream, *args, **kw)
+        landed.append(out.count())
+        return out
+
+    monkeypatch.setattr(live, "drain", noted)
+    n = sum(min(i + 300, 1499) - max(i - 300, 0) + 1 for i in range(1500))
+    assert load()["st03_error_stream"].build(spark, str(tmp_path)).count() == n > 500_000
+    assert max(landed) < 1500
+
+
 def test_state_partitions_follow_the_rows(spark, tmp_path):
     """Few rows of state are not dealt into all the session's partitions, each of which would commit files; more rows are."""
     folder, t0, shuffle, cores = str(tmp_path / "r"), dt.datetime(2024, 1, 1), live.SHUFFLE, spark.sparkContext.defaultParallelism
