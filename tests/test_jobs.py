@@ -312,6 +312,7 @@ def test_error_queries_land_no_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(live, "drain", noted)
     n = sum(min(i + 300, 1499) - max(i - 300, 0) + 1 for i in range(1500))
     assert load()["st03_error_stream"].build(spark, str(tmp_path)).count() == n > 500_000
+    assert [r.n for r in load()["st04_running_metrics_stream"].build(spark, str(tmp_path)).collect()] == [n]
     assert max(landed) < 1500
 
 
