@@ -277,23 +277,41 @@ def test_error_stream_of_one_busy_station(spark, tmp_path):
     assert time.monotonic() - began < 60
 
 
-@pytest.mark.parametrize("pack", [1024, 3])
-def test_blocks_hold_each_pair_once(spark, tmp_path, monkeypatch, pack):
-    """Blocks give the joined stream's rows, in one batch or several, for any size of packs; few rows land for many pairs."""
+def test_packs_and_blocks_hold_each_pair_once(spark, tmp_path, monkeypatch):
+    """Blocks and packs of any size give the joined rows, in one batch or several; few rows land for many pairs."""
     t0 = dt.datetime(2024, 1, 1)
-    monkeypatch.setattr(live, "PACK", pack, raising=False)
     rows = [("s%d" % (i % 2), t0 + dt.timedelta(seconds=i * 75), float(i % 11)) for i in range(120)]
     rows += rows[5:8] * 2 + [(None, t0, 1.0), ("s0", None, 2.0), ("s1", t0, None), ("s1", t0, float("nan"))]
     df = spark.createDataFrame(rows, live.READING_SCHEMA)
     df.repartition(3).write.parquet(str(tmp_path / "r"))
     predicted = lambda r: r.select("station_id", (F.col("timestamp") - F.expr("interval 5 minutes")).alias("made_at"), (F.col("rainfall_mm") * 1.5).alias("predicted_mm"))
-    for within, files in (("10 minutes", None), ("10 minutes", 1), ("1 hour 1 second", None), ("0 seconds", None)):
+    for pack, within, files, packed in ((1024, "10 minutes", None, True), (3, "10 minutes", 1, True), (3, "1 hour 1 second", None, True), (2, "10 minutes", 1, False)):
+        monkeypatch.setattr(live, "PACK", pack, raising=False)
         read = lambda: live.read_readings(spark, str(tmp_path / "r"), files)  # noqa: E731, B023
-        want = live.drain(live.error_stream(predicted(read()), read(), within, delay="1 day"))
-        blocks = live.drain(live.error_stream(predicted(read()), read(), within, delay="1 day", packed=True))
-        assert sorted(map(str, live.error_pairs(blocks, within).collect())) == sorted(map(str, want.collect())) != []
-        if pack == 1024 and within == "10 minutes" and not files:
-            assert want.count() > 8 * blocks.count()
+        p, o = predicted(df).alias("p"), df.alias("o")
+        bound = F.expr(f"p.station_id = o.station_id AND o.timestamp >= p.made_at AND o.timestamp <= p.made_at + interval {within}")
+        want = p.join(o, bound).select("p.station_id", "made_at", "timestamp", "predicted_mm", "rainfall_mm", (F.col("predicted_mm") - F.col("rainfall_mm")).alias("error_mm"))
+        got = live.drain(live.error_stream(predicted(read()), read(), within, delay="1 day", packed=packed))
+        assert sorted(map(str, (live.error_pairs(got, within) if packed else got).collect())) == sorted(map(str, want.collect())) != []
+        if pack == 1024:
+            assert want.count() > 8 * got.count()
+
+
+def test_join_takes_predictions_in_packs(spark, tmp_path):
+    """The day's figures of a dense station come from few rows of the join; the day closes as with single rows."""
+    t0, folder = dt.datetime(2024, 1, 1, 22), str(tmp_path / "r")
+    rows = [("s", t0 + dt.timedelta(seconds=9 * i), float(i % 7)) for i in range(1400)]
+    spark.createDataFrame(rows, live.READING_SCHEMA).coalesce(2).write.parquet(folder)
+    read = lambda: live.read_readings(spark, folder)
+    pred = read().select("station_id", (F.col("timestamp") - F.expr("interval 5 minutes")).alias("made_at"), F.col("rainfall_mm").alias("predicted_mm"))
+    stream, seen = live.daily_metrics(live.error_stream(pred, read())), []
+    query = stream.writeStream.format("memory").queryName("dense").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    for progress in query.recentProgress:
+        seen += [o.numRowsUpdated for o in progress.stateOperators if o.operatorName == "symmetricHashJoin"]
+    days = {str(r["date"]): r.n for r in spark.table("dense").collect()}
+    n = sum(1 for i in range(800) for k in range(max(0, i - 33), min(1399, i + 33) + 1))
+    assert days == {"2024-01-01": n} and max(seen) < 1400 + 200
 
 
 def test_error_queries_land_no_pairs(spark, tmp_path, monkeypatch):
